@@ -20,8 +20,8 @@ def match_confidence(distance: Column, stated: Column | None = None, compat: boo
 
     ``compat`` also treats distance 0 as missing.
     """
-    known = F.when(distance != 0, distance) if compat else distance
-    derived = F.coalesce(F.greatest(F.lit(0.0), 1 - known.cast("double")), F.lit(0.5))
+    known = F.nullif(distance.cast("double"), F.lit(0.0)) if compat else distance.cast("double")
+    derived = F.greatest(F.lit(0.0), 1 - F.coalesce(known, F.lit(0.5)))
     return derived if stated is None else F.coalesce(stated.cast("double"), derived)
 
 

@@ -21,9 +21,12 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector scaled to length 1; NULL for the zero vector."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x / length))
+    """The vector scaled to length 1; NULL for the zero vector.
+
+    The length is repeated as an array, because a lambda would work it out again for every element.
+    """
+    scaled = F.zip_with(a, F.array_repeat(norm(a), F.size(a)), lambda x, length: x / length)
+    return F.when(F.exists(a, lambda x: x != 0), scaled)
 
 
 def l2(a: Column, b: Column) -> Column:
