@@ -59,6 +59,9 @@ def flatten_label(parsed: DataFrame) -> DataFrame:
     def row(sort: Column, name: Column, value: Column) -> Column:
         return F.struct(sort.cast("int").alias("sort"), name.alias("property"), value.alias("value"))
 
+    def numbering(base: int, item: str):
+        return lambda v, i: row(i + base, F.concat(F.lit(item), (i + 1).cast("string")), v)
+
     rows = []
     for sort, caption, field in FIELD_ROWS:
         value = J.json_string(data, f"$.{field}")
@@ -68,11 +71,8 @@ def flatten_label(parsed: DataFrame) -> DataFrame:
     for sort, base, caption, item, section in SECTION_ROWS:
         entries = J.json_strings(data, f"$.{section}")
         rows.append(row(F.lit(sort), F.lit(caption), F.concat(F.lit("("), F.size(entries).cast("string"), F.lit(" items)"))))
-        numbered = F.transform(
-            entries,
-            lambda v, i, base=base, item=item: row(i + base, F.concat(F.lit(item), (i + 1).cast("string")), v),
-        )
-        lists.append(F.coalesce(F.filter(numbered, lambda x: x["value"].isNotNull()), F.array().cast("array<struct<sort:int,property:string,value:string>>")))
+        numbered = F.filter(F.transform(entries, numbering(base, item)), lambda x: x["value"].isNotNull())
+        lists.append(F.coalesce(numbered, F.array().cast("array<struct<sort:int,property:string,value:string>>")))
     return parsed.select("file_path", F.inline(F.concat(F.array(*rows), *lists)))
 
 

@@ -50,6 +50,11 @@ def _items(value: Column) -> Column:
     return F.when(_is(value, "["), F.try_variant_get(value, "$", "array<variant>"))
 
 
+def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is worked out once per row: later uses do not repeat its expression."""
+    return df.withColumn("__once", F.explode(F.array(value))).drop(name).withColumnRenamed("__once", name)
+
+
 def _opened(df: DataFrame, column: str) -> DataFrame:
     """Read ``column`` as JSON in ``__v``: JSON inside a JSON string is read again, and the one-element
     envelope ``[{"json": ..., "type": ...}]`` is taken off unless it reports an empty error."""
@@ -57,12 +62,10 @@ def _opened(df: DataFrame, column: str) -> DataFrame:
     inner = _at(v, "$[0].json")
     enveloped = _is(v, "[") & inner.isNotNull() & _at(v, "$[0].type").isNotNull()
     silent = _is(inner, "{") & _at(inner, "$.error").isNotNull() & ~_filled(_at(inner, "$.error"))
-    return (
-        df.withColumn("__v", J.strict_variant(F.col(column)))
-        .withColumn("__quoted", _is(v, '"'))
-        .withColumn("__v", F.when(F.col("__quoted"), J.strict_variant(F.try_variant_get(v, "$", "string"))).otherwise(v))
-        .withColumn("__v", F.when(enveloped & ~silent & (_is(inner, "[") | _is(inner, "{")), inner).otherwise(v))
-    )
+    read = _held(df, "__v", J.strict_variant(F.col(column))).withColumn("__quoted", _is(v, '"'))
+    again = F.when(F.col("__quoted"), J.strict_variant(F.try_variant_get(v, "$", "string"))).otherwise(v)
+    unquoted = _held(read, "__v", again)
+    return _held(unquoted, "__v", F.when(enveloped & ~silent & (_is(inner, "[") | _is(inner, "{")), inner).otherwise(v))
 
 
 def _first_filled(value: Column, keys) -> Column:
@@ -132,6 +135,7 @@ def pick_match(
         )
         return F.coalesce(stated, F.greatest(F.lit(0.0), 1 - F.coalesce(distance, F.lit(0.5))))
 
-    people = F.transform(items, lambda i: F.struct(*_fields(i, CUSTOMER_FIELDS), confidence(i).alias("confidence")))
+    listed = _held(opened, "__items", items)
+    people = F.transform("__items", lambda i: F.struct(*_fields(i, CUSTOMER_FIELDS), confidence(i).alias("confidence")))
     good = F.filter(people, lambda p: p["customer_id"].isNotNull() & p["first_name"].isNotNull() & (p["confidence"] > min_conf))
-    return opened.select(key, F.get(good, F.lit(0)).alias("m")).filter("m IS NOT NULL").select(key, "m.*")
+    return listed.select(key, F.inline(F.slice(good, 1, 1)))

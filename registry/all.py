@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from registry import carts, dash, matching, texts, views  # noqa: F401
+from registry import carts, checks, dash, matching, texts, views  # noqa: F401

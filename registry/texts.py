@@ -352,8 +352,8 @@ def spoken(d):
       UNION ALL SELECT turn_id, 0, '', 'Velvet Pro Lipstick ' || k, 'Velvet Pro', k + 0.25, FALSE FROM said WHERE event_type = 'click' AND k % 2 = 0
       UNION ALL SELECT turn_id, 1, '', 'Mac Blush', 'Mac', 9.0, FALSE FROM said WHERE event_type = 'click' AND k % 2 = 0
       UNION ALL SELECT turn_id, 0, '', 'Clean Beauty ' || k, 'Clean Beauty', 0.0, FALSE FROM said WHERE event_type = 'error' AND k % 2 = 0
-      UNION ALL SELECT turn_id, 0, '', 'Glow ' || k, 'Glow ' || k, 0.0, FALSE FROM said WHERE event_type = 'signup' AND k % 2 = 0 AND k > 9
-      UNION ALL SELECT turn_id, CASE WHEN k > 9 THEN 1 ELSE 0 END, '', 'Ultra Kit', 'Ultra Kit', 0.0, FALSE FROM said WHERE event_type = 'signup' AND k % 2 = 0""",
+      UNION ALL SELECT turn_id, 0, '', 'Glow ' || k, 'Glow ' || k, 0.0, FALSE FROM said WHERE event_type = 'signup' AND k % 2 = 0
+      UNION ALL SELECT turn_id, 1, '', 'Ultra Kit', 'Ultra Kit', 0.0, FALSE FROM said WHERE event_type = 'signup' AND k % 2 = 0""",
 )
 def _(d):
     return G.ground_mentions(*spoken(d))
@@ -371,8 +371,8 @@ SHAPES = f"""CASE event_type WHEN 'view' THEN '[' || {ITEM} || ',{{"x":1}},' ||
 @query(
     "normalize_product_json",
     """WITH e AS (SELECT event_id AS key, event_type, user_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events),
-       item AS (SELECT key, event_type, 'p' || k AS product_id, event_type AS name, '' AS brand, '' AS category, '#' || k AS swatch_hex, 5.0 AS color_distance, CAST(k AS DOUBLE) AS price, '' AS image_url FROM e),
-       plain AS (SELECT key, event_type, '' AS product_id, 'N' || k AS name, 'b' AS brand, '' AS category, '#f0f0f0' AS swatch_hex, 5.0 AS color_distance, CAST(user_id AS DOUBLE) AS price, '' AS image_url FROM e)
+       item AS (SELECT key, event_type, 'p' || k AS product_id, event_type AS name, '' AS brand, '' AS category, '#' || k AS swatch_hex, CAST(5 AS DOUBLE) AS color_distance, CAST(k AS DOUBLE) AS price, '' AS image_url FROM e),
+       plain AS (SELECT key, event_type, '' AS product_id, 'N' || k AS name, 'b' AS brand, '' AS category, '#f0f0f0' AS swatch_hex, CAST(5 AS DOUBLE) AS color_distance, CAST(user_id AS DOUBLE) AS price, '' AS image_url FROM e)
        SELECT * EXCLUDE (event_type) FROM (
          SELECT CASE event_type WHEN 'error' THEN 1 ELSE 0 END AS pos, * FROM item WHERE event_type IN ('view', 'click', 'error')
          UNION ALL SELECT CASE event_type WHEN 'view' THEN 2 ELSE 0 END, * FROM plain WHERE event_type IN ('view', 'error', 'signup')
@@ -389,7 +389,7 @@ def _(d):
     "pick_confident_match",
     """WITH e AS (SELECT event_id AS key, event_type, user_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events)
        SELECT key, CASE WHEN 1 - k / 100.0 > 0.45 THEN 'c' || k ELSE 'd' || user_id END AS customer_id, CASE WHEN 1 - k / 100.0 > 0.45 THEN 'Ann' ELSE 'Bo' END AS first_name,
-         '' AS last_name, '' AS email, CASE WHEN 1 - k / 100.0 > 0.45 THEN 'Gold' ELSE 'Member' END AS loyalty_tier, 0.0 AS points_balance,
+         '' AS last_name, '' AS email, CASE WHEN 1 - k / 100.0 > 0.45 THEN 'Gold' ELSE 'Member' END AS loyalty_tier, CAST(0 AS DOUBLE) AS points_balance,
          round(CASE WHEN 1 - k / 100.0 > 0.45 THEN 1 - k / 100.0 ELSE 0.5 END, 4) AS confidence
        FROM e WHERE event_type IN ('view', 'click', 'purchase') AND (event_type <> 'purchase' OR 1 - k / 100.0 > 0.45 OR TRUE)""",
 )
