@@ -39,12 +39,12 @@ def _(d):
 @query(
     "dash_revenue",
     """SELECT round(coalesce(sum(total_cents) / 100.0, 0), 2) AS total_revenue, count(DISTINCT order_id) AS total_orders,
-       round(avg(total_cents) / 100.0, 4) AS avg_order_value FROM shop_orders""",
+       round(avg(total_cents) / 100.0, 8) AS avg_order_value FROM shop_orders""",
     "shop_orders",
 )
 def _(d):
     r = D.revenue(d.shop_orders)
-    return r.select(F.round("total_revenue", 2).alias("total_revenue"), "total_orders", F.round("avg_order_value", 4).alias("avg_order_value"))
+    return r.select(F.round("total_revenue", 2).alias("total_revenue"), "total_orders", F.round("avg_order_value", 8).alias("avg_order_value"))
 
 
 @query(
@@ -141,12 +141,12 @@ def _(d):
 
 @query(
     "vq_category_brand",
-    f"""SELECT category, brand, count(DISTINCT product_id) AS product_count, round(avg(current_price), 4) AS avg_price
+    f"""SELECT category, brand, count(DISTINCT product_id) AS product_count, round(avg(current_price), 8) AS avg_price
         FROM products WHERE launch_date <= TIMESTAMP '{ANCHOR}' GROUP BY category, brand""",
     "products",
 )
 def _(d):
-    return V.categories_and_brands(d.products, ANCHOR).withColumn("avg_price", F.round("avg_price", 4))
+    return V.categories_and_brands(d.products, ANCHOR).withColumn("avg_price", F.round("avg_price", 8))
 
 
 @query(
@@ -166,13 +166,13 @@ def _(d):
 
 @query(
     "vq_review_summary",
-    f"""SELECT product_id, count(DISTINCT review_id) AS review_count, round(avg(rating), 4) AS avg_rating, min(rating) AS min_rating,
+    f"""SELECT product_id, count(DISTINCT review_id) AS review_count, round(avg(rating), 8) AS avg_rating, min(rating) AS min_rating,
         max(rating) AS max_rating, min(created_at) AS earliest_review_date, max(created_at) AS latest_review_date
         FROM reviews WHERE created_at <= TIMESTAMP '{ANCHOR}' GROUP BY product_id""",
     "reviews",
 )
 def _(d):
-    return V.review_summary(d.reviews, ANCHOR).withColumn("avg_rating", F.round("avg_rating", 4))
+    return V.review_summary(d.reviews, ANCHOR).withColumn("avg_rating", F.round("avg_rating", 8))
 
 
 @query(
@@ -209,14 +209,14 @@ def _(d):
        r AS (SELECT category, avg(rating) AS avg_rating, count(*) AS review_count FROM reviews JOIN products USING (product_id) GROUP BY 1),
        m AS (SELECT category, sum(likes + comments + shares) AS engagement FROM mentions JOIN products USING (product_id) GROUP BY 1)
        SELECT category, round(sales / 100.0, 2) AS revenue, CAST(units AS BIGINT) AS units, round(sales / sum(sales) OVER (), 6) AS revenue_share,
-         round(avg_rating, 4) AS avg_rating, review_count, CAST(engagement AS BIGINT) AS engagement
+         round(avg_rating, 8) AS avg_rating, review_count, CAST(engagement AS BIGINT) AS engagement
        FROM s LEFT JOIN r USING (category) LEFT JOIN m USING (category)""",
     "shop_items reviews mentions products",
 )
 def _(d):
     r = X.category_scorecard(d.shop_items, d.reviews, d.mentions, d.products)
     return r.withColumns(
-        {"revenue": F.round("revenue", 2), "revenue_share": F.round("revenue_share", 6), "avg_rating": F.round("avg_rating", 4)}
+        {"revenue": F.round("revenue", 2), "revenue_share": F.round("revenue_share", 6), "avg_rating": F.round("avg_rating", 8)}
     )
 
 
@@ -244,12 +244,12 @@ def _(d):
 
 @query(
     "mv_social_by_brand",
-    """SELECT brand, round(avg(rating), 4) AS avg_rating, count(DISTINCT review_id) AS review_count
+    """SELECT brand, round(avg(rating), 8) AS avg_rating, count(DISTINCT review_id) AS review_count
        FROM reviews JOIN products USING (product_id) GROUP BY brand""",
     "reviews products",
 )
 def _(d):
-    return X.ratings_by(social(d)).withColumn("avg_rating", F.round("avg_rating", 4))
+    return X.ratings_by(social(d)).withColumn("avg_rating", F.round("avg_rating", 8))
 
 
 @query(

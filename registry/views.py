@@ -29,13 +29,13 @@ def inventory(d):
     return M.inventory_view(d.locations, d.stock, d.products)
 
 
-def rounded(df, *cols, places=4):
+def rounded(df, *cols, places=8):
     return df.withColumns({c: F.round(c, places) for c in cols})
 
 
 @query(
     "mv_product",
-    """SELECT brand, round(avg(current_price), 4) AS avg_price, max(current_price) AS max_price, min(current_price) AS min_price,
+    """SELECT brand, round(avg(current_price), 8) AS avg_price, max(current_price) AS max_price, min(current_price) AS min_price,
        count(DISTINCT product_id) AS product_count FROM products GROUP BY brand""",
     "products",
 )
@@ -63,7 +63,7 @@ def _(d):
 
 @query(
     "mv_social",
-    """WITH r AS (SELECT category, round(avg(rating), 4) AS avg_rating, count(DISTINCT review_id) AS review_count
+    """WITH r AS (SELECT category, round(avg(rating), 8) AS avg_rating, count(DISTINCT review_id) AS review_count
          FROM reviews JOIN products USING (product_id) GROUP BY 1),
        m AS (SELECT category, count(DISTINCT mention_id) AS mention_count, CAST(sum(likes + comments + shares) AS BIGINT) AS total_engagement
          FROM mentions JOIN products USING (product_id) GROUP BY 1),
@@ -99,7 +99,7 @@ def _(d):
     "mv_cart",
     """WITH s AS (SELECT customer_id, count(DISTINCT session_id) AS cart_count,
          count(DISTINCT CASE WHEN status = 'completed' THEN session_id END) AS completed_cart_count,
-         round(avg(total_cents) / 100.0, 4) AS avg_cart_value FROM shop_sessions GROUP BY 1),
+         round(avg(total_cents) / 100.0, 8) AS avg_cart_value FROM shop_sessions GROUP BY 1),
        i AS (SELECT customer_id, CAST(sum(quantity) AS BIGINT) AS total_items FROM shop_items JOIN shop_sessions USING (session_id) GROUP BY 1)
        SELECT customer_id, cart_count, completed_cart_count, avg_cart_value, total_items FROM s FULL JOIN i USING (customer_id)""",
     "shop_sessions shop_items",
@@ -111,7 +111,7 @@ def _(d):
 
 @query(
     "mv_customer",
-    """WITH c AS (SELECT loyalty_tier, count(DISTINCT customer_id) AS customer_count, round(avg(points_balance), 4) AS avg_points,
+    """WITH c AS (SELECT loyalty_tier, count(DISTINCT customer_id) AS customer_count, round(avg(points_balance), 8) AS avg_points,
          CAST(sum(points_balance) AS BIGINT) AS total_points FROM customers GROUP BY 1),
        a AS (SELECT loyalty_tier, count(DISTINCT doc_id) AS analysis_count FROM documents LEFT JOIN customers ON customer_id = doc_id GROUP BY 1)
        SELECT coalesce(c.loyalty_tier, a.loyalty_tier) AS loyalty_tier, customer_count, avg_points, total_points, analysis_count
@@ -149,10 +149,10 @@ def _(d):
 
 @query(
     "mv_synonym",
-    """SELECT round(avg(total_cents) / 100.0, 4) AS avg_cart_value, (SELECT round(sum(total_cents) / 100.0, 2) FROM shop_orders) AS total_revenue
+    """SELECT round(avg(total_cents) / 100.0, 8) AS avg_cart_value, (SELECT round(sum(total_cents) / 100.0, 2) FROM shop_orders) AS total_revenue
        FROM shop_sessions""",
     "shop_sessions shop_orders",
 )
 def _(d):
     r = carts(d).query(["AOV", "sales"])
-    return r.select(F.round("avg_cart_value", 4).alias("avg_cart_value"), F.round("total_revenue", 2).alias("total_revenue"))
+    return r.select(F.round("avg_cart_value", 8).alias("avg_cart_value"), F.round("total_revenue", 2).alias("total_revenue"))
