@@ -29,8 +29,12 @@ def unit(a: Column) -> Column:
     return F.when(F.exists(a, lambda x: x != 0), scaled)
 
 
+def l2_squared(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
 def l2(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    return F.sqrt(l2_squared(a, b))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -7,55 +7,72 @@ be in the answer, so results are complete. What is left is an equi-join on the c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from merchlens.functions import vectors as V
 from merchlens.operators.spread import top_k
+from merchlens.session import spread_rows
 
-ROWS_PER_SPLIT = 20_000
+ROWS_PER_SPLIT = 8_192
 PIVOTS = 16
 RING_WIDTH = 0.25
 RINGS = 64
+# Queries whose distances to a piece of points are held at once, and pairs measured at once.
+QUERY_TILE, PAIR_TILE = 256, 65_536
 # Covers rounding of the ranked score, so rows tied after rounding are all seen.
 SCORE_SLACK, SQUARE_SLACK = 2e-4, 4e-6
 
 
+def _merged(name: str) -> Column:
+    """How a cell's bound becomes its block's bound."""
+    fold = F.min if name.endswith("_min") else F.max if name.endswith("_max") else F.first
+    return fold(name).alias(name)
+
+
 def _with_probes(
     queries: DataFrame, cells: DataFrame, near, far, k: int | None, radius: float | None
 ) -> DataFrame:
     """One row per query and cell that can hold an answer.
 
-    ``near`` and ``far`` give the least and greatest distance from the query row to a cell's points.
-    The cell table is bounded by construction (colour cube cells, or pivots x rings).
+    ``near`` and ``far`` give the least and greatest distance from the query row to the points inside some
+    bounds. ``cells(block, cell, n, splits, bounds...)`` is limited by construction (colour cube cells, or
+    pivots x rings); blocks of cells are tried first, then only the cells of the blocks in reach.
     """
-    table = cells.agg(F.collect_list(F.struct(*cells.columns))).scalar()
-    looked = queries.withColumn("__cells", table).withColumn(
-        "__cells",
-        F.transform(
-            "__cells",
-            lambda c: F.struct(far(c).alias("far"), near(c).alias("near"), c["n"].alias("n"), c["splits"].alias("splits"), c["cell"].alias("cell")),
-        ),
+    bounds = [c for c in cells.columns if c not in ("block", "cell", "n", "splits")]
+    blocks = cells.groupBy("block").agg(
+        *[_merged(c) for c in bounds],
+        F.sum("n").alias("n"),
+        F.collect_list(F.struct("cell", "n", "splits", *bounds)).alias("cells"),
     )
+    table = blocks.agg(F.collect_list(F.struct("n", "cells", *bounds))).scalar()
+    looked = spread_rows(queries).withColumn("__blocks", table)
     reach = F.lit(float("inf") if radius is None else radius)
+
+    def slack(distance: Column) -> Column:
+        return F.sqrt(distance * distance + SQUARE_SLACK) + SCORE_SLACK
+
+    def with_k(reach: Column, places: str) -> Column:
+        """Any place with k points reaches far enough."""
+        return reach if k is None else F.least(reach, F.array_min(F.transform(places, lambda c: F.when(c["n"] >= k, far(c)))))
+
+    def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+        return df.withColumn(name, F.explode(F.array(value)))
+
+    looked = once(looked, "__wide", slack(with_k(reach, "__blocks")))
+    close = F.filter("__blocks", lambda c: near(c) <= F.col("__wide"))
+    looked = once(looked, "__cells", F.flatten(F.transform(close, lambda c: c["cells"]))).drop("__blocks")
+    tight = with_k(F.col("__wide"), "__cells")
     if k is not None:
-        seen = F.aggregate(
-            F.array_sort("__cells"),
-            F.struct(F.lit(0).cast("long").alias("n"), F.lit(float("inf")).alias("far")),
-            lambda acc, c: F.when(acc["n"] >= k, acc).otherwise(
-                F.struct(
-                    (acc["n"] + c["n"]).alias("n"),
-                    F.when(acc["n"] + c["n"] >= k, c["far"]).otherwise(F.lit(float("inf"))).alias("far"),
-                )
-            ),
-        )
-        reach = F.least(reach, seen["far"])
-    reach = F.sqrt(reach * reach + SQUARE_SLACK) + SCORE_SLACK
+        # So do the k nearest cells together.
+        tight = F.least(tight, F.get(F.sort_array(F.transform("__cells", far)), F.lit(k - 1)))
+    looked = once(looked, "__reach", slack(tight))
     return (
-        looked.withColumn("__reach", reach)
-        .withColumn("__probe", F.explode(F.filter("__cells", lambda c: c["near"] <= F.col("__reach"))))
+        looked.withColumn("__probe", F.explode(F.filter("__cells", lambda c: near(c) <= F.col("__reach"))))
         .withColumn("__cell", F.col("__probe.cell"))
         .withColumn("__split", F.explode(F.sequence(F.lit(0), F.col("__probe.splits") - 1)))
-        .drop("__cells", "__probe", "__reach")
+        .drop("__cells", "__probe", "__wide")
     )
 
 
@@ -63,6 +80,51 @@ def _splits(n: Column) -> Column:
     return F.ceil(n / ROWS_PER_SPLIT).cast("int")
 
 
+def _matrix(table: pa.Table, column: str) -> np.ndarray:
+    flat = table.column(column).combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _meeting(
+    query_vec: str, point_vec: str, k: int | None, differ: tuple[str, str] | None, columns: list[tuple[str, str]]
+):
+    """Arrow function over the queries and the points of one piece of a cell: the rows close enough to
+    matter, with their distance. Of each query's points here at most the ``k`` nearest (and ties) stay."""
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, hits, lengths = [], [], []
+        if left.num_rows and right.num_rows:
+            q, p = _matrix(left, query_vec), _matrix(right, point_vec)
+            p_square = (p * p).sum(axis=1)
+            reach = left.column("__reach").to_numpy() ** 2
+            own = None
+            if differ:
+                own = left.column(differ[0]).to_numpy()[:, None] == right.column(differ[1]).to_numpy()[None, :]
+            for start in range(0, len(q), QUERY_TILE):
+                tile = q[start : start + QUERY_TILE]
+                square = (tile * tile).sum(axis=1)[:, None] + p_square[None, :] - 2 * tile @ p.T
+                if own is not None:
+                    square[own[start : start + QUERY_TILE]] = np.inf
+                limit = reach[start : start + QUERY_TILE]
+                if k is not None and len(p) > k:
+                    kth = np.sqrt(np.maximum(np.partition(square, k - 1, axis=1)[:, k - 1], 0.0))
+                    limit = np.minimum(limit, (kth + SCORE_SLACK) ** 2 + SQUARE_SLACK)
+                i, j = np.nonzero(square <= np.minimum(limit, np.finfo(float).max)[:, None])
+                for at in range(0, len(i), PAIR_TILE):
+                    apart = tile[i[at : at + PAIR_TILE]] - p[j[at : at + PAIR_TILE]]
+                    lengths.append(np.sqrt((apart * apart).sum(axis=1)))
+                rows.append(i + start)
+                hits.append(j)
+        i = pa.array(np.concatenate(rows) if rows else np.empty(0, dtype=np.int64))
+        j = pa.array(np.concatenate(hits) if hits else np.empty(0, dtype=np.int64))
+        sides = {"left": (left, i), "right": (right, j)}
+        out = [sides[side][0].column(name).take(sides[side][1]) for side, name in columns]
+        out.append(pa.array(np.concatenate(lengths) if lengths else np.empty(0)))
+        return pa.table(out, names=[*[name for _, name in columns], "distance"])
+
+    return meet
+
+
 def vector_candidates(
     queries: DataFrame,
     points: DataFrame,
@@ -71,59 +133,77 @@ def vector_candidates(
     point_vec: str,
     k: int | None = None,
     radius: float | None = None,
+    differ: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Query rows joined with every point that can be within ``radius`` or among the ``k`` nearest (L2).
+    """Query rows with every point that can be within ``radius`` or among the ``k`` nearest, and the L2
+    ``distance``. ``differ`` names a query and a point column that must not be equal.
 
     Cells are rings around a fixed number of pivot vectors; the triangle inequality bounds the distance
-    to a ring. A ring with many points is cut into pieces of about ROWS_PER_SPLIT rows.
+    to a ring. A ring is cut into pieces of about ROWS_PER_SPLIT points and the queries into pieces of the
+    same size, so what meets in one task is bounded on both sides; there the distances are one matrix
+    product. Vectors with gaps or of another length than the first pivot are left out.
     """
     sample = points.select(point_id, point_vec).orderBy(F.xxhash64(point_id), point_id).limit(PIVOTS)
     pivots = sample.agg(F.collect_list(point_vec)).scalar()
 
-    def to_pivots(vec: str) -> Column:
-        return F.transform("__pivots", lambda p: V.l2(p, F.col(vec)))
+    def measured(df: DataFrame, vec: str) -> DataFrame:
+        whole = (F.size(vec) == F.size(F.get("__pivots", F.lit(0)))) & F.forall(vec, lambda x: x.isNotNull())
+        lengths = F.transform("__pivots", lambda p: V.l2(p, F.col(vec)))
+        known = df.withColumn("__pivots", pivots).filter(whole)
+        return known.withColumn("__d", F.explode(F.array(lengths))).drop("__pivots")
 
     ringed = (
-        points.withColumn("__pivots", pivots)
-        .withColumn("__d", to_pivots(point_vec))
+        measured(points, point_vec)
         .withColumn("__rho", F.array_min("__d"))
         .withColumn("__pivot", F.array_position("__d", F.col("__rho")).cast("int") - 1)
         .withColumn("__ring", F.least(F.floor(F.col("__rho") / RING_WIDTH), F.lit(RINGS - 1)).cast("int"))
         .withColumn("__cell", F.col("__pivot") * RINGS + F.col("__ring"))
-        .drop("__pivots", "__d")
+        .drop("__d")
     )
-    cells = ringed.groupBy(F.col("__cell").alias("cell")).agg(
+    cells = ringed.groupBy(F.col("__pivot").alias("block"), F.col("__cell").alias("cell")).agg(
         F.count("*").alias("n"),
         _splits(F.count("*")).alias("splits"),
         F.min("__rho").alias("rho_min"),
         F.max("__rho").alias("rho_max"),
         F.first("__pivot").alias("pivot"),
     )
-    measured = queries.withColumn("__pivots", pivots).withColumn("__dq", to_pivots(query_vec)).drop("__pivots")
 
     def at_pivot(c: Column) -> Column:
-        return F.get("__dq", c["pivot"])
+        return F.get("__d", c["pivot"])
 
     probes = _with_probes(
-        measured,
+        measured(queries, query_vec),
         cells,
         near=lambda c: F.greatest(F.lit(0.0), at_pivot(c) - c["rho_max"], c["rho_min"] - at_pivot(c)),
         far=lambda c: at_pivot(c) + c["rho_max"],
-        k=k,
+        # Points that may not count for a query cannot tell how far its k nearest are.
+        k=None if differ else k,
         radius=radius,
-    ).drop("__dq")
+    ).drop("__d")
+    pieces = queries.agg(_splits(F.count("*"))).scalar()
+    probes = probes.withColumn("__piece", F.pmod(F.xxhash64(*queries.columns[:1]), pieces).cast("int"))
     # The cell table has at most PIVOTS x RINGS rows, so it may always be broadcast.
-    split = ringed.join(F.broadcast(cells.select(F.col("cell").alias("__cell"), "splits")), "__cell").withColumn(
-        "__split", F.pmod(F.xxhash64(point_id), F.col("splits")).cast("int")
+    split = (
+        ringed.join(F.broadcast(cells.select(F.col("cell").alias("__cell"), "splits")), "__cell")
+        .withColumn("__split", F.pmod(F.xxhash64(point_id), F.col("splits")).cast("int"))
+        .withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+        .drop("__rho", "__pivot", "__ring", "splits")
     )
-    return probes.join(split.drop("__rho", "__pivot", "__ring", "splits"), ["__cell", "__split"]).drop("__cell", "__split")
+    keys = ["__cell", "__split", "__piece"]
+    left = [f for f in probes.schema.fields if f.name not in [*keys, "__reach", query_vec]]
+    right = [f for f in split.schema.fields if f.name not in [*keys, point_vec]]
+    columns = [("left", f.name) for f in left] + [("right", f.name) for f in right]
+    schema = T.StructType([*left, *right, T.StructField("distance", T.DoubleType())])
+    meet = _meeting(query_vec, point_vec, k, differ, columns)
+    return probes.groupBy(*keys).cogroup(split.groupBy(*keys)).applyInArrow(meet, schema)
 
 
-COLOR_STEP = 16
+# Edge of a colour cell and of a block of cells.
+COLOR_STEP, BLOCK_STEP = 16, 32
 
 
-def _cell_of(r: Column, g: Column, b: Column) -> Column:
-    return (F.floor(r / COLOR_STEP) * 256 + F.floor(g / COLOR_STEP) * 16 + F.floor(b / COLOR_STEP)).cast("int")
+def _cell_of(r: Column, g: Column, b: Column, step: int = COLOR_STEP) -> Column:
+    return (F.floor(r / step) * 256 + F.floor(g / step) * 16 + F.floor(b / step)).cast("int")
 
 
 def color_nearest(
@@ -137,7 +217,8 @@ def color_nearest(
     """
     order = [F.col(c).asc_nulls_last() for c in point_order]
     kept = top_k(points, ["r", "g", "b"], order, k, "__n").drop("__n").withColumn("__cell", _cell_of(F.col("r"), F.col("g"), F.col("b")))
-    cells = kept.groupBy(F.col("__cell").alias("cell")).agg(
+    block = _cell_of(*[F.col(c) for c in "rgb"], BLOCK_STEP)
+    cells = kept.groupBy(block.alias("block"), F.col("__cell").alias("cell")).agg(
         F.count("*").alias("n"),
         _splits(F.count("*")).alias("splits"),
         *[f(c).alias(f"{c}_{f.__name__}") for c in ("r", "g", "b") for f in (F.min, F.max)],
@@ -167,7 +248,7 @@ def color_nearest(
     split = kept.join(F.broadcast(cells.select(F.col("cell").alias("__cell"), "splits")), "__cell").withColumn(
         "__split", F.pmod(F.xxhash64(*point_order), F.col("splits")).cast("int")
     )
-    pairs = probes.join(split.drop("splits"), ["__cell", "__split"]).drop("__cell", "__split")
+    pairs = probes.join(split.drop("splits"), ["__cell", "__split"]).drop("__cell", "__split", "__reach")
     diff = [F.col(f"t{ch}") - F.col(ch) for ch in "rgb"]
     scored = pairs.withColumn("__square", sum((d * d for d in diff[1:]), diff[0] * diff[0]))
     scored = scored.withColumn("color_distance", F.round(F.sqrt(F.col("__square").cast("double")), 2))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from merchlens.functions.text import words
 from merchlens.operators.spread import top_k
+from merchlens.session import settled
 
 K1, B = 1.2, 0.75
 SCORE_PLACES = 6
@@ -19,7 +20,7 @@ LEAD_WORDS = 3
 
 @dataclass(frozen=True)
 class TextIndex:
-    """``postings(id, term, tf, piece)`` and ``docs(id, dl)``; both may simply be appended to."""
+    """``postings(id, term, tf, dl, piece)`` and ``docs(id, dl)``; both may simply be appended to."""
 
     postings: DataFrame
     docs: DataFrame
@@ -30,14 +31,27 @@ def _piece() -> Column:
 
 
 def postings_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    terms = docs.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col))).alias("term"))
-    return terms.groupBy("id", "term").agg(F.count("*").alias("tf")).withColumn("piece", _piece())
+    """One row per document and word, with the document's length beside it."""
+    split = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
+    terms = split.select("id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
+    return terms.groupBy("id", "term", "dl").agg(F.count("*").alias("tf")).select("id", "term", "tf", "dl", _piece().alias("piece"))
 
 
 def lengths_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.size(words(F.col(text_col))), F.lit(0)).cast("long").alias("dl"))
 
 
+def save_index(index: TextIndex, path: str) -> TextIndex:
+    """Write the index; answers then start from the stored postings instead of the texts."""
+    index.postings.write.parquet(f"{path}/postings")
+    index.docs.write.parquet(f"{path}/docs")
+    return load_index(index.postings.sparkSession, path)
+
+
+def load_index(spark: SparkSession, path: str) -> TextIndex:
+    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"))
+
+
 def build_index(docs: DataFrame, id_col: str, text_col: str) -> TextIndex:
     return TextIndex(postings_of(docs, id_col, text_col), lengths_of(docs, id_col, text_col))
 
@@ -76,13 +90,15 @@ def search(
     n = corpus.select("n").scalar()
     avgdl = corpus.select("avgdl").scalar()
     wanted = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    dfs = index.postings.groupBy("term").agg(F.count("*").alias("df"))
+    asked = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    dfs = asked.groupBy("term").agg(F.count("*").alias("df"))
     weighted = wanted.join(dfs, "term").withColumn("idf", _idf(F.col("df"), n)).withColumn("most", F.col("idf") * (K1 + 1))
+    weighted = settled(weighted, "query-words")
 
     postings = index.postings if allowed is None else index.postings.join(allowed.select("id"), "id", "left_semi")
     length_norm = K1 * (1 - B + B * F.col("dl") / avgdl)
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + length_norm)
-    hits = postings.join(index.docs, "id").select("id", "term", "piece", gain.alias("gain"))
+    hits = postings.select("id", "term", "piece", gain.alias("gain"))
 
     def scored(terms: DataFrame) -> DataFrame:
         spread = terms.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(TERM_PIECES - 1))))
@@ -97,7 +113,7 @@ def search(
     bar = kth.select("query_id", (F.col("score") - 10.0**-SCORE_PLACES).alias("bar"))
 
     # One row per query: its words by rising weight, and how many of the lightest stay under the bar.
-    plans = (
+    plans = settled(
         weighted.groupBy("query_id")
         .agg(F.array_sort(F.collect_list(F.struct("most", "idf", "term"))).alias("terms"))
         .join(bar, "query_id", "left")
@@ -111,14 +127,15 @@ def search(
                     F.struct((acc["sum"] + t["most"]).alias("sum"), (acc["count"] + 1).alias("count")),
                 ).otherwise(F.struct(F.lit(float("inf")).alias("sum"), acc["count"].alias("count"))),
             )["count"],
-        )
+        ),
+        "query-plans",
     )
     light_terms = F.slice("terms", F.lit(1), F.col("light"))
     light = plans.filter("light > 0").select("query_id", light_terms.alias("lights"), F.aggregate(light_terms, F.lit(0.0), lambda s, t: s + t["most"]).alias("rest"), "bar")
     heavy = plans.select("query_id", F.explode(F.slice("terms", F.col("light") + 1, F.size("terms"))).alias("t")).select(
         "query_id", F.col("t.term").alias("term"), F.col("t.idf").alias("idf")
     )
-    base = scored(heavy)
+    base = settled(scored(heavy), "first-scores")
     open_docs = base.join(light, "query_id").filter(F.col("score") + F.col("rest") >= F.col("bar"))
     extra = (
         open_docs.select("query_id", "id", F.explode("lights").alias("t"))

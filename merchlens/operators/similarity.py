@@ -29,11 +29,16 @@ def _units(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, V.unit(V.as_vector(F.col("embedding")))).drop("embedding").filter(F.col(name).isNotNull())
 
 
-def _scored(queries: DataFrame, people: DataFrame, k: int | None, threshold: float | None) -> DataFrame:
+def _scored(
+    queries: DataFrame, people: DataFrame, k: int | None, threshold: float | None, differ: tuple[str, str] | None = None
+) -> DataFrame:
     """Query x person rows that can matter, with the cosine similarity."""
     radius = None if threshold is None else _radius(threshold)
-    pairs = vector_candidates(_units(queries, "__q"), _units(people, "__p"), "embedding_id", "__q", "__p", k, radius)
-    scored = pairs.withColumn("similarity_score", V.dot(F.col("__q"), F.col("__p"))).drop("__q", "__p")
+    pairs = vector_candidates(
+        _units(queries, "__q"), _units(people, "__p"), "embedding_id", "__q", "__p", k, radius, differ
+    )
+    # Between unit vectors the squared distance is 2 - 2 cos.
+    scored = pairs.withColumn("similarity_score", 1 - F.col("distance") * F.col("distance") / 2).drop("distance")
     return scored if threshold is None else scored.filter(F.col("similarity_score") >= threshold)
 
 
@@ -92,7 +97,7 @@ def similar_entities(
     sources = primary_vectors(embeddings).select(F.col("customer_id").alias("source_id"), "embedding")
     asked = sources.join(source_ids.select("source_id").distinct(), "source_id")
     people = _live(embeddings, customers.select("customer_id", "email", "first_name", "last_name", "is_active"))
-    others = _scored(asked, people, None, threshold).filter("customer_id <> source_id")
+    others = _scored(asked, people, k, threshold, ("source_id", "customer_id"))
     return top_k(others, ["source_id"], _by_similarity(), k).select(
         "source_id", "rank", "customer_id", "email", "first_name", "last_name", "similarity_score"
     )
@@ -103,8 +108,8 @@ def similar_all_pairs(embeddings: DataFrame, threshold: float = 0.8) -> DataFram
     live = embeddings.filter("is_active").select("embedding_id", "customer_id", "embedding")
     left = live.select(F.col("embedding_id").alias("left_id"), F.col("customer_id").alias("left_customer"), "embedding")
     return (
-        _scored(left, live, None, threshold)
-        .filter("left_id < embedding_id AND left_customer <> customer_id")
+        _scored(left, live, None, threshold, ("left_customer", "customer_id"))
+        .filter("left_id < embedding_id")
         .select("left_id", F.col("embedding_id").alias("right_id"), "similarity_score")
     )
 
@@ -129,8 +134,7 @@ def topk_l2(
     )
     asked = queries.select("query_id", V.as_vector(F.col("embedding")).alias("__q"))
     k, radius = (5, None) if compat else (k, threshold)
-    exact = V.l2(F.col("__q"), F.col("__p"))
-    pairs = vector_candidates(asked, people, "embedding_id", "__q", "__p", k, radius).withColumn("__exact", exact)
+    pairs = vector_candidates(asked, people, "embedding_id", "__q", "__p", k, radius).withColumnRenamed("distance", "__exact")
     if not compat:
         pairs = pairs.filter(F.col("__exact") < threshold)
     ranked = pairs.withColumn("distance", F.round("__exact", 4))

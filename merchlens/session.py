@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -44,3 +44,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         root = os.path.join(tempfile.gettempdir(), "merchlens-scratch")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str = "settled") -> DataFrame:
+    """``df`` written to the shared scratch folder and read back.
+
+    For a result several later steps start from: it is worked out once, outlives lost executors, and the
+    next plan starts from its real size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Rows dealt out over the shuffle partitions, for few rows that each need much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread_if_narrow(source: DataFrame) -> DataFrame:
+    """A scanned table spread over all cores when its files give fewer splits than there are cores."""
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return source.repartition(cores) if source.rdd.getNumPartitions() < cores else source

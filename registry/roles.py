@@ -9,10 +9,15 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from merchlens.session import spread_if_narrow
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+# Texts, JSON and vectors need much work per row.
+COSTLY_ROWS = ("events", "documents", "embeddings", "pages", "conversations")
+
 SPARK_NAMES = {
     "list": "array", "empty": "CAST(array() AS array<string>)", "json": "get_json_object",
     "each": "explode", "zip": "zip_with(a.embedding, b.embedding, (x, y) -> {0} * CAST(x AS double) + {1} * CAST(y AS double))",
@@ -213,7 +218,8 @@ class Data:
         return self._made[name]
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread_if_narrow(table) if name in COSTLY_ROWS else table
 
     def _role(self, name: str) -> DataFrame:
         if name not in ROLES:

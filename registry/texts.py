@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from merchlens.functions.text import base_name, joined_blank, sku_from_path, words
 from merchlens.operators import content as T, labels as L, mentions as G, search as S, tool_results as R, transcripts as H
 from merchlens.operators.infer import batch_infer, infer_totals
+from merchlens.session import scratch_path
 from merchlens.sources.files import STAGE_PREFIX, resolve_label_paths, unprocessed_files
 from registry.core import query
 
@@ -83,13 +84,17 @@ def index(d):
     return S.build_index(d.documents, "doc_id", "text")
 
 
+def stored_index(d):
+    return S.save_index(index(d), scratch_path(d.spark, "text-index"))
+
+
 def asked(d):
     return d.benchmark.select(F.col("item_id").alias("query_id"), "text")
 
 
 @query("bm25_topk", f"WITH {INDEX}, {ASKED}, {BM25.format(TERMS, '')} SELECT * FROM top")
 def _(d):
-    return S.search(index(d), asked(d))
+    return S.search(stored_index(d), asked(d))
 
 
 @query(
@@ -98,7 +103,7 @@ def _(d):
 )
 def _(d):
     good = d.labels.filter("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("id")).distinct()
-    return S.search(index(d), asked(d), allowed=good)
+    return S.search(stored_index(d), asked(d), allowed=good)
 
 
 @query(
@@ -141,7 +146,7 @@ def _(d):
 def _(d):
     q = asked(d)
     same = q.withColumn("n_chars", F.length("text").cast("long")).join(d.documents.select(F.col("doc_id").alias("id"), "n_chars"), "n_chars")
-    return S.search_with_fallback(same.select("query_id", "id"), index(d), q)
+    return S.search_with_fallback(same.select("query_id", "id"), stored_index(d), q)
 
 
 PARSED = r"""
