@@ -35,14 +35,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder the cluster names in spark.checkpoint.dir.
 
-    The setting is filled in only where it is unset and the session is local, as in tests.
+    A folder of our own stands in only where it is unset and the session is local, as in tests.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = os.path.join(tempfile.gettempdir(), "merchlens-scratch")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
