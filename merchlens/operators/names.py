@@ -22,13 +22,6 @@ def _all_grams(text: Column) -> Column:
     return F.concat(*[_grams(text, n) for n in range(1, GRAM + 1)])
 
 
-def _own_grams(text: Column) -> Column:
-    out = _grams(text, GRAM)
-    for n in range(GRAM - 1, 0, -1):
-        out = F.when(F.length(text) == n, _grams(text, n)).otherwise(out)
-    return out
-
-
 def resolve_names(
     refs: DataFrame,
     candidates: DataFrame,
@@ -59,20 +52,23 @@ def resolve_names(
     )
     open_refs = staged.filter(~is_id & F.col("__exact").isNull()).select("__low", *scope).distinct()
     index = names.withColumnRenamed("__low", "__name").withColumn("__gram", F.explode(_all_grams(F.col("__name"))))
-    counts = index.groupBy("__gram", *scope).agg(F.count("*").alias("__n"))
-    # A piece that no name has makes a match impossible; the inner joins then drop the reference.
-    pieces = open_refs.withColumn("__gram", F.explode(_own_grams(F.col("__low"))))
+    counts = index.groupBy("__gram", *scope).agg(F.count("*").alias("__n"), F.min_by("__id", "__first").alias("__part"))
+    # A reference no longer than a piece is one: the best name of that piece is the answer.
+    short = open_refs.join(counts.withColumnRenamed("__gram", "__low"), ["__low", *scope]).select("__low", *scope, "__part")
+    pieces = open_refs.filter(F.length("__low") > GRAM).withColumn("__gram", F.explode(_grams(F.col("__low"), GRAM)))
+    # A piece that no name has makes a match impossible; the inner join then drops the reference.
     rarest = (
-        pieces.join(counts, ["__gram", *scope], "left")
+        pieces.join(counts.select("__gram", *scope, "__n"), ["__gram", *scope], "left")
         .groupBy("__low", *scope)
         .agg(F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), F.col("__gram"))).alias("__gram"))
     )
-    part = (
+    long = (
         rarest.join(index, ["__gram", *scope])
         .filter(F.contains("__name", "__low"))
         .groupBy("__low", *scope)
         .agg(F.min_by("__id", "__first").alias("__part"))
     )
+    part = short.filter(F.length("__low") <= GRAM).unionByName(long)
     found = staged.join(part, ["__low", *scope], "left")
     how = (
         F.when(is_id & F.col("__by_id"), "id")

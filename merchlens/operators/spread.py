@@ -87,8 +87,3 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     """First ``k`` rows per key. Spark trims each key to ``k`` rows before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
-
-
-def small_or_shuffled(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """A broadcast hint only when a count shows at most ``max_rows`` rows; else a plain shuffled side."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -28,6 +28,8 @@ CUSTOMER_FIELDS = (
 ROW_KEYS = ("rows", "data", "results")
 EMPTY_JSON = ("null", '""', "[]", "{}", "0", "0.0", "false")
 MIN_CONFIDENCE = 0.45
+# A table with one of these in its column names holds products.
+PRODUCT_COLUMNS = ("product", "name", "brand", "price")
 
 
 def _text(value: Column) -> Column:
@@ -106,6 +108,30 @@ def normalize_products(results: DataFrame, key: str = "key", content: str = "con
     return listed.select(key, "pos", *_fields(F.col("__item"), PRODUCT_FIELDS)).filter("name IS NOT NULL")
 
 
+def normalize_tables(tables: DataFrame, key: str = "key", content: str = "content") -> DataFrame:
+    """Product rows of JSON tables: ``columns`` with ``rows`` (or ``data``) that are lists or objects.
+
+    A table counts only when a column name speaks of products; a row of another length than the columns
+    is dropped. A plain list is read as a list of objects.
+    """
+    v = F.col("__v")
+    read = _held(tables.select(key, content), "__v", J.strict_variant(F.col(content)))
+    heads = F.transform(
+        F.try_variant_get(v, "$.columns", "array<variant>"),
+        lambda c: F.when(_is(c, "{"), F.coalesce(F.try_variant_get(c, "$.name", "string"), F.lit(""))).otherwise(F.try_variant_get(c, "$", "string")),
+    )
+    named = _held(read, "__heads", heads)
+    spoken = F.lower(F.array_join("__heads", " ")).rlike("|".join(PRODUCT_COLUMNS))
+    rows = F.when(_is(v, "["), _items(v)).when(spoken, _items(_first_filled(v, ROW_KEYS[:2])))
+    listed = named.select(key, "__heads", F.posexplode(rows).alias("pos", "__row"))
+    cells = F.try_variant_get("__row", "$", "array<variant>")
+    as_list = _is(F.col("__row"), "[") & (F.size(cells) == F.size("__heads"))
+    by_head = F.to_json(F.map_from_arrays(F.col("__heads"), cells))
+    item = F.when(_is(F.col("__row"), "{"), F.col("__row")).when(as_list, F.try_parse_json(by_head))
+    items = _held(listed, "__item", item)
+    return items.select(key, "pos", *_fields(F.col("__item"), PRODUCT_FIELDS)).filter("name IS NOT NULL")
+
+
 def pick_match(
     results: DataFrame, key: str = "key", content: str = "content", min_conf: float = MIN_CONFIDENCE, compat: bool = False
 ) -> DataFrame:

@@ -275,17 +275,17 @@ def stream_events(d):
     pieces = d.conversations.select(turn, "text", F.posexplode(F.sequence(F.lit(1), F.greatest(size, F.lit(1)))).alias("seq", "n"))
     piece = F.substr("text", (F.col("n") - 1) * 40 + 1, F.lit(40))
     deltas = pieces.select(
-        "turn_id", F.col("seq").cast("long").alias("seq"), F.lit("response.text.delta").alias("event_type"),
+        "turn_id", (F.col("seq") + 10).cast("long").alias("seq"), F.lit("response.text.delta").alias("event_type"),
         F.when(F.col("n") % 2 == 0, F.to_json(F.struct(piece.alias("text")))).otherwise(F.to_json(F.struct(F.struct(piece.alias("text")).alias("delta")))).alias("payload"),
     )
 
     def extra(seq, kind, payload):
         return d.conversations.select(turn, F.lit(seq).cast("long").alias("seq"), kind.alias("event_type"), payload.alias("payload"))
 
-    tool = extra(100001, F.lit("response.tool_use"), F.to_json(F.struct(F.col("role").alias("name"))))
-    meta = extra(100002, F.lit(None).cast("string"), F.to_json(F.struct(F.lit("metadata").alias("type"), F.col("conv_id").alias("thread_id"), F.col("turn").alias("message_id"))))
-    broken = extra(100003, F.lit("response.text.delta"), F.lit("{not json"))
-    failed = extra(100004, F.lit("error"), F.to_json(F.struct(F.concat(F.lit("failed "), F.col("conv_id")).alias("message")))).filter("turn_id LIKE '%-3-%'")
+    tool = extra(0, F.lit("response.tool_use"), F.to_json(F.struct(F.col("role").alias("name"))))
+    meta = extra(1, F.lit(None).cast("string"), F.to_json(F.struct(F.lit("metadata").alias("type"), F.col("conv_id").alias("thread_id"), F.col("turn").alias("message_id"))))
+    broken = extra(2, F.lit("response.text.delta"), F.lit("{not json"))
+    failed = extra(3, F.lit("error"), F.to_json(F.struct(F.concat(F.lit("failed "), F.col("conv_id")).alias("message")))).filter("turn_id LIKE '%-3-%'")
     out = deltas
     for more in (tool, meta, broken, failed):
         out = out.unionByName(more)
@@ -299,7 +299,7 @@ def stream_events(d):
          CASE WHEN turn <> 3 THEN CAST(turn AS VARCHAR) END AS message_id, CASE WHEN turn = 3 THEN 'failed ' || conv_id END AS error FROM conversations""",
 )
 def _(d):
-    r = H.assemble_turns(stream_events(d), part_events=1_000_000)
+    r = H.assemble_turns(stream_events(d))
     return r.select("turn_id", "success", "text", F.array_join("tools", ",").alias("tools"), "thread_id", "message_id", "error")
 
 
@@ -390,6 +390,24 @@ def _(d):
     return R.normalize_products(rows.select("key", F.expr(text).alias("content")))
 
 
+@query(
+    "normalize_table_json",
+    """WITH e AS (SELECT event_id AS key, event_type, CAST(props->>'$.k' AS BIGINT) AS k FROM events)
+       SELECT key, CASE event_type WHEN 'click' THEN 1 ELSE 0 END AS pos, 'p' || k AS product_id, 'N' || k AS name, '' AS brand, '' AS category, '#f0f0f0' AS swatch_hex,
+         CAST(5 AS DOUBLE) AS color_distance, CAST(CASE event_type WHEN 'purchase' THEN 0 ELSE k END AS DOUBLE) AS price, '' AS image_url
+       FROM e WHERE event_type IN ('view', 'click', 'purchase')""",
+)
+def _(d):
+    k = F.get_json_object("props", "$.k").cast("long").alias("k")
+    rows = d.events.select(F.col("event_id").alias("key"), "event_type", k)
+    columns = '"columns":[{"name":"PRODUCT_ID"},{"name":"NAME"},"price"]'
+    text = f"""CASE event_type WHEN 'view' THEN '{{{columns},"rows":[["p' || k || '","N' || k || '",' || k || ']]}}'
+        WHEN 'click' THEN '{{{columns},"data":[["too short"],{{"product_id":"p' || k || '","name":"N' || k || '","PRICE":' || k || '}}]}}'
+        WHEN 'error' THEN '{{"columns":["colour"],"rows":[["N"]]}}'
+        WHEN 'purchase' THEN '[{{"NAME":"N' || k || '","product_id":"p' || k || '"}}]' ELSE 'oops' END"""
+    return R.normalize_tables(rows.select("key", F.expr(text).alias("content")))
+
+
 @query(
     "pick_confident_match",
     """WITH e AS (SELECT event_id AS key, event_type, user_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events)

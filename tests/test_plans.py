@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -21,24 +22,27 @@ def plan(df) -> str:
 LAZY = [n for n in entry.queries() if not n.startswith(("stream_", "bm25", "fallback", "search_index_inc", "load_csv"))]
 
 
-def test_no_query_pairs_everything(spark):
-    for name in LAZY:
-        text = plan(entry.queries()[name](spark, SMALL))
+@pytest.fixture(scope="module")
+def plans(spark):
+    return {name: plan(entry.queries()[name](spark, SMALL)) for name in LAZY}
+
+
+def test_no_query_pairs_everything(plans):
+    for name, text in plans.items():
         assert "CartesianProduct" not in text, name
         assert "BroadcastNestedLoopJoin" not in text, name
 
 
-def test_python_only_where_declared(spark):
+def test_python_only_where_declared(plans):
     declared = ("vector_", "similar_", "batch_infer")
-    for name in LAZY:
-        text = plan(entry.queries()[name](spark, SMALL))
+    for name, text in plans.items():
         python = any(word in text for word in ("PythonUDF", "InPandas", "InArrow", "BatchEvalPython"))
         assert not python or name.startswith(declared), name
 
 
-def test_windows_have_partitions(spark):
-    for name in LAZY:
-        for line in plan(entry.queries()[name](spark, SMALL)).splitlines():
+def test_windows_have_partitions(plans):
+    for name, text in plans.items():
+        for line in text.splitlines():
             if "Window [" in line and name != "category_scorecard":
                 assert not line.rstrip().endswith("[], [], []"), name
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from merchlens.operators.spread import following, latest_by, running, seq_chunk, small_or_shuffled, top_k
+from merchlens.operators.spread import following, latest_by, running, seq_chunk, top_k
 from tests.conftest import answers
 
 
@@ -52,11 +52,3 @@ def test_top_k_is_trimmed_before_the_shuffle(rows):
     assert [r.v for r in best.orderBy("rank").collect()] == [49, 48, 47]
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
-
-
-def test_broadcast_only_when_small(spark):
-    hint = lambda df: "rightHint=(strategy=broadcast)" in spark.range(5).join(df, "id")._jdf.queryExecution().analyzed().toString() or (
-        "ResolvedHint (strategy=broadcast)" in spark.range(5).join(df, "id")._jdf.queryExecution().analyzed().toString()
-    )
-    assert hint(small_or_shuffled(spark.range(10), 10))
-    assert not hint(small_or_shuffled(spark.range(11), 10))
