@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from merchlens.functions.text import cents, dollars, order_number, uuid_from
 from merchlens.operators.spread import CHUNK_ROWS, following, running, seq_chunk
+from merchlens.session import settled
 
 ITEM = ["session_id", "item_ref"]
 LINE = [*ITEM, "level", "line"]
@@ -61,8 +62,11 @@ def with_levels(commands: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
 
 
 def line_commands(log: DataFrame, products: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Item commands that act on a line, with ``level`` and ``line`` naming it."""
-    acting = with_levels(priced_commands(log, products), chunk_rows).filter("level > 0")
+    """Item commands that act on a line, with ``level`` and ``line`` naming it.
+
+    The levels are stored first: the running count reads them twice.
+    """
+    acting = settled(with_levels(priced_commands(log, products), chunk_rows).filter("level > 0"), "levels")
     is_add = (F.col("command") == "add").cast("int")
     return running(acting, [*ITEM, "level"], [F.col("seq")], seq_chunk("seq", chunk_rows), {"line": ("sum", is_add)})
 
@@ -186,7 +190,8 @@ def checkout(log: DataFrame, products: DataFrame, chunk_rows: int = CHUNK_ROWS)
         log, ["session_id"], seq, seq_chunk("seq", chunk_rows),
         {"orders_before": ("sum", (F.col("command") == "checkout").cast("long"))}, exclude_current=True,
     )
-    commands = line_commands(counted, products, chunk_rows)
+    counted = settled(counted, "counted-commands")
+    commands = settled(line_commands(counted, products, chunk_rows), "line-commands")
     states = commands.groupBy(*LINE, "orders_before").agg(
         F.max_by(F.struct("command", "quantity"), "seq").alias("state")
     )

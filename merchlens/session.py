@@ -62,6 +62,6 @@ def spread_rows(df: DataFrame) -> DataFrame:
 
 
 def spread_if_narrow(source: DataFrame) -> DataFrame:
-    """A scanned table spread over all cores when its files give fewer splits than there are cores."""
+    """A scanned table spread by its first column when its files give fewer splits than there are cores."""
     cores = source.sparkSession.sparkContext.defaultParallelism
-    return source.repartition(cores) if source.rdd.getNumPartitions() < cores else source
+    return source.repartition(cores, source.columns[0]) if source.rdd.getNumPartitions() < cores else source

@@ -8,6 +8,7 @@ from merchlens.operators.ledger import ledger_check
 from merchlens.operators.pricing import active_promotions, choose_shipping, price_asof
 from merchlens.operators.spread import latest_by
 from merchlens.operators.trending import trending
+from merchlens.session import settled
 from registry.core import query
 
 # Small enough that the driver's tables fall into many chunks per key.
@@ -39,6 +40,11 @@ def items(d):
     return C.fold_items(d.commands, d.products, CHUNK)
 
 
+def stored_items(d):
+    """The cart lines as a table, as a shop would keep them."""
+    return settled(items(d), "cart-items")
+
+
 @query(
     "cart_sessions_from_log",
     f"""WITH {LINES} SELECT session_id, customer_id, status, coalesce(subtotal_cents, 0) AS subtotal_cents, coalesce(subtotal_cents, 0) AS total_cents,
@@ -89,7 +95,7 @@ def _(d):
     "commands products",
 )
 def _(d):
-    i = items(d)
+    i = stored_items(d)
     return C.cart_snapshot(C.fold_sessions(d.commands, i), i).drop("variant_id")
 
 
@@ -102,7 +108,7 @@ def _(d):
     "commands products",
 )
 def _(d):
-    i = items(d)
+    i = stored_items(d)
     docs = C.cart_documents(C.fold_sessions(d.commands, i), i, page_rows=5, chunk_rows=CHUNK)
     text = F.transform("items", lambda x: F.concat_ws("x", x["product_id"], x["quantity"]))
     return docs.select("session_id", "page", F.array_join(text, ",").alias("items"), "item_count")
