@@ -73,7 +73,7 @@ def flatten_label(parsed: DataFrame) -> DataFrame:
         rows.append(row(F.lit(sort), F.lit(caption), F.concat(F.lit("("), F.size(entries).cast("string"), F.lit(" items)"))))
         numbered = F.filter(F.transform(entries, numbering(base, item)), lambda x: x["value"].isNotNull())
         lists.append(F.coalesce(numbered, F.array().cast("array<struct<sort:int,property:string,value:string>>")))
-    return parsed.select("file_path", F.inline(F.concat(F.array(*rows), *lists)))
+    return parsed.select("file_path", F.inline_outer(F.concat(F.array(*rows), *lists)))
 
 
 def label_search_text(parsed: DataFrame) -> DataFrame:

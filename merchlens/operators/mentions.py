@@ -28,7 +28,7 @@ def _groups(text: Column, pattern: str, *groups: int) -> Column:
 def parse_mentions(turns: DataFrame, text: str = "text") -> DataFrame:
     """One row per ``**name** (ID: uuid) - $price`` in the text, with its position."""
     found = _groups(F.col(text), MENTION, 1, 2, 3)
-    return turns.select("turn_id", F.posexplode(found).alias("pos", "m")).select(
+    return turns.select("turn_id", F.posexplode_outer(found).alias("pos", "m")).filter("pos IS NOT NULL").select(
         "turn_id",
         "pos",
         F.lower("m.g2").alias("product_id"),
@@ -85,8 +85,8 @@ def ground_mentions(turns: DataFrame, tool_products: DataFrame, fallback_k: int
     ).select("turn_id", F.col("pos").cast("int").alias("pos"), "product_id", "name", "brand", "price", F.lit(True).alias("grounded"))
     no_tools = unnamed.filter("product_tool_used").join(tool_products.select("turn_id").distinct(), "turn_id", "left_anti")
     from_text = no_tools.select(
-        "turn_id", F.posexplode(F.slice(_text_products(F.col("text")), 1, fallback_k)).alias("pos", "p")
-    ).select(
+        "turn_id", F.posexplode_outer(F.slice(_text_products(F.col("text")), 1, fallback_k)).alias("pos", "p")
+    ).filter("pos IS NOT NULL").select(
         "turn_id", "pos", F.lit("").alias("product_id"), F.col("p.name").alias("name"),
         brand_guess(F.col("p.name")).alias("brand"), F.col("p.price").alias("price"), F.lit(False).alias("grounded"),
     )

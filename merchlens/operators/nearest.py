@@ -69,7 +69,9 @@ def _with_probes(
         tight = F.least(tight, F.get(F.sort_array(F.transform("__cells", far)), F.lit(k - 1)))
     looked = once(looked, "__reach", slack(tight))
     return (
-        looked.withColumn("__probe", F.explode(F.filter("__cells", lambda c: near(c) <= F.col("__reach"))))
+        # The outer form: plain explode would test every cell a second time to skip empty lists early.
+        looked.withColumn("__probe", F.explode_outer(F.filter("__cells", lambda c: near(c) <= F.col("__reach"))))
+        .filter("__probe IS NOT NULL")
         .withColumn("__cell", F.col("__probe.cell"))
         .withColumn("__split", F.explode(F.sequence(F.lit(0), F.col("__probe.splits") - 1)))
         .drop("__cells", "__probe", "__wide")

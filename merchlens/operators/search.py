@@ -33,7 +33,8 @@ def _piece() -> Column:
 def postings_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document and word, with the document's length beside it."""
     split = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    terms = split.select("id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
+    # The outer form: plain explode would run the tokeniser a second time to skip empty texts early.
+    terms = split.select("id", F.size("w").cast("long").alias("dl"), F.explode_outer("w").alias("term")).filter("term IS NOT NULL")
     return terms.groupBy("id", "term", "dl").agg(F.count("*").alias("tf")).select("id", "term", "tf", "dl", _piece().alias("piece"))
 
 

@@ -104,7 +104,7 @@ def normalize_products(results: DataFrame, key: str = "key", content: str = "con
         held.isNotNull() & ~F.col("__quoted"), F.array(v)
     )
     items = F.when(_is(v, "["), _items(v)).when(_is(v, "{"), from_object)
-    listed = rows.select(key, F.posexplode(items).alias("pos", "__item"))
+    listed = rows.select(key, F.posexplode_outer(items).alias("pos", "__item"))
     return listed.select(key, "pos", *_fields(F.col("__item"), PRODUCT_FIELDS)).filter("name IS NOT NULL")
 
 
@@ -123,7 +123,7 @@ def normalize_tables(tables: DataFrame, key: str = "key", content: str = "conten
     named = _held(read, "__heads", heads)
     spoken = F.lower(F.array_join("__heads", " ")).rlike("|".join(PRODUCT_COLUMNS))
     rows = F.when(_is(v, "["), _items(v)).when(spoken, _items(_first_filled(v, ROW_KEYS[:2])))
-    listed = named.select(key, "__heads", F.posexplode(rows).alias("pos", "__row"))
+    listed = named.select(key, "__heads", F.posexplode_outer(rows).alias("pos", "__row"))
     cells = F.try_variant_get("__row", "$", "array<variant>")
     as_list = _is(F.col("__row"), "[") & (F.size(cells) == F.size("__heads"))
     by_head = F.to_json(F.map_from_arrays(F.col("__heads"), cells))
@@ -164,4 +164,4 @@ def pick_match(
     listed = _held(opened, "__items", items)
     people = F.transform("__items", lambda i: F.struct(*_fields(i, CUSTOMER_FIELDS), confidence(i).alias("confidence")))
     good = F.filter(people, lambda p: p["customer_id"].isNotNull() & p["first_name"].isNotNull() & (p["confidence"] > min_conf))
-    return listed.select(key, F.inline(F.slice(good, 1, 1)))
+    return listed.select(key, F.inline_outer(F.slice(good, 1, 1))).filter("customer_id IS NOT NULL")
