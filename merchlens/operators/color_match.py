@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from merchlens.functions import colors as C
 from merchlens.operators.nearest import color_nearest
+from merchlens.operators.spread import top_k
 
 # Words shoppers use for a category.
 CATEGORY_WORDS = {
@@ -47,14 +48,21 @@ def category_words(spark) -> DataFrame:
     return spark.createDataFrame(rows, "filter_term string, category string")
 
 
-def _shades(products: DataFrame, variants: DataFrame, media: DataFrame) -> DataFrame:
-    """Shade rows with product fields and each primary image; several primary images repeat the row."""
+def _shades(products: DataFrame, variants: DataFrame, media: DataFrame, k: int) -> DataFrame:
+    """Shade rows with product fields and each primary image; several primary images repeat the row.
+
+    Of a product's images only the first ``k`` can be in an answer, so they become a short list on the
+    product; the shades then need one join, which Spark can split where a product has very many of them.
+    """
+    primary = media.filter("is_primary").select("product_id", "url")
+    first = top_k(primary, ["product_id"], [F.col("url").asc_nulls_last()], k, "__n")
+    images = first.groupBy("product_id").agg(F.collect_list(F.struct("url")).alias("__images"))
     p = products.select("product_id", "name", "brand", "category", F.col("current_price").alias("price"))
     v = variants.filter(F.col("color_hex").isNotNull()).select(
         "product_id", "variant_id", F.col("color_hex").alias("swatch_hex")
     )
-    m = media.filter("is_primary").select("product_id", F.col("url").alias("image_url"))
-    return p.join(v, "product_id").join(m, "product_id", "left")
+    shades = v.join(p.join(images, "product_id", "left"), "product_id")
+    return shades.withColumn("__image", F.explode_outer("__images")).withColumn("image_url", F.col("__image.url")).drop("__images", "__image")
 
 
 def match_products(
@@ -75,7 +83,7 @@ def match_products(
     if active_only:
         chosen = chosen.filter("is_active")
     points = (
-        _shades(chosen, variants.filter(F.length("color_hex") == 7), media)
+        _shades(chosen, variants.filter(F.length("color_hex") == 7), media, k)
         .withColumn("__priority", category_priority(F.col("category")))
         .select("*", *[C.hex_channel(F.col("swatch_hex"), i, 0).alias(ch) for i, ch in enumerate("rgb")])
     )
@@ -90,7 +98,7 @@ def match_products_in_category(
 ) -> DataFrame:
     """Top ``k`` shades of one category by the rounded distance. An unreadable colour raises."""
     chosen = products.filter(F.lower("category") == category.lower())
-    points = _shades(chosen, variants, media).select(
+    points = _shades(chosen, variants, media, k).select(
         "*", *[C.hex_channel(F.col("swatch_hex"), i).alias(ch) for i, ch in enumerate("rgb")]
     )
     asked = targets.select("*", *[C.hex_channel(F.col("target_hex"), i).alias(f"t{ch}") for i, ch in enumerate("rgb")])

@@ -39,7 +39,7 @@ def deactivate(embeddings: DataFrame, keys: DataFrame, by: str = "embedding_id")
     updated = embeddings.join(marks, by, "left").withColumn(
         "is_active", F.when(F.col("__hit"), F.lit(False)).otherwise(F.col("is_active"))
     ).drop("__hit").select(*embeddings.columns)
-    per_key = updated.filter(~F.col("is_active")).groupBy(by).agg(F.count("*").alias("embeddings_deactivated"))
+    per_key = embeddings.groupBy(by).agg(F.count("*").alias("embeddings_deactivated"))
     counts = marks.drop("__hit").join(per_key, by, "left").select(
         by, F.coalesce("embeddings_deactivated", F.lit(0)).alias("embeddings_deactivated")
     )

@@ -80,9 +80,8 @@ def ground_mentions(turns: DataFrame, tool_products: DataFrame, fallback_k: int
         F.col("t").isNotNull().alias("grounded"),
     )
     unnamed = turns.filter(~F.col("text").rlike(MENTION))
-    from_tools = top_k(
-        tool_products.join(unnamed.select("turn_id"), "turn_id", "left_semi"), ["turn_id"], [F.col("pos")], fallback_k, "__r"
-    ).select("turn_id", F.col("pos").cast("int").alias("pos"), "product_id", "name", "brand", "price", F.lit(True).alias("grounded"))
+    first = top_k(tool_products, ["turn_id"], [F.col("pos")], fallback_k, "__r")
+    from_tools = first.join(unnamed.select("turn_id"), "turn_id", "left_semi").select("turn_id", F.col("pos").cast("int").alias("pos"), "product_id", "name", "brand", "price", F.lit(True).alias("grounded"))
     no_tools = unnamed.filter("product_tool_used").join(tool_products.select("turn_id").distinct(), "turn_id", "left_anti")
     from_text = no_tools.select(
         "turn_id", F.posexplode_outer(F.slice(_text_products(F.col("text")), 1, fallback_k)).alias("pos", "p")
