@@ -37,6 +37,11 @@ def sku_from_path(path: Column, compat: bool = False) -> Column:
     return F.split_part(bare, F.lit("_"), F.lit(1))
 
 
+def without_quotes(text: Column) -> Column:
+    """The text without single and double quotation marks."""
+    return F.translate(text, "\"'", "")
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits, over the whole text."""
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))

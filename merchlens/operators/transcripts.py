@@ -82,6 +82,13 @@ def history(turns: DataFrame, current: DataFrame | None = None) -> DataFrame:
     )
 
 
+def request_messages(turns: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """What is sent for each session's current turn: its history and the current message, in turn order."""
+    asked = current_turns(turns) if current is None else current
+    now = turns.join(asked, "session_id").filter("turn = current_turn")
+    return history(turns, asked).unionByName(now.select("session_id", "current_turn", "turn", "role", "text"))
+
+
 def masked_profile(customers: DataFrame, claims: DataFrame, fields=("loyalty_tier", "points_balance")) -> DataFrame:
     """Account fields of ``claims(customer_id, claimed_email)`` shown only when the e-mail matches, ignoring case."""
     seen = claims.join(customers.select("customer_id", "first_name", "email", *fields), "customer_id")

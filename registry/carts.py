@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from merchlens.functions.text import uuid_from
 from merchlens.operators import cart as C
 from merchlens.operators.ledger import ledger_check
+from merchlens.operators.names import resolve_names
 from merchlens.operators.pricing import active_promotions, choose_shipping, price_asof
 from merchlens.operators.spread import latest_by
 from merchlens.operators.trending import trending
@@ -152,6 +153,28 @@ def _(d):
     return C.checkout(d.commands, d.products, CHUNK)[1].drop("variant_id")
 
 
+@query(
+    "cart_item_resolve",
+    f"""WITH {LINES}, refs AS (SELECT DISTINCT session_id, ref FROM (SELECT session_id, upper(product_name) AS ref FROM items
+          UNION ALL SELECT session_id, split_part(lower(product_name), ' ', 1) FROM items UNION ALL SELECT session_id, 'ghost ' || item_ref FROM commands)),
+        cand AS (SELECT session_id, lower(product_name) AS name, add_seq FROM items),
+        hits AS (SELECT r.session_id, r.ref, max(add_seq) FILTER (name = lower(ref)) AS exact, max(add_seq) FILTER (contains(name, lower(ref))) AS part
+          FROM refs r LEFT JOIN cand c USING (session_id) GROUP BY ALL)
+        SELECT session_id, ref, CAST(coalesce(exact, part) AS VARCHAR) AS id, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN part IS NOT NULL THEN 'contains' END AS how,
+          CASE WHEN part IS NULL THEN 'Cart item not found: ' || ref END AS error FROM hits""",
+    "commands products",
+)
+def _(d):
+    lines = stored_items(d)
+    own = lines.select("session_id", F.col("add_seq").alias("id"), F.col("product_name").alias("name"))
+    refs = (
+        own.select("session_id", F.upper("name").alias("ref"))
+        .unionByName(own.select("session_id", F.split_part(F.lower("name"), F.lit(" "), F.lit(1)).alias("ref")))
+        .unionByName(d.commands.select("session_id", F.concat(F.lit("ghost "), F.col("item_ref").cast("string")).alias("ref")))
+    )
+    return resolve_names(refs, own, scope=["session_id"], order=[-F.col("id")], what="Cart item")
+
+
 @query(
     "latest_per_key",
     """SELECT user_id, event_type, event_id, value FROM events

@@ -96,7 +96,7 @@ def _(d):
     "dash_formatted",
     """SELECT customer_id, CASE WHEN cents >= 100000000 THEN printf('$%.1fM', cents / 100000000.0)
          WHEN cents >= 100000 THEN printf('$%.1fK', cents / 100000.0) ELSE printf('$%.0f', cents / 100.0) END AS revenue_text,
-       CAST(n AS VARCHAR) AS orders_text
+       CASE WHEN n >= 1000 THEN printf('%.1fK', n / 1000.0) ELSE CAST(n AS VARCHAR) END AS orders_text
        FROM (SELECT customer_id, CAST(floor(sum(total_cents) / 100000) AS BIGINT) * 100000 + 20000 AS cents, count(*) AS n FROM shop_orders GROUP BY customer_id)""",
     "shop_orders",
 )

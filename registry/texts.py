@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from merchlens.functions.text import base_name, joined_blank, sku_from_path, words
+from merchlens.functions.text import base_name, joined_blank, sku_from_path, without_quotes, words
 from merchlens.operators import content as T, labels as L, mentions as G, search as S, tool_results as R, transcripts as H
 from merchlens.operators.infer import batch_infer, infer_totals
 from merchlens.session import scratch_path
@@ -313,6 +313,16 @@ def _(d):
     return H.history(d.conversations.withColumnRenamed("conv_id", "session_id"))
 
 
+@query(
+    "request_messages",
+    """WITH cur AS (SELECT conv_id, max(turn) AS current_turn FROM conversations GROUP BY conv_id)
+       SELECT conv_id AS session_id, current_turn, turn, role, text FROM conversations JOIN cur USING (conv_id)
+       WHERE turn = current_turn OR trim(text) <> ''""",
+)
+def _(d):
+    return H.request_messages(d.conversations.withColumnRenamed("conv_id", "session_id"))
+
+
 MENTION_TEXT = """
   said AS (SELECT event_id AS turn_id, CAST(props->>'$.k' AS BIGINT) AS k, event_type, user_id,
       md5(CAST(CAST(props->>'$.k' AS BIGINT) AS VARCHAR)) AS m1, md5(CAST(user_id AS VARCHAR)) AS m2 FROM events)
@@ -442,10 +452,12 @@ def _(d):
 
 @query(
     "text_expressions",
-    """SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS n_words, lang || ' ' || source || ' ' AS joined FROM documents""",
+    """SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS n_words, lang || ' ' || source || ' ' AS joined,
+         length(replace(replace(text, chr(34), ''), chr(39), '')) AS bare_length FROM documents""",
 )
 def _(d):
     return d.documents.select(
         "doc_id", F.size(words(F.col("text"))).alias("n_words"),
         joined_blank(F.col("lang"), F.col("source"), F.lit(None).cast("string")).alias("joined"),
+        F.length(without_quotes(F.col("text"))).cast("long").alias("bare_length"),
     )
