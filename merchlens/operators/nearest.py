@@ -73,11 +73,15 @@ def _with_probes(
         looked.withColumn("__probe", F.explode_outer(F.filter("__cells", lambda c: near(c) <= F.col("__reach"))))
         .filter("__probe IS NOT NULL")
         .withColumn("__cell", F.col("__probe.cell"))
-        .withColumn("__split", F.explode(F.sequence(F.lit(0), F.col("__probe.splits") - 1)))
+        .withColumn("__splits", F.col("__probe.splits"))
         .drop("__cells", "__probe", "__wide")
     )
 
 
+def _each_split(probes: DataFrame) -> DataFrame:
+    return probes.withColumn("__split", F.explode(F.sequence(F.lit(0), F.col("__splits") - 1))).drop("__splits")
+
+
 def _splits(n: Column) -> Column:
     return F.ceil(n / ROWS_PER_SPLIT).cast("int")
 
@@ -141,9 +145,9 @@ def vector_candidates(
     ``distance``. ``differ`` names a query and a point column that must not be equal.
 
     Cells are rings around a fixed number of pivot vectors; the triangle inequality bounds the distance
-    to a ring. A ring is cut into pieces of about ROWS_PER_SPLIT points and the queries into pieces of the
-    same size, so what meets in one task is bounded on both sides; there the distances are one matrix
-    product. Vectors with gaps or of another length than the first pivot are left out.
+    to a ring. A ring is cut into pieces of about ROWS_PER_SPLIT points, and the queries that ask for it
+    into pieces of the same size, so what meets in one task is bounded on both sides; there the distances
+    are one matrix product. Vectors with gaps or of another length than the first pivot are left out.
     """
     sample = points.select(point_id, point_vec).orderBy(F.xxhash64(point_id), point_id).limit(PIVOTS)
     pivots = sample.agg(F.collect_list(point_vec)).scalar()
@@ -182,14 +186,21 @@ def vector_candidates(
         k=None if differ else k,
         radius=radius,
     ).drop("__d")
-    pieces = queries.agg(_splits(F.count("*"))).scalar()
-    probes = probes.withColumn("__piece", F.pmod(F.xxhash64(*queries.columns[:1]), pieces).cast("int"))
-    # The cell table has at most PIVOTS x RINGS rows, so it may always be broadcast.
+    # One row per cell that is asked for, at most PIVOTS x RINGS, so it may always be broadcast.
+    asked = F.broadcast(
+        probes.groupBy("__cell").agg(F.first("__splits").alias("__n_splits"), _splits(F.count("*")).alias("__pieces"))
+    )
+    probes = (
+        _each_split(probes)
+        .join(asked.select("__cell", "__pieces"), "__cell")
+        .withColumn("__piece", F.pmod(F.xxhash64(*queries.columns[:1]), F.col("__pieces")).cast("int"))
+        .drop("__pieces")
+    )
     split = (
-        ringed.join(F.broadcast(cells.select(F.col("cell").alias("__cell"), "splits")), "__cell")
-        .withColumn("__split", F.pmod(F.xxhash64(point_id), F.col("splits")).cast("int"))
-        .withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-        .drop("__rho", "__pivot", "__ring", "splits")
+        ringed.join(asked, "__cell")
+        .withColumn("__split", F.pmod(F.xxhash64(point_id), F.col("__n_splits")).cast("int"))
+        .withColumn("__piece", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1)))
+        .drop("__rho", "__pivot", "__ring", "__n_splits", "__pieces")
     )
     keys = ["__cell", "__split", "__piece"]
     left = [f for f in probes.schema.fields if f.name not in [*keys, "__reach", query_vec]]
@@ -250,7 +261,7 @@ def color_nearest(
     split = kept.join(F.broadcast(cells.select(F.col("cell").alias("__cell"), "splits")), "__cell").withColumn(
         "__split", F.pmod(F.xxhash64(*point_order), F.col("splits")).cast("int")
     )
-    pairs = probes.join(split.drop("splits"), ["__cell", "__split"]).drop("__cell", "__split", "__reach")
+    pairs = _each_split(probes).join(split.drop("splits"), ["__cell", "__split"]).drop("__cell", "__split", "__reach")
     diff = [F.col(f"t{ch}") - F.col(ch) for ch in "rgb"]
     scored = pairs.withColumn("__square", sum((d * d for d in diff[1:]), diff[0] * diff[0]))
     scored = scored.withColumn("color_distance", F.round(F.sqrt(F.col("__square").cast("double")), 2))
