@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from merchlens.functions.text import looks_like_uuid
+from merchlens.session import settled
 
 GRAM = 3
 
@@ -51,11 +52,16 @@ def resolve_names(
         .join(names.select("__low", *scope, F.col("__id").alias("__exact")), ["__low", *scope], "left")
     )
     open_refs = staged.filter(~is_id & F.col("__exact").isNull()).select("__low", *scope).distinct()
-    index = names.withColumnRenamed("__low", "__name").withColumn("__gram", F.explode_outer(_all_grams(F.col("__name")))).filter("__gram IS NOT NULL")
+    open_refs = settled(open_refs, "open-names")
+    pieces = open_refs.filter(F.length("__low") > GRAM).withColumn("__gram", F.explode_outer(_grams(F.col("__low"), GRAM)))
+    wanted = pieces.select("__gram", *scope).unionByName(
+        open_refs.filter(F.length("__low") <= GRAM).select(F.col("__low").alias("__gram"), *scope)
+    ).distinct()
+    every = names.withColumnRenamed("__low", "__name").withColumn("__gram", F.explode_outer(_all_grams(F.col("__name"))))
+    index = every.join(wanted, ["__gram", *scope], "left_semi")
     counts = index.groupBy("__gram", *scope).agg(F.count("*").alias("__n"), F.min_by("__id", "__first").alias("__part"))
     # A reference no longer than a piece is one: the best name of that piece is the answer.
     short = open_refs.join(counts.withColumnRenamed("__gram", "__low"), ["__low", *scope]).select("__low", *scope, "__part")
-    pieces = open_refs.filter(F.length("__low") > GRAM).withColumn("__gram", F.explode_outer(_grams(F.col("__low"), GRAM)))
     # A piece that no name has makes a match impossible; the inner join then drops the reference.
     rarest = (
         pieces.join(counts.select("__gram", *scope, "__n"), ["__gram", *scope], "left")
