@@ -31,12 +31,19 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     )
 
 
+#: Rows of at most some 60 bytes that may be sent to all executors.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """A written table, marked for broadcast if it was counted to hold no more than ``rows``; else joined by key.
+
+    ``weight``: what a row counts for, where rows hold arrays.
+    """
+    held = df.count() if weight is None else df.agg(F.sum(weight + 1)).first()[0] or 0
+    return F.broadcast(df) if held <= rows else df
+
+
 def batch_of(schema: pa.Schema, columns: Sequence[Sequence]) -> pa.RecordBatch:
     """A record batch from Python sequences or arrays in the schema's order."""
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-def byte_texts(column: pa.Array):
-    """The values of a binary Arrow column, NULL as empty, without copying the column at once."""
-    for value in column:
-        yield value.as_py() or b""

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from merchlens.llm.common import WORD
+from merchlens.llm.common import ranked, small
 from merchlens.session import settled
 
 #: Hash seeds of the two halves of a line's identity.
@@ -31,12 +31,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("version", F.xxhash64("text"))
 
 
+def _words(line: Column) -> Column:
+    """A line's words with one space between two; empty for a line without words."""
+    odd = F.contains(line, F.lit("  "))
+    for mark in "\t\v\f\r":
+        odd = odd | F.contains(line, F.lit(mark))
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
+
+
 def lines_of(texts: DataFrame) -> DataFrame:
-    """(at, line, words) of every line with a word of ``keyed`` documents; a NULL text has none."""
+    """(at, words) of every line with a word of ``keyed`` documents; a NULL text has none."""
     lines = texts.select("doc_id", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = F.regexp_extract_all("line", F.lit(f"({WORD})"), 1)
     at = F.struct("doc_id", "version", "line_no").alias("at")
-    return lines.select(at, "line", words.alias("words")).filter(F.size("words") > 0)
+    return lines.select(at, _words(F.col("line")).alias("words")).filter("words <> ''")
 
 
 def _identity(words: Column) -> list[Column]:
@@ -48,17 +55,17 @@ def _half_keys(near_words: int) -> Column:
 
     A line of n words meets lines of n - 1, n and n + 1 words, so two sizes are given where they differ.
     """
-    n = F.size("words")
-    small, large = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+    n = F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit(""))) + 1
+    small_, large = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
 
     def halves(size: Column) -> list[Column]:
         return [
-            F.xxhash64(F.lit("a"), size, F.slice("words", F.lit(1), size)),
-            F.xxhash64(F.lit("z"), size, F.slice("words", n - size + 1, size)),
+            F.xxhash64(F.lit(side), size, F.call_function("substring_index", "words", F.lit(" "), size * sign))
+            for side, sign in (("a", 1), ("z", -1))
         ]
 
     none = F.array().cast("array<bigint>")
-    both = F.when(small == large, F.array(*halves(large))).otherwise(F.array(*halves(large), *halves(small)))
+    both = F.when(small_ == large, F.array(*halves(large))).otherwise(F.array(*halves(large), *halves(small_)))
     return F.when(n >= near_words, both).otherwise(none)
 
 
@@ -74,36 +81,37 @@ def _suspects(distinct: DataFrame) -> DataFrame:
     """``distinct`` lines that share a half-line hash with another one; by the first hash, which suffices here."""
     halves = distinct.select("id0", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("id0").alias("least"), F.max("id0").alias("most")).filter("least < most")
-    ids = halves.join(shared.select("half"), "half", "left_semi").select("id0").distinct()
+    shared = small(settled(shared.select("half"), "line-halves"))
+    ids = small(settled(halves.join(shared, "half", "left_semi").select("id0").distinct(), "line-ids"))
     return distinct.join(ids, "id0", "left_semi").select("id0", "id1", "at")
 
 
 def _variants(suspects: DataFrame) -> DataFrame:
-    """(id0, id1, at, n, place, rest, whole) for ``suspects(id0, id1, at, words)``: lines less one word or less none.
+    """(no, place, rest) for ``suspects(no, words)``: each line less one word, and as it is, at every place.
 
     ``rest`` joins hashes of each word with its place from the start or the end, as an exclusive or over
     the words before, and over the words behind. Running over places keeps a long line linear.
     """
-    line = ["id0", "id1"]
-    words = suspects.select(*line, "at", F.size("words").alias("n"), F.posexplode("words").alias("p", "word"))
-    from_start = Window.partitionBy(*line).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    from_end = Window.partitionBy(*line).orderBy("p").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    zero = F.lit(0).cast("long")
+    words = suspects.select("no", F.size("words").alias("n"), F.posexplode("words").alias("p", "word"))
+    upto = Window.partitionBy("no").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("no")
     hashed = words.select(
-        *line, "at", "n", "p", F.xxhash64(F.lit(2), "p", "word").alias("f"), F.xxhash64(F.lit(3), F.col("n") - F.col("p"), "word").alias("b")
+        "no", "n", "p", F.xxhash64(F.lit(2), "p", "word").alias("f"), F.xxhash64(F.lit(3), F.col("n") - F.col("p"), "word").alias("b")
     )
-    before = F.coalesce(F.bit_xor("f").over(from_start), zero)
-    here_on = F.bit_xor("b").over(from_end)
-    run = hashed.select(*line, "at", "n", "p", before.alias("before"), here_on.alias("here_on"), "f", "b")
-    start_all, end = F.col("before").bitwiseXOR(F.col("f")), F.col("p") == F.col("n") - 1
+    run = hashed.select(
+        "no", "n", "p", "f", "b", F.bit_xor("f").over(upto).alias("start"), F.bit_xor("b").over(upto).alias("spent"),
+        F.bit_xor("b").over(whole).alias("all"),
+    )
+    before = F.col("start").bitwiseXOR(F.col("f"))
+    behind = F.col("all").bitwiseXOR(F.col("spent"))
     made = F.array_compact(
         F.array(
-            F.struct(F.col("p").alias("place"), F.col("before").bitwiseXOR(F.col("here_on").bitwiseXOR(F.col("b"))).alias("rest"), F.lit(False).alias("whole")),
-            F.struct(F.col("p").alias("place"), F.col("before").bitwiseXOR(F.col("here_on")).alias("rest"), F.lit(True).alias("whole")),
-            F.when(end, F.struct((F.col("p") + 1).alias("place"), start_all.alias("rest"), F.lit(True).alias("whole"))),
+            F.struct(F.col("p").alias("place"), before.bitwiseXOR(behind).alias("rest")),
+            F.struct(F.col("p").alias("place"), before.bitwiseXOR(behind).bitwiseXOR(F.col("b")).alias("rest")),
+            F.when(F.col("p") == F.col("n") - 1, F.struct((F.col("p") + 1).alias("place"), F.col("start").alias("rest"))),
         )
     )
-    return run.select(*line, "at", F.explode(made).alias("v")).select(*line, "at", "v.place", "v.rest", "v.whole")
+    return run.select("no", F.explode(made).alias("v")).select("no", "v.place", "v.rest")
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -125,35 +133,32 @@ def _within_one(a: Column, b: Column) -> Column:
 def near_lines(texts: DataFrame, distinct: DataFrame) -> DataFrame:
     """(id0, id1) of the distinct lines that have an earlier near one."""
     suspects = settled(_suspects(distinct), "line-suspects")
-    words = F.regexp_extract_all("line", F.lit(f"({WORD})"), 1)
-    firsts = settled(
-        lines_of(texts).select(F.col("at").alias("here"), "line").join(
-            suspects, F.col("here").eqNullSafe(F.col("at"))
-        ).groupBy("id0", "id1", "at").agg(F.first("line").alias("line")),  # a row for each repeated document
-        "line-texts",
+    found = lines_of(texts).select(F.col("at").alias("here"), "words").join(
+        small(suspects), F.col("here").eqNullSafe(F.col("at"))
     )
-    firsts = firsts.select("id0", "id1", "at", words.alias("words"))
+    # A row for each repeated document, so one is taken; numbers go by place.
+    firsts = found.groupBy("id0", "id1", "at").agg(F.split(F.first("words"), " ").alias("words"))
+    firsts = settled(ranked(firsts, [F.col("at")], "no"), "line-texts")
     variants = settled(_variants(firsts), "line-variants")
-    key = ["place", "rest"]
     # Lines less a word are near each other and near the line that is whole there. Whole lines alike are one line.
-    least = variants.groupBy(*key).agg(F.min(F.struct("at", "id0", "id1")).alias("earliest"), F.count("*").alias("size"))
-    hits = variants.join(least.filter("size > 1").drop("size"), key).filter(F.col("earliest.at") < F.col("at"))
-    found = hits.groupBy("id0", "id1").agg(F.min("earliest").alias("earliest"))
-    mine = firsts.select("id0", "id1", F.col("words").alias("a"))
-    theirs = firsts.select(F.col("id0").alias("e0"), F.col("id1").alias("e1"), F.col("words").alias("b"))
-    pairs = found.select("id0", "id1", F.col("earliest.id0").alias("e0"), F.col("earliest.id1").alias("e1"))
-    checked = pairs.join(mine, ["id0", "id1"]).join(theirs, ["e0", "e1"])
+    least = variants.groupBy("place", "rest").agg(F.min("no").alias("earliest"), F.max("no").alias("latest"))
+    least = settled(least.filter("earliest < latest").drop("latest"), "line-least")
+    hits = variants.join(small(least), ["place", "rest"]).filter("earliest < no")
+    pairs = small(settled(hits.groupBy("no").agg(F.min("earliest").alias("earliest")), "line-pairs"))
+    mine = firsts.select("no", "id0", "id1", F.col("words").alias("a"))
+    theirs = firsts.select(F.col("no").alias("earliest"), F.col("words").alias("b"))
+    checked = mine.join(pairs, "no").join(theirs, "earliest")
     return checked.filter(_within_one(F.col("a"), F.col("b"))).select("id0", "id1")
 
 
 def removed_lines(texts: DataFrame, near_words: int) -> DataFrame:
     """(at, near) of the lines of ``keyed`` documents that an earlier line makes needless."""
     distinct = settled(_first(texts, near_words), "line-first")
-    near = near_lines(texts, distinct).withColumn("near", F.lit(True))
+    near = small(settled(near_lines(texts, distinct), "line-near")).withColumn("near", F.lit(True))
     told = distinct.select("id0", "id1", F.col("at").alias("first"), "times").join(near, ["id0", "id1"], "left")
-    told = told.filter((F.col("times") > 1) | F.col("near")).drop("times")
+    told = settled(told.filter((F.col("times") > 1) | F.col("near")).drop("times"), "line-told")
     here = lines_of(texts).select("at", *_identity(F.col("words")))
-    return here.join(told, ["id0", "id1"]).filter((F.col("at") > F.col("first")) | F.col("near")).select(
+    return here.join(small(told), ["id0", "id1"]).filter((F.col("at") > F.col("first")) | F.col("near")).select(
         "at", F.coalesce("near", F.lit(False)).alias("near")
     )
 
@@ -167,18 +172,31 @@ def dedup_lines(docs: DataFrame, near_words: int = 8) -> DataFrame:
     ordered by a hash of the text. A NULL id comes before all others; a NULL text stays NULL. An empty table
     gives no rows, other columns are ignored.
     """
+    return dedup_rows(docs, near_words).select("doc_id", "text", "n_lines", "n_equal", "n_near")
+
+
+def dedup_rows(docs: DataFrame, near_words: int = 8) -> DataFrame:
+    """``docs`` with the text of ``dedup_lines`` and its counts as further columns; rows keep their other columns.
+
+    Columns of the documents that are named like the counts give way to them.
+    """
     texts = keyed(docs)
     gone = removed_lines(texts, near_words).select("at.*", "near").groupBy("doc_id", "version").agg(
         F.collect_set("line_no").alias("gone"),  # at most one document's lines
         F.collect_set(F.when(F.col("near"), F.col("line_no"))).alias("near"),
     )
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i))
-    text = F.when(F.size("gone") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    n_lines = F.coalesce(F.regexp_count("text", F.lit(r"[^\n]*[^\x20\x09-\x0D][^\n]*")), F.lit(0)).cast("long")
+    gone = settled(gone, "line-gone")
+    lines = F.split("text", "\n")
+    kept = F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))
+    text = F.when(F.size("__gone") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    n_lines = F.size(F.filter(lines, lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
     count = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
-    theirs = gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "gone", "near")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__version"))
-    return texts.join(theirs, same, "left").select(
-        "doc_id", text.alias("text"), n_lines.alias("n_lines"),
-        (count("gone") - count("near")).alias("n_equal"), count("near").alias("n_near"),
-    )
+    counted = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long"),
+               "n_equal": count("__gone") - count("__near"), "n_near": count("__near")}
+    theirs = small(gone.select(
+        F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("gone").alias("__gone"), F.col("near").alias("__near")
+    ), weight=F.size("__gone"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__version"))
+    rest = [c for c in docs.columns if c not in ("text", *counted)]
+    joined = docs.select(*rest, "text").join(theirs, same, "left")
+    return joined.select(*rest, text.alias("text"), *[c.alias(n) for n, c in counted.items()])

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
-from merchlens.llm import lines, mixing, packing, quality, urls
+from merchlens.llm import lines, lm, mixing, neardup, packing, pii, quality, topk, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_scores(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -34,16 +38,31 @@ def op5_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.filter_urls(table(spark, folder, "pages"), rules)
 
 
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.detect(table(spark, folder, "documents"))
+
+
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(table(spark, folder, "pages"))
+
+
 def op8_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.dedup_lines(table(spark, folder, "documents"))
 
 
+def op9_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_texts(table(spark, folder, "documents"))
+
+
+def op10_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    "op1_packing": op1_packing,
-    "op2_mixing": op2_mixing,
-    "op4_quality": op4_quality,
-    "op5_urls": op5_urls,
-    "op8_lines": op8_lines,
+    f.__name__: f
+    for f in (
+        op1_packing, op2_mixing, op3_topk, op4_quality, op5_urls, op6_pii, op7_warc, op8_lines, op9_lm, op10_neardup,
+    )
 }
 
 ORACLES: dict[str, str] = {
