@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,20 +30,44 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context, so that they need no installation."""
+    context = spark.sparkContext
+    if getattr(context, "_merchlens_shipped", False):
+        return
+    context._merchlens_shipped = True
+    package = os.path.dirname(os.path.abspath(__file__))
+    # In the context's own folder on the driver, from which Spark serves the file as long as the context lives.
+    archive = os.path.join(os.path.realpath(context._temp_dir or tempfile.mkdtemp()), "merchlens-package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for top, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    whole = os.path.join(top, name)
+                    out.write(whole, os.path.relpath(whole, os.path.dirname(package)))
+    context.addPyFile(archive)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder the cluster names in spark.checkpoint.dir.
 
-    A folder of our own stands in only where it is unset and the session is local, as in tests.
+    A folder of our own stands in only where it is unset and the session is local, as in tests. What is written
+    there goes when the driver's JVM ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = os.path.join(tempfile.gettempdir(), "merchlens-scratch")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def settled(df: DataFrame, name: str = "settled") -> DataFrame:
