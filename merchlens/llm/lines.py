@@ -172,14 +172,12 @@ def dedup_lines(docs: DataFrame, near_words: int = 8) -> DataFrame:
     ordered by a hash of the text. A NULL id comes before all others; a NULL text stays NULL. An empty table
     gives no rows, other columns are ignored.
     """
-    return dedup_rows(docs, near_words).select("doc_id", "text", "n_lines", "n_equal", "n_near")
+    rows = dedup_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), near_words)
+    return rows.select("doc_id", "text", *[F.col(f"__{c}").alias(c) for c in ("n_lines", "n_equal", "n_near")])
 
 
 def dedup_rows(docs: DataFrame, near_words: int = 8) -> DataFrame:
-    """``docs`` with the text of ``dedup_lines`` and its counts as further columns; rows keep their other columns.
-
-    Columns of the documents that are named like the counts give way to them.
-    """
+    """``docs`` with the text of ``dedup_lines``, and its counts as columns with two underscores before their names."""
     texts = keyed(docs)
     gone = removed_lines(texts, near_words).select("at.*", "near").groupBy("doc_id", "version").agg(
         F.collect_set("line_no").alias("gone"),  # at most one document's lines
@@ -191,12 +189,13 @@ def dedup_rows(docs: DataFrame, near_words: int = 8) -> DataFrame:
     text = F.when(F.size("__gone") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
     n_lines = F.size(F.filter(lines, lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
     count = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
-    counted = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long"),
-               "n_equal": count("__gone") - count("__near"), "n_near": count("__near")}
+    counted = {
+        "__n_lines": F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long"),
+        "__n_equal": count("__gone") - count("__near"), "__n_near": count("__near"),
+    }
     theirs = small(gone.select(
         F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("gone").alias("__gone"), F.col("near").alias("__near")
     ), weight=F.size("__gone"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__version"))
-    rest = [c for c in docs.columns if c not in ("text", *counted)]
-    joined = docs.select(*rest, "text").join(theirs, same, "left")
-    return joined.select(*rest, text.alias("text"), *[c.alias(n) for n, c in counted.items()])
+    joined = docs.join(theirs, same, "left")
+    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], *[c.alias(n) for n, c in counted.items()])

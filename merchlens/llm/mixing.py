@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from merchlens.llm.common import WORD, ranked
+from merchlens.llm.common import WORD, ranked, small
 from merchlens.session import settled
 
 BITS, ROUNDS = 12, 4
@@ -24,12 +24,15 @@ _ALL = BITS * ROUNDS
 def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
     """(doc_id, source, size, place): words of each text and its place in hash order; a NULL text has no words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 64 - _ALL)
     return docs.select(
-        "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), place.alias("place")
+        "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), _place(seed).alias("place")
     )
 
 
+def _place(seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))), 64 - _ALL)
+
+
 def weights_in_turn(totals: DataFrame, weights: Sequence[float]) -> DataFrame:
     """``totals(source, source_size)`` with weights dealt in turn by the source's code points, NULL last."""
     n = len(weights)
@@ -106,23 +109,12 @@ def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def mix(
-    docs: DataFrame, weights: Sequence[float] = (1, 2, 3), budgets: Sequence[float] = (1.0,), most: float = 3.0, seed: int = 0
-) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken, nested) for every row of ``docs(doc_id, text, source)``.
-
-    ``copies`` is how often the mix of the largest budget takes the row, ``taken`` the words so taken, ``nested``
-    the words taken under each budget in rising order. Targets and columns without index are the largest
-    budget's. A NULL source is a source of its own, after all others. Rows that repeat in id and text share a
-    place and are taken alike; NULL ids differ by their text. Sources without words and empty tables take
-    nothing. Other columns are ignored. No document is taken more than ``most`` times, rounded up.
-    """
-    rising = sorted(budgets)
-    sizes = settled(sized(docs, seed), "mix-sizes")
+def plans(sizes: DataFrame, weights: Sequence[float], budgets: Sequence[float], most: float) -> DataFrame:
+    """(__source, plan): per source an entry (budget, copies, below, source_size, target) for each rising budget."""
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     weighted = settled(weights_in_turn(totals, weights), "mix-weights")
     wanted = None
-    for i, budget in enumerate(rising):
+    for i, budget in enumerate(sorted(budgets)):
         part = targets(weighted, budget, most).withColumn("budget", F.lit(i))
         wanted = part if wanted is None else wanted.unionByName(part)
     wanted = settled(wanted, "mix-targets")
@@ -130,19 +122,41 @@ def mix(
         wanted.select(F.col("source").alias("__s"), F.col("budget").alias("__b"), "source_size", "target"),
         F.col("source").eqNullSafe(F.col("__s")) & (F.col("budget") == F.col("__b")),
     )
-    by_source = settled(
-        found.groupBy(F.col("source").alias("__source")).agg(
-            F.array_sort(F.collect_list(F.struct("budget", "copies", "below", "source_size", "target"))).alias("plan")
-        ),
-        "mix-plan",
-    )  # one row per source: small enough for Spark to broadcast it, or joined by key
+    entry = F.struct("budget", "copies", "below", "source_size", "target")
+    plan = found.groupBy(F.col("source").alias("__source")).agg(F.array_sort(F.collect_list(entry)).alias("plan"))
+    return settled(plan, "mix-plan")  # a row for each source
+
 
-    def copies(entry: Column) -> Column:
-        return entry["copies"] + (F.col("place") < entry["below"]).cast("long")
+def _copies(entry: Column, place: Column) -> Column:
+    return entry["copies"] + (place < entry["below"]).cast("long")
 
+
+def mix(
+    docs: DataFrame, weights: Sequence[float] = (1, 2, 3), budgets: Sequence[float] = (1.0,), most: float = 3.0, seed: int = 0
+) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken, nested) for every row of ``docs(doc_id, text, source)``.
+
+    ``copies`` is how often the mix of the largest budget takes the row, ``taken`` the words so taken, ``nested``
+    the words taken under each budget in rising order. Targets and columns without index are the largest
+    budget's. A NULL source is a source of its own, after all others. Rows that repeat in id and text share a
+    place and are taken alike; NULL ids differ by their text. Sources without words and empty tables take
+    nothing. Other columns are ignored. No document is taken more than ``most`` times, rounded up.
+    """
+    sizes = settled(sized(docs, seed), "mix-sizes")
     last = F.element_at("plan", -1)
+    place = F.col("place")
+    by_source = small(plans(sizes, weights, budgets, most))
     return sizes.join(by_source, F.col("source").eqNullSafe(F.col("__source"))).select(
         "doc_id", "size", last["source_size"].alias("source_size"), last["target"].alias("target"),
-        copies(last).alias("copies"), (copies(last) * F.col("size")).alias("taken"),
-        F.transform("plan", lambda e: copies(e) * F.col("size")).alias("nested"),
+        _copies(last, place).alias("copies"), (_copies(last, place) * F.col("size")).alias("taken"),
+        F.transform("plan", lambda e: _copies(e, place) * F.col("size")).alias("nested"),
     )
+
+
+def mixed_rows(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), budget: float = 1.0, most: float = 3.0, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` takes, each as often as it is taken, with their own columns."""
+    sizes = settled(sized(docs, seed), "mix-sizes")
+    by_source = small(plans(sizes, weights, (budget,), most)).withColumnRenamed("plan", "__plan")
+    copies = _copies(F.element_at("__plan", -1), _place(seed)).cast("int")
+    rows = docs.join(by_source, F.col("source").eqNullSafe(F.col("__source")))
+    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), copies)).alias("__time")).select(*docs.columns)

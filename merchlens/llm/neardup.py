@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from merchlens.llm.common import batch_of
+from merchlens.llm.common import batch_of, small
 from merchlens.session import settled
 
 #: Odd 64-bit constants of the mixing function below (fixed values).
@@ -243,6 +243,15 @@ def near_duplicates(
     )
 
 
+def first_rows(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` whose id names its class, with their own columns; rows without an id stay.
+
+    Rows that repeat the id that stays all stay.
+    """
+    others = near_duplicates(docs, **how).filter("doc_id <> class_id").select(F.col("doc_id").alias("__id"))
+    return docs.join(small(settled(others, "near-others")), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+
+
 def _across(buckets: DataFrame, classes: DataFrame, compared: DataFrame) -> DataFrame:
     """Pairs (a, b) of a band that are still in different classes and were not compared.
 
