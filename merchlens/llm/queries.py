@@ -66,6 +66,48 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_topk": r"""
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, p.vec_id, CAST(list_dot_product(q.v, p.v) AS BIGINT) AS score
+  FROM whole q JOIN whole p ON q.vec_id <> p.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+""",
+    "op7_warc": r"""
+WITH known AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages
+), firsts AS (SELECT digest, min(page_id) AS first FROM known WHERE n >= 100 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, k.digest AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM known k LEFT JOIN firsts f ON k.digest = f.digest AND k.n >= 100
+""",
+    "op8_lines": r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents
+), cut AS (
+  SELECT doc_id, line_no, line, list_filter(regexp_split_to_array(line, '[ 	-]+'), lambda x: x <> '') AS words FROM lines
+), firsts AS (
+  SELECT words, min((doc_id, line_no)) AS first FROM cut WHERE len(words) > 0 GROUP BY words
+), numbered AS (SELECT row_number() OVER (ORDER BY first) AS no, words FROM firsts WHERE len(words) >= 8),
+places AS (SELECT no, words, unnest(range(1, len(words) + 2)) AS i FROM numbered),
+less AS (SELECT no, i, hash(words[:i - 1], words[i + 1:], i) AS rest FROM places WHERE i <= len(words)),
+whole AS (SELECT no, i, hash(words[:i - 1], words[i:], i) AS rest FROM places),
+least AS (SELECT rest, min(no) AS no FROM (SELECT * FROM less UNION ALL SELECT * FROM whole) GROUP BY rest),
+near AS (
+  SELECT DISTINCT v.no FROM (SELECT * FROM less UNION ALL SELECT * FROM whole) v JOIN least l ON v.rest = l.rest AND l.no < v.no
+), told AS (
+  SELECT c.doc_id, c.line_no, c.line, len(c.words) > 0 AS counted, n.no IS NOT NULL AS near, (c.doc_id, c.line_no) <> f.first AS again
+  FROM cut c LEFT JOIN firsts f ON c.words = f.words LEFT JOIN numbered m ON c.words = m.words LEFT JOIN near n ON m.no = n.no
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT (counted AND (near OR again))), '') END AS text,
+       count(*) FILTER (counted) AS n_lines, count(*) FILTER (counted AND again AND NOT near) AS n_equal, count(*) FILTER (counted AND near) AS n_near
+FROM documents d LEFT JOIN told t ON d.doc_id = t.doc_id GROUP BY d.doc_id, d.text
+""",
     "op5_urls": r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
