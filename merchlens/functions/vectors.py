@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Each hash digit gives four numbers, scaled by these.
-PLACEHOLDER_SCALES = (1.0, 0.9, 0.8, 0.7)
-
 
 def as_vector(value: Column) -> Column:
     return value.cast("array<double>")
@@ -46,19 +43,3 @@ def vector_from_json(text: Column, dim: int) -> Column:
     parsed = F.from_json(text, "array<double>")
     whole = (F.size(parsed) == dim) & ~F.exists(parsed, lambda x: x.isNull())
     return F.when(whole, parsed)
-
-
-def placeholder_embedding(content: Column) -> Column:
-    """128 numbers that depend only on the text: digit/15 - 0.5 of each MD5 digit, at four scales."""
-    digest = F.md5(content)
-    return F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(32)),
-            lambda i: F.array(
-                *[
-                    (F.conv(F.substr(digest, i, F.lit(1)), 16, 10).cast("double") / 15.0 - 0.5) * scale
-                    for scale in PLACEHOLDER_SCALES
-                ]
-            ),
-        )
-    )

@@ -94,14 +94,22 @@ def match_products(
 
 
 def match_products_in_category(
-    targets: DataFrame, products: DataFrame, variants: DataFrame, media: DataFrame, category: str, k: int = 10
+    targets: DataFrame, products: DataFrame, variants: DataFrame, media: DataFrame, category: str, k: int = 10, strict: bool = False
 ) -> DataFrame:
-    """Top ``k`` shades of one category by the rounded distance. An unreadable colour raises."""
+    """Top ``k`` shades of one category by the rounded distance.
+
+    Shades and targets with an unreadable colour take no part; with ``strict`` they raise.
+    """
     chosen = products.filter(F.lower("category") == category.lower())
-    points = _shades(chosen, variants, media, k).select(
-        "*", *[C.hex_channel(F.col("swatch_hex"), i).alias(ch) for i, ch in enumerate("rgb")]
-    )
-    asked = targets.select("*", *[C.hex_channel(F.col("target_hex"), i).alias(f"t{ch}") for i, ch in enumerate("rgb")])
+    default = None if strict else -1
+
+    def channels(df: DataFrame, hexed: Column, prefix: str) -> DataFrame:
+        names = [prefix + ch for ch in "rgb"]
+        read = df.select("*", *[C.hex_channel(hexed, i, default).alias(n) for i, n in enumerate(names)])
+        return read if strict else read.filter(F.least(*names) >= 0)
+
+    points = channels(_shades(chosen, variants, media, k), F.col("swatch_hex"), "")
+    asked = channels(targets, F.col("target_hex"), "t")
     order = ["product_id", "variant_id", "image_url"]
     return color_nearest(asked, points, k, order, round_first=True).select("target_id", *RESULT)
 

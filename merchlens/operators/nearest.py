@@ -1,4 +1,4 @@
-"""Exact nearest-neighbour search over grouped points, without pairing every query with every point.
+"""Exact nearest colours, without pairing every target with every shade.
 
 Points are put into cells. A bounded table of cell statistics travels to every query, which works out
 the closest and farthest any point of a cell can be. A cell is skipped only when none of its points can
@@ -7,20 +7,12 @@ be in the answer, so results are complete. What is left is an equi-join on the c
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from merchlens.functions import vectors as V
 from merchlens.operators.spread import top_k
 from merchlens.session import spread_rows
 
 ROWS_PER_SPLIT = 8_192
-PIVOTS = 16
-RING_WIDTH = 0.25
-RINGS = 64
-# Queries whose distances to a piece of points are held at once, and pairs measured at once.
-QUERY_TILE, PAIR_TILE = 256, 65_536
 # Covers rounding of the ranked score, so rows tied after rounding are all seen.
 SCORE_SLACK, SQUARE_SLACK = 2e-4, 4e-6
 
@@ -37,8 +29,8 @@ def _with_probes(
     """One row per query and cell that can hold an answer.
 
     ``near`` and ``far`` give the least and greatest distance from the query row to the points inside some
-    bounds. ``cells(block, cell, n, splits, bounds...)`` is limited by construction (colour cube cells, or
-    pivots x rings); blocks of cells are tried first, then only the cells of the blocks in reach.
+    bounds. ``cells(block, cell, n, splits, bounds...)`` is limited by construction (cells of the
+    colour cube); blocks of cells are tried first, then only the cells of the blocks in reach.
     """
     bounds = [c for c in cells.columns if c not in ("block", "cell", "n", "splits")]
     blocks = cells.groupBy("block").agg(
@@ -86,131 +78,6 @@ def _splits(n: Column) -> Column:
     return F.ceil(n / ROWS_PER_SPLIT).cast("int")
 
 
-def _matrix(table: pa.Table, column: str) -> np.ndarray:
-    flat = table.column(column).combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
-
-
-def _meeting(
-    query_vec: str, point_vec: str, k: int | None, differ: tuple[str, str] | None, columns: list[tuple[str, str]]
-):
-    """Arrow function over the queries and the points of one piece of a cell: the rows close enough to
-    matter, with their distance. Of each query's points here at most the ``k`` nearest (and ties) stay."""
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, hits, lengths = [], [], []
-        if left.num_rows and right.num_rows:
-            q, p = _matrix(left, query_vec), _matrix(right, point_vec)
-            p_square = (p * p).sum(axis=1)
-            reach = left.column("__reach").to_numpy() ** 2
-            own = None
-            if differ:
-                own = left.column(differ[0]).to_numpy()[:, None] == right.column(differ[1]).to_numpy()[None, :]
-            for start in range(0, len(q), QUERY_TILE):
-                tile = q[start : start + QUERY_TILE]
-                square = (tile * tile).sum(axis=1)[:, None] + p_square[None, :] - 2 * tile @ p.T
-                if own is not None:
-                    square[own[start : start + QUERY_TILE]] = np.inf
-                limit = reach[start : start + QUERY_TILE]
-                if k is not None and len(p) > k:
-                    kth = np.sqrt(np.maximum(np.partition(square, k - 1, axis=1)[:, k - 1], 0.0))
-                    limit = np.minimum(limit, (kth + SCORE_SLACK) ** 2 + SQUARE_SLACK)
-                i, j = np.nonzero(square <= np.minimum(limit, np.finfo(float).max)[:, None])
-                for at in range(0, len(i), PAIR_TILE):
-                    apart = tile[i[at : at + PAIR_TILE]] - p[j[at : at + PAIR_TILE]]
-                    lengths.append(np.sqrt((apart * apart).sum(axis=1)))
-                rows.append(i + start)
-                hits.append(j)
-        i = pa.array(np.concatenate(rows) if rows else np.empty(0, dtype=np.int64))
-        j = pa.array(np.concatenate(hits) if hits else np.empty(0, dtype=np.int64))
-        sides = {"left": (left, i), "right": (right, j)}
-        out = [sides[side][0].column(name).take(sides[side][1]) for side, name in columns]
-        out.append(pa.array(np.concatenate(lengths) if lengths else np.empty(0)))
-        return pa.table(out, names=[*[name for _, name in columns], "distance"])
-
-    return meet
-
-
-def vector_candidates(
-    queries: DataFrame,
-    points: DataFrame,
-    point_id: str,
-    query_vec: str,
-    point_vec: str,
-    k: int | None = None,
-    radius: float | None = None,
-    differ: tuple[str, str] | None = None,
-) -> DataFrame:
-    """Query rows with every point that can be within ``radius`` or among the ``k`` nearest, and the L2
-    ``distance``. ``differ`` names a query and a point column that must not be equal.
-
-    Cells are rings around a fixed number of pivot vectors; the triangle inequality bounds the distance
-    to a ring. A ring is cut into pieces of about ROWS_PER_SPLIT points, and the queries that ask for it
-    into pieces of the same size, so what meets in one task is bounded on both sides; there the distances
-    are one matrix product. Vectors with gaps or of another length than the first pivot are left out.
-    """
-    sample = points.select(point_id, point_vec).orderBy(F.xxhash64(point_id), point_id).limit(PIVOTS)
-    pivots = sample.agg(F.collect_list(point_vec)).scalar()
-
-    def measured(df: DataFrame, vec: str) -> DataFrame:
-        whole = (F.size(vec) == F.size(F.get("__pivots", F.lit(0)))) & F.forall(vec, lambda x: x.isNotNull())
-        lengths = F.transform("__pivots", lambda p: V.l2(p, F.col(vec)))
-        known = df.withColumn("__pivots", pivots).filter(whole)
-        return known.withColumn("__d", F.explode(F.array(lengths))).drop("__pivots")
-
-    ringed = (
-        measured(points, point_vec)
-        .withColumn("__rho", F.array_min("__d"))
-        .withColumn("__pivot", F.array_position("__d", F.col("__rho")).cast("int") - 1)
-        .withColumn("__ring", F.least(F.floor(F.col("__rho") / RING_WIDTH), F.lit(RINGS - 1)).cast("int"))
-        .withColumn("__cell", F.col("__pivot") * RINGS + F.col("__ring"))
-        .drop("__d")
-    )
-    cells = ringed.groupBy(F.col("__pivot").alias("block"), F.col("__cell").alias("cell")).agg(
-        F.count("*").alias("n"),
-        _splits(F.count("*")).alias("splits"),
-        F.min("__rho").alias("rho_min"),
-        F.max("__rho").alias("rho_max"),
-        F.first("__pivot").alias("pivot"),
-    )
-
-    def at_pivot(c: Column) -> Column:
-        return F.get("__d", c["pivot"])
-
-    probes = _with_probes(
-        measured(queries, query_vec),
-        cells,
-        near=lambda c: F.greatest(F.lit(0.0), at_pivot(c) - c["rho_max"], c["rho_min"] - at_pivot(c)),
-        far=lambda c: at_pivot(c) + c["rho_max"],
-        # Points that may not count for a query cannot tell how far its k nearest are.
-        k=None if differ else k,
-        radius=radius,
-    ).drop("__d")
-    # One row per cell that is asked for, at most PIVOTS x RINGS, so it may always be broadcast.
-    asked = F.broadcast(
-        probes.groupBy("__cell").agg(F.first("__splits").alias("__n_splits"), _splits(F.count("*")).alias("__pieces"))
-    )
-    probes = (
-        _each_split(probes)
-        .join(asked.select("__cell", "__pieces"), "__cell")
-        .withColumn("__piece", F.pmod(F.xxhash64(*queries.columns[:1]), F.col("__pieces")).cast("int"))
-        .drop("__pieces")
-    )
-    split = (
-        ringed.join(asked, "__cell")
-        .withColumn("__split", F.pmod(F.xxhash64(point_id), F.col("__n_splits")).cast("int"))
-        .withColumn("__piece", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1)))
-        .drop("__rho", "__pivot", "__ring", "__n_splits", "__pieces")
-    )
-    keys = ["__cell", "__split", "__piece"]
-    left = [f for f in probes.schema.fields if f.name not in [*keys, "__reach", query_vec]]
-    right = [f for f in split.schema.fields if f.name not in [*keys, point_vec]]
-    columns = [("left", f.name) for f in left] + [("right", f.name) for f in right]
-    schema = T.StructType([*left, *right, T.StructField("distance", T.DoubleType())])
-    meet = _meeting(query_vec, point_vec, k, differ, columns)
-    return probes.groupBy(*keys).cogroup(split.groupBy(*keys)).applyInArrow(meet, schema)
-
-
 # Edge of a colour cell and of a block of cells.
 COLOR_STEP, BLOCK_STEP = 16, 32
 

@@ -1,86 +1,64 @@
-"""Matching people by face vectors: best match, top-k and similar customers. All results are exact."""
+"""Matching people by face vectors: best match, top-k and similar customers. All results are exact.
 
-from __future__ import annotations
+Searches run on ids and vectors; customers are joined to the few rows found. ``dim`` is the vectors' length;
+``vector_search.misfits`` names the rows of another length or with gaps, which take no part.
+"""
 
-import math
+from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from merchlens.functions import vectors as V
 from merchlens.functions.bands import distance_band, similarity_band
-from merchlens.operators.nearest import vector_candidates
-from merchlens.operators.spread import latest_by, top_k
+from merchlens.operators.spread import latest_by
+from merchlens.operators.vector_search import search
 
-# Scores are ranked after rounding, so equal matches order by id.
-RANK_PLACES = 6
 
-
-def _radius(threshold: float) -> float:
-    """Distance between unit vectors whose cosine is ``threshold``."""
-    return math.sqrt(max(0.0, 2 - 2 * threshold))
+def _units(df: DataFrame, *ids: str) -> DataFrame:
+    return df.select(*ids, V.unit(V.as_vector(F.col("embedding"))).alias("v"))
 
 
 def _live(embeddings: DataFrame, customers: DataFrame) -> DataFrame:
-    active = customers.filter("is_active").drop("is_active")
-    return embeddings.filter("is_active").select("embedding_id", "customer_id", "embedding").join(active, "customer_id")
-
-
-def _units(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn(name, V.unit(V.as_vector(F.col("embedding")))).drop("embedding").filter(F.col(name).isNotNull())
-
-
-def _scored(
-    queries: DataFrame, people: DataFrame, k: int | None, threshold: float | None, differ: tuple[str, str] | None = None
-) -> DataFrame:
-    """Query x person rows that can matter, with the cosine similarity."""
-    radius = None if threshold is None else _radius(threshold)
-    pairs = vector_candidates(
-        _units(queries, "__q"), _units(people, "__p"), "embedding_id", "__q", "__p", k, radius, differ
-    )
-    # Between unit vectors the squared distance is 2 - 2 cos.
-    scored = pairs.withColumn("similarity_score", 1 - F.col("distance") * F.col("distance") / 2).drop("distance")
-    return scored if threshold is None else scored.filter(F.col("similarity_score") >= threshold)
-
-
-def _by_similarity():
-    return [F.round("similarity_score", RANK_PLACES).desc(), F.col("customer_id").asc(), F.col("embedding_id").asc()]
+    """Unit vectors of active customers."""
+    active = customers.filter("is_active").select("customer_id")
+    people = embeddings.filter("is_active").join(active, "customer_id", "left_semi")
+    return _units(people, "embedding_id", "customer_id")
 
 
 def best_match(
-    queries: DataFrame, embeddings: DataFrame, customers: DataFrame, threshold: float = 0.85
+    queries: DataFrame, embeddings: DataFrame, customers: DataFrame, threshold: float = 0.85, dim: int = 128
 ) -> DataFrame:
     """The most similar active customer of each ``queries(query_id, embedding)`` row.
 
     ``found`` tells whether it reaches the threshold. A query without a usable vector gives NONE.
     """
-    people = _live(embeddings, customers.select("customer_id", "first_name", "last_name", "is_active"))
-    best = top_k(_scored(queries, people, 1, None), ["query_id"], _by_similarity(), 1)
-    score = F.col("similarity_score")
+    best = search(_units(queries, "query_id"), _live(embeddings, customers), dim, 1, cosine=True)
+    found = best.join(customers.select("customer_id", "first_name", "last_name"), "customer_id")
+    score = F.col("score")
     return (
         queries.select("query_id")
-        .join(best, "query_id", "left")
+        .join(found, "query_id", "left")
         .select(
             "query_id",
             F.coalesce(score >= threshold, F.lit(False)).alias("found"),
             "customer_id",
             "first_name",
             "last_name",
-            "similarity_score",
+            score.alias("similarity_score"),
             F.when(score.isNull(), "NONE").otherwise(similarity_band(score)).alias("confidence_level"),
         )
     )
 
 
 def topk_cosine(
-    queries: DataFrame, embeddings: DataFrame, customers: DataFrame, threshold: float = 0.7, k: int = 5
+    queries: DataFrame, embeddings: DataFrame, customers: DataFrame, threshold: float = 0.7, k: int = 5, dim: int = 128
 ) -> DataFrame:
     """Up to ``k`` active customers per query with at least the threshold similarity."""
-    people = _live(
-        embeddings, customers.select("customer_id", "email", "first_name", "last_name", "loyalty_tier", "is_active")
-    )
-    return top_k(_scored(queries, people, k, threshold), ["query_id"], _by_similarity(), k).select(
-        "query_id", "rank", "customer_id", "email", "first_name", "last_name", "loyalty_tier", "similarity_score",
-        similarity_band(F.col("similarity_score")).alias("confidence_level"),
+    best = search(_units(queries, "query_id"), _live(embeddings, customers), dim, k, cosine=True, limit=threshold)
+    who = ["customer_id", "email", "first_name", "last_name", "loyalty_tier"]
+    return best.join(customers.select(*who), "customer_id").select(
+        "query_id", "rank", *who, F.col("score").alias("similarity_score"), similarity_band(F.col("score")).alias("confidence_level")
     )
 
 
@@ -91,26 +69,17 @@ def primary_vectors(embeddings: DataFrame) -> DataFrame:
 
 
 def similar_entities(
-    source_ids: DataFrame, embeddings: DataFrame, customers: DataFrame, threshold: float = 0.8, k: int = 10
+    source_ids: DataFrame, embeddings: DataFrame, customers: DataFrame, threshold: float = 0.8, k: int = 10, dim: int = 128
 ) -> DataFrame:
     """Up to ``k`` other customers similar to the primary vector of each ``source_ids(source_id)``."""
-    sources = primary_vectors(embeddings).select(F.col("customer_id").alias("source_id"), "embedding")
-    asked = sources.join(source_ids.select("source_id").distinct(), "source_id")
-    people = _live(embeddings, customers.select("customer_id", "email", "first_name", "last_name", "is_active"))
-    others = _scored(asked, people, k, threshold, ("source_id", "customer_id"))
-    return top_k(others, ["source_id"], _by_similarity(), k).select(
-        "source_id", "rank", "customer_id", "email", "first_name", "last_name", "similarity_score"
+    asked = primary_vectors(embeddings).join(
+        source_ids.select(F.col("source_id").alias("customer_id")).distinct(), "customer_id", "left_semi"
     )
-
-
-def similar_all_pairs(embeddings: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Every pair of embeddings of different customers with at least the threshold similarity."""
-    live = embeddings.filter("is_active").select("embedding_id", "customer_id", "embedding")
-    left = live.select(F.col("embedding_id").alias("left_id"), F.col("customer_id").alias("left_customer"), "embedding")
-    return (
-        _scored(left, live, None, threshold, ("left_customer", "customer_id"))
-        .filter("left_id < embedding_id")
-        .select("left_id", F.col("embedding_id").alias("right_id"), "similarity_score")
+    queries = _units(asked, "customer_id").select(F.col("customer_id").alias("query_id"), F.col("customer_id").alias("own"), "v")
+    best = search(queries, _live(embeddings, customers), dim, k, cosine=True, limit=threshold, differ=True)
+    who = ["customer_id", "email", "first_name", "last_name"]
+    return best.join(customers.select(*who), "customer_id").select(
+        F.col("query_id").alias("source_id"), "rank", *who, F.col("score").alias("similarity_score")
     )
 
 
@@ -121,6 +90,7 @@ def topk_l2(
     threshold: float = 0.55,
     k: int = 5,
     compat: bool = False,
+    dim: int = 128,
 ) -> DataFrame:
     """Nearest customers by straight distance over primary vectors, with a match level.
 
@@ -129,16 +99,14 @@ def topk_l2(
     own = embeddings.filter("is_primary")
     own = own if compat else own.filter("is_active")
     who = ["customer_id", "first_name", "last_name", "email", "loyalty_tier", "points_balance"]
-    people = own.select("embedding_id", "customer_id", V.as_vector(F.col("embedding")).alias("__p")).join(
-        customers.select(*who), "customer_id"
+    people = own.join(customers.select("customer_id"), "customer_id", "left_semi").select(
+        "embedding_id", "customer_id", V.as_vector(F.col("embedding")).alias("v")
     )
-    asked = queries.select("query_id", V.as_vector(F.col("embedding")).alias("__q"))
-    k, radius = (5, None) if compat else (k, threshold)
-    pairs = vector_candidates(asked, people, "embedding_id", "__q", "__p", k, radius).withColumnRenamed("distance", "__exact")
-    if not compat:
-        pairs = pairs.filter(F.col("__exact") < threshold)
-    ranked = pairs.withColumn("distance", F.round("__exact", 4))
-    order = [F.col("distance").asc(), F.col("customer_id").asc(), F.col("embedding_id").asc()]
-    return top_k(ranked, ["query_id"], order, k).select(
-        "query_id", "rank", *who, "distance", distance_band(F.col("__exact")).alias("match_level")
+    asked = queries.select("query_id", V.as_vector(F.col("embedding")).alias("v"))
+    # A distance must be under the threshold; the next number above minus the threshold is the least score.
+    limit = None if compat else float(np.nextafter(-threshold, np.inf))
+    best = search(asked, people, dim, 5 if compat else k, cosine=False, limit=limit)
+    distance = -F.col("score")
+    return best.join(customers.select(*who), "customer_id").select(
+        "query_id", "rank", *who, F.round(distance, 4).alias("distance"), distance_band(distance).alias("match_level")
     )

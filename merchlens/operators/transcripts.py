@@ -11,7 +11,6 @@ TEXT, THINKING, TOOL, RESULT, TABLE, META, ERROR = (
     "response.text.delta", "response.thinking.delta", "response.tool_use", "response.tool_result", "response.table",
     "metadata", "error",
 )
-PART_EVENTS = 10_000
 
 
 def _ordered(value: Column, when: Column) -> Column:
@@ -19,12 +18,12 @@ def _ordered(value: Column, when: Column) -> Column:
     return F.transform(F.array_sort(pairs), lambda p: p["v"])
 
 
-def assemble_turns(events: DataFrame, part_events: int = PART_EVENTS) -> DataFrame:
+def assemble_turns(events: DataFrame) -> DataFrame:
     """One response per turn out of ``events(turn_id, seq, event_type, payload)``.
 
-    Text and thinking pieces are joined in order, tools, results and tables are listed, the last ids and the
-    first error win; a failed turn keeps only its error. Unreadable payloads are skipped. A response of more
-    than ``part_events`` events comes as several rows with rising ``part``, each bounded.
+    Text and thinking pieces are joined in order; tools (id, type, name, input), their results (id, name, status,
+    content) and tables are listed in order, JSON as text; the last ids and the first error win; a failed turn
+    keeps only its error. Unreadable payloads are skipped. A row holds one response, whatever its length.
     """
     data = F.col("__d")
     read = (
@@ -35,36 +34,34 @@ def assemble_turns(events: DataFrame, part_events: int = PART_EVENTS) -> DataFra
     kind = F.col("__type")
     own = json_string(data, "$.text")
     delta = F.when(F.coalesce(own, F.lit("")) != "", own).otherwise(F.coalesce(json_string(data, "$.delta.text"), F.lit("")))
+
+    def record(**paths: str) -> Column:
+        return F.struct(*[json_string(data, path).alias(name) for name, path in paths.items()])
+
     facts = read.select(
-        "turn_id", "seq", "__type", F.floor(F.col("seq") / part_events).alias("part"), delta.alias("__text"),
-        F.coalesce(own, F.lit("")).alias("__thinking"), json_string(data, "$.name").alias("__name"),
-        F.to_json(data).alias("__json"), json_string(data, "$.content").alias("__content"),
+        "turn_id", "seq", "__type", delta.alias("__text"), F.coalesce(own, F.lit("")).alias("__thinking"),
+        record(tool_use_id="$.tool_use_id", type="$.tool_type", name="$.name", input="$.input").alias("__tool"),
+        record(tool_use_id="$.tool_use_id", name="$.name", status="$.status", content="$.content").alias("__result"),
+        json_string(data, "$.content").alias("__content"),
         json_string(data, "$.thread_id").alias("__thread"), json_string(data, "$.message_id").alias("__message"),
         F.coalesce(json_string(data, "$.message"), F.lit("Unknown error")).alias("__error"),
     )
-    heads = facts.groupBy("turn_id").agg(
+    turns = facts.groupBy("turn_id").agg(
         F.max_by(F.struct("__thread", "__message"), F.when(kind == META, F.col("seq"))).alias("ids"),
         F.min_by("__error", F.when(kind == ERROR, F.col("seq"))).alias("error"),
-        F.min("part").alias("__first"),
-    )
-    parts = facts.groupBy("turn_id", "part").agg(
         F.array_join(_ordered(F.col("__text"), kind == TEXT), "").alias("text"),
         F.array_join(_ordered(F.col("__thinking"), kind == THINKING), "").alias("thinking"),
-        _ordered(F.col("__name"), (kind == TOOL) & F.col("__name").isNotNull()).alias("tools"),
-        _ordered(F.col("__json"), kind == RESULT).alias("tool_results"),
+        _ordered(F.col("__tool"), kind == TOOL).alias("tools"),
+        _ordered(F.col("__result"), kind == RESULT).alias("tool_results"),
         _ordered(F.col("__content"), kind == TABLE).alias("tables"),
     )
     ok = F.col("error").isNull()
-    return (
-        parts.join(heads, "turn_id")
-        .filter(ok | (F.col("part") == F.col("__first")))
-        .select(
-            "turn_id", "part", ok.alias("success"), F.when(ok, F.col("text")).alias("text"),
-            F.when(ok & (F.col("thinking") != ""), F.col("thinking")).alias("thinking"),
-            F.when(ok, F.col("tools")).alias("tools"), F.when(ok, F.col("tool_results")).alias("tool_results"),
-            F.when(ok, F.col("tables")).alias("tables"), F.when(ok, F.col("ids.__thread")).alias("thread_id"),
-            F.when(ok, F.col("ids.__message")).alias("message_id"), "error",
-        )
+    return turns.select(
+        "turn_id", ok.alias("success"), F.when(ok, F.col("text")).alias("text"),
+        F.when(ok & (F.col("thinking") != ""), F.col("thinking")).alias("thinking"),
+        F.when(ok, F.col("tools")).alias("tools"), F.when(ok, F.col("tool_results")).alias("tool_results"),
+        F.when(ok, F.col("tables")).alias("tables"), F.when(ok, F.col("ids.__thread")).alias("thread_id"),
+        F.when(ok, F.col("ids.__message")).alias("message_id"), "error",
     )
 
 

@@ -17,7 +17,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 @dataclass(frozen=True)
 class Metric:
-    """``kind`` (sum, avg, min, max or distinct) of a SQL expression over one table, times ``scale``."""
+    """``kind`` (sum, avg, min, max, distinct or rows) of a SQL expression over one table, times ``scale``.
+
+    ``rows`` counts distinct values of the table's own key, which stand in one row each, so that counts add up.
+    """
 
     table: str
     kind: str
@@ -38,12 +41,14 @@ _PARTIAL = {
     "min": lambda n, v: [F.min(v).alias(n)],
     "max": lambda n, v: [F.max(v).alias(n)],
     "avg": lambda n, v: [F.sum(v).alias(n), F.count(v).alias(f"{n}__n")],
+    "rows": lambda n, v: [F.count(v).alias(n)],
 }
 _FINAL = {
     "sum": lambda n: F.sum(n),
     "min": lambda n: F.min(n),
     "max": lambda n: F.max(n),
     "avg": lambda n: F.sum(n) / F.sum(f"{n}__n"),
+    "rows": lambda n: F.sum(n),
 }
 
 
@@ -97,11 +102,13 @@ class MetricView:
         keys = {**own_keys, **{a: c for a, c in own_dims.items() if a in shown}}
         values = [F.expr(m.value).alias(f"__m_{n}") for n, m in specs.items()]
         picked = base.select(*[c.alias(a) for a, c in keys.items()], *values)
+        # Shrink before any join, so a hot parent is one row too: one row per reference, or per reference and value.
         splits = all(m.kind != "distinct" for m in specs.values())
         if steps and splits:
-            # Shrink to one row per reference before any join, so a hot parent is one row too.
             partial = [c for n, m in specs.items() for c in _PARTIAL[m.kind](f"__m_{n}", F.col(f"__m_{n}"))]
             picked = picked.groupBy(*keys).agg(*partial)
+        elif steps:
+            picked = picked.distinct()
 
         for step in steps:
             parent = self.tables[step.parent]
@@ -119,7 +126,7 @@ class MetricView:
             if steps and splits:
                 value = _FINAL[m.kind](f"__m_{n}")
             else:
-                agg = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "distinct": F.count_distinct}[m.kind]
+                agg = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "distinct": F.count_distinct, "rows": F.count}[m.kind]
                 value = agg(F.col(f"__m_{n}"))
             out.append((value if m.scale is None else value * m.scale).alias(n))
         return picked.groupBy(*shown).agg(*out)
@@ -142,10 +149,13 @@ class MetricView:
         dims = {alias: self.resolve(d) for alias, d in dims.items()}
         where = {self.resolve(d): test for d, test in (where or {}).items()}
         names = list(dict.fromkeys(named.values()))
-        by_table: dict[str, list[str]] = {}
+        by_table: dict[tuple[str, str], list[str]] = {}
         for n in names:
-            by_table.setdefault(self.metrics[n].table, []).append(n)
-        frames = [self._frame(t, ns, dims, where) for t, ns in by_table.items()]
+            m = self.metrics[n]
+            joined = any(d.split(".")[0] != m.table for d in (*dims.values(), *where))
+            # A distinct metric keeps its values to the end, so it must not hold back the others of its table.
+            by_table.setdefault((m.table, n if joined and m.kind == "distinct" else ""), []).append(n)
+        frames = [self._frame(t, ns, dims, where) for (t, _), ns in by_table.items()]
         out = frames[0]
         if len(frames) > 1:
             stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -186,7 +196,7 @@ def product_view(products: DataFrame, variants: DataFrame, price_history: DataFr
             "min_price": Metric("product", "min", "current_price"),
             "product_count": Metric("product", "distinct", "product_id"),
             "active_promos": Metric("promo", "distinct", "CASE WHEN is_active THEN promotion_id END"),
-            "variant_count": Metric("variant", "distinct", "variant_id"),
+            "variant_count": Metric("variant", "rows", "variant_id"),
         },
         PRODUCT_WORDS,
     )
@@ -199,11 +209,11 @@ def social_view(
         {"influencer": influencers, "mention": mentions, "product": products, "review": reviews, "trending": trending},
         [Ref(t, "product_id", "product", "product_id") for t in ("influencer", "mention", "review", "trending")],
         {
-            "influencer_mention_count": Metric("influencer", "distinct", "mention_id"),
-            "mention_count": Metric("mention", "distinct", "mention_id"),
+            "influencer_mention_count": Metric("influencer", "rows", "mention_id"),
+            "mention_count": Metric("mention", "rows", "mention_id"),
             "total_engagement": Metric("mention", "sum", "likes + comments + shares"),
             "avg_rating": Metric("review", "avg", "rating"),
-            "review_count": Metric("review", "distinct", "review_id"),
+            "review_count": Metric("review", "rows", "review_id"),
             "viral_product_count": Metric("trending", "distinct", "CASE WHEN is_viral THEN product_id END"),
         },
         SOCIAL_WORDS,
@@ -230,7 +240,7 @@ def cart_view(
             "completed_cart_count": Metric("session", "distinct", "CASE WHEN status = 'completed' THEN session_id END"),
             "avg_cart_value": Metric("session", "avg", "total_cents", 0.01),
             "total_items": Metric("item", "sum", "quantity"),
-            "order_count": Metric("order_tbl", "distinct", "order_id"),
+            "order_count": Metric("order_tbl", "rows", "order_id"),
             "total_revenue": Metric("order_tbl", "sum", "total_cents", 0.01),
         },
         CART_WORDS,
@@ -245,7 +255,7 @@ def customer_view(customers: DataFrame, analyses: DataFrame) -> MetricView:
             "customer_count": Metric("customer", "distinct", "customer_id"),
             "avg_points": Metric("customer", "avg", "points_balance"),
             "total_points": Metric("customer", "sum", "points_balance"),
-            "analysis_count": Metric("analysis", "distinct", "analysis_id"),
+            "analysis_count": Metric("analysis", "rows", "analysis_id"),
         },
         CUSTOMER_WORDS,
     )
@@ -260,7 +270,7 @@ def inventory_view(locations: DataFrame, stock: DataFrame, products: DataFrame)
             "total_on_hand": Metric("stock", "sum", "quantity_on_hand"),
             "total_reserved": Metric("stock", "sum", "quantity_reserved"),
             "total_available": Metric("stock", "sum", "quantity_on_hand - quantity_reserved"),
-            "low_stock_count": Metric("stock", "distinct", "CASE WHEN quantity_on_hand <= reorder_point THEN stock_id END"),
+            "low_stock_count": Metric("stock", "rows", "CASE WHEN quantity_on_hand <= reorder_point THEN stock_id END"),
         },
         INVENTORY_WORDS,
     )

@@ -84,9 +84,3 @@ def settled(df: DataFrame, name: str = "settled") -> DataFrame:
 def spread_rows(df: DataFrame) -> DataFrame:
     """Rows dealt out over the shuffle partitions, for few rows that each need much work."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def spread_if_narrow(source: DataFrame) -> DataFrame:
-    """A scanned table spread by its first column when its files give fewer splits than there are cores."""
-    cores = source.sparkSession.sparkContext.defaultParallelism
-    return source.repartition(cores, source.columns[0]) if source.rdd.getNumPartitions() < cores else source

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from merchlens.sources.csv import load_csv
+from merchlens.sources.csv import headers, load_csv, raw_csv
 
 
 @dataclass(frozen=True)
@@ -120,12 +120,14 @@ def schema_for(table: str, columns: Iterable[str]) -> T.StructType:
     return T.StructType([T.StructField(c.lower(), column_type(table, c)) for c in columns])
 
 
-def load_table(spark: SparkSession, table: str, path: str, multi_line: bool = True) -> DataFrame:
-    """Load one table's CSV files; names come from the header, types from the naming rule."""
+def load_table(spark: SparkSession, table: str, path: str, multi_line: bool = False) -> DataFrame:
+    """Load one table's CSV files; names come from the files' headers, types from the naming rule."""
     if table not in TABLES:
         raise KeyError(f"unknown table {table}")
-    header = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(path)
-    return load_csv(spark, path, schema_for(table, header.columns), multi_line=multi_line)
+    columns: dict[str, None] = {}
+    for files in headers(spark, path).values():
+        columns |= dict.fromkeys(c.strip().lower() for c in raw_csv(spark, files[:1], multi_line).columns)
+    return load_csv(spark, path, schema_for(table, columns), multi_line=multi_line)
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:

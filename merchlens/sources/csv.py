@@ -19,21 +19,22 @@ def _typed(text: Column, kind: T.DataType) -> Column:
     return text if isinstance(kind, T.StringType) else F.trim(text).try_cast(kind)
 
 
-def load_csv(
-    spark: SparkSession,
-    path: str,
-    schema: T.StructType | str,
-    nulls: Sequence[str] = NULL_TOKENS,
-    multi_line: bool = True,
-) -> DataFrame:
-    """Read CSV files with a header into ``schema``, matching columns by name without regard to case.
+def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files under a path by their header line. Only headers and file names come to the driver."""
+    at = "_metadata"
+    lines = spark.read.text(path).select(
+        F.col(f"{at}.file_path").alias("file"), F.col(f"{at}.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), "value"
+    )
+    firsts = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    found: dict[str, list[str]] = {}
+    for row in firsts.orderBy("file").collect():
+        found.setdefault(row.header.rstrip("\r"), []).append(row.file)
+    return found
 
-    Missing columns become NULL, extra ones are dropped, null tokens become NULL and values that do not fit
-    their type become NULL. With ``multi_line`` quoted fields may hold line breaks, at the price of one task
-    per file; switch it off for large files without them.
-    """
-    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    raw = (
+
+def raw_csv(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> DataFrame:
+    """CSV files of one header as text columns."""
+    return (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
         .option("quote", '"')
@@ -41,8 +42,11 @@ def load_csv(
         .option("mode", "PERMISSIVE")
         .option("nullValue", "\u0000")
         .option("emptyValue", "")
-        .csv(path)
+        .csv(paths)
     )
+
+
+def _bound(raw: DataFrame, schema: T.StructType, nulls: Sequence[str]) -> DataFrame:
     by_name = {name.strip().lower(): name for name in raw.columns}
     out = []
     for field in schema.fields:
@@ -56,6 +60,27 @@ def load_csv(
     return raw.select(*out)
 
 
+def load_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    nulls: Sequence[str] = NULL_TOKENS,
+    multi_line: bool = False,
+) -> DataFrame:
+    """Read CSV files with a header into ``schema``, matching columns by name without regard to case.
+
+    Every file is bound by its own header, which is its first line. Missing columns become NULL, extra ones are
+    dropped, null tokens become NULL and values that do not fit their type become NULL. With ``multi_line`` quoted
+    fields may hold line breaks, at the price of one task per file.
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    out = None
+    for files in headers(spark, path).values():
+        part = _bound(raw_csv(spark, files, multi_line), schema, nulls)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
 def with_defaults(df: DataFrame, defaults: Mapping[str, object], anchor: Column | None = None, seed: Sequence[str] = ()) -> DataFrame:
     """Fill NULLs: ``"uuid"`` gives an id, ``"now"`` the anchor or current time, anything else itself.
 

@@ -131,12 +131,22 @@ def _(d):
     )
     raw.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
     schema = "customer_id long, first_name string, loyalty_tier string, points_balance long, phone string, is_active boolean"
-    return load_csv(d.spark, path, schema)
+    return load_csv(d.spark, path, schema, multi_line=True)
 
 
-@query("file_registry")
+@query(
+    "load_csv_by_header",
+    """SELECT n_nationkey AS nation_id, n_name AS name, n_regionkey AS region_id, CAST(NULL AS VARCHAR) AS note FROM nation
+       UNION ALL SELECT r_regionkey + 100, r_name, NULL, 'region' FROM region""",
+)
 def _(d):
-    return register_files(d.spark, [d.folder], "*.parquet").select(F.element_at(F.split("file_path", "/"), -1).alias("file_name"), "length")
+    """Two files with columns in another order and of another set, in one folder."""
+    path = scratch_path(d.spark, "csv")
+    first = d.nation.select(F.col("n_nationkey").alias("NATION_ID"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region_id"))
+    second = d.region.select(F.lit("region").alias("note"), F.col("r_name").alias("Name"), (F.col("r_regionkey") + 100).alias("nation_id"))
+    for part in (first, second):
+        part.write.mode("append").option("header", True).csv(path)
+    return load_csv(d.spark, path, "nation_id long, name string, region_id long, note string")
 
 
 def in_three_parts(d, df, name, order):
@@ -144,12 +154,12 @@ def in_three_parts(d, df, name, order):
     path = scratch_path(d.spark, name)
     low, high = df.agg(F.percentile_approx(order, [0.34, 0.67])).first()[0]
     for i, part in enumerate((F.col(order) <= low, (F.col(order) > low) & (F.col(order) <= high), F.col(order) > high)):
-        df.filter(part).coalesce(4).write.parquet(f"{path}/part={i}")
+        df.filter(part).write.parquet(f"{path}/part={i}")
     return path
 
 
 def read_parts(d, path, schema):
-    return d.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/*")
+    return d.spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{path}/*")
 
 
 def finish(stream):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from merchlens.functions import colors as C, vectors as VX
+from merchlens.functions import colors as C
 from merchlens.functions.bands import face_quality, match_confidence
 from merchlens.functions.text import looks_like_uuid, uuid_from
 from merchlens.operators import color_match as M, derive as D, embeddings as E, names as N, quick_match as Q, similarity as S
@@ -193,8 +193,7 @@ def _(d):
     "pixels products variants media",
 )
 def _(d):
-    readable = d.variants.filter(~F.col("color_hex").startswith("#GG"))
-    return M.match_products_in_category(targets(d), d.products, readable, d.media, "Lips")
+    return M.match_products_in_category(targets(d), d.products, d.variants, d.media, "Lips")
 
 
 CUST = "customers"
@@ -212,7 +211,7 @@ PAIRS = """pairs AS (SELECT q.query_id, e.embedding_id, c.*, list_cosine_similar
     VECS,
 )
 def _(d):
-    r = S.best_match(d.query_vectors, d.people_vectors, d.customers)
+    r = S.best_match(d.query_vectors, d.people_vectors, d.customers, dim=64)
     return r.withColumn("similarity_score", F.round("similarity_score", 4))
 
 
@@ -224,7 +223,7 @@ def _(d):
     VECS,
 )
 def _(d):
-    r = S.topk_cosine(d.query_vectors, d.people_vectors, d.customers)
+    r = S.topk_cosine(d.query_vectors, d.people_vectors, d.customers, dim=64)
     return r.withColumn("similarity_score", F.round("similarity_score", 4))
 
 
@@ -237,12 +236,12 @@ L2 = """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
 
 @query("vector_topk_l2", L2.format(" AND e.is_active AND list_distance(q.embedding, e.embedding) < 0.55"), VECS)
 def _(d):
-    return S.topk_l2(d.query_vectors, d.people_vectors, d.customers)
+    return S.topk_l2(d.query_vectors, d.people_vectors, d.customers, dim=64)
 
 
 @query("vector_topk_l2_compat", L2.format(""), VECS)
 def _(d):
-    return S.topk_l2(d.query_vectors, d.people_vectors, d.customers, compat=True)
+    return S.topk_l2(d.query_vectors, d.people_vectors, d.customers, compat=True, dim=64)
 
 
 @query(
@@ -257,21 +256,10 @@ def _(d):
 )
 def _(d):
     sources = d.people_vectors.select(F.col("customer_id").alias("source_id"))
-    r = S.similar_entities(sources, d.people_vectors, d.customers)
+    r = S.similar_entities(sources, d.people_vectors, d.customers, dim=64)
     return r.withColumn("similarity_score", F.round("similarity_score", 4))
 
 
-@query(
-    "similar_all_pairs",
-    """SELECT a.embedding_id AS left_id, b.embedding_id AS right_id, round(list_cosine_similarity(a.embedding, b.embedding), 4) AS similarity_score
-       FROM people_vectors a JOIN people_vectors b ON a.embedding_id < b.embedding_id AND a.customer_id <> b.customer_id
-       WHERE a.is_active AND b.is_active AND list_cosine_similarity(a.embedding, b.embedding) >= 0.8""",
-    "people_vectors",
-)
-def _(d):
-    return S.similar_all_pairs(d.people_vectors).withColumn("similarity_score", F.round("similarity_score", 4))
-
-
 @query(
     "register_validate",
     """SELECT n.vec_id, c.customer_id IS NOT NULL AS accepted,
@@ -302,20 +290,6 @@ def _(d):
     return counts.withColumn("still_active", still).withColumn("customer_id", F.col("customer_id").cast("int"))
 
 
-@query(
-    "placeholder_embedding",
-    """SELECT doc_id, round(list_sum(list_transform(range(1, 33), lambda i: (CAST('0x' || substr(md5(text), CAST(i AS INT), 1) AS INT) / 15.0 - 0.5) * 3.4)), 6) AS total,
-         round((CAST('0x' || substr(md5(text), 7, 1) AS INT) / 15.0 - 0.5) * 0.9, 6) AS element, 128 AS dim FROM documents""",
-)
-def _(d):
-    v = VX.placeholder_embedding(F.col("text"))
-    e = d.documents.select("doc_id", v.alias("v"))
-    return e.select(
-        "doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"),
-        F.round(F.get("v", F.lit(25)), 6).alias("element"), F.size("v").alias("dim"),
-    )
-
-
 @query(
     "match_confidence",
     """SELECT event_id, greatest(0, 1 - value / 50.0) AS confidence, greatest(0, 1 - CASE WHEN floor(value) = 0 THEN 0.5 ELSE floor(value) END) AS compat_confidence,

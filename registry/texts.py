@@ -275,19 +275,22 @@ def stream_events(d):
     pieces = d.conversations.select(turn, "text", F.posexplode(F.sequence(F.lit(1), F.greatest(size, F.lit(1)))).alias("seq", "n"))
     piece = F.substr("text", (F.col("n") - 1) * 40 + 1, F.lit(40))
     deltas = pieces.select(
-        "turn_id", (F.col("seq") + 10).cast("long").alias("seq"), F.lit("response.text.delta").alias("event_type"),
+        "turn_id", (F.col("seq") + 9_995).cast("long").alias("seq"), F.lit("response.text.delta").alias("event_type"),
         F.when(F.col("n") % 2 == 0, F.to_json(F.struct(piece.alias("text")))).otherwise(F.to_json(F.struct(F.struct(piece.alias("text")).alias("delta")))).alias("payload"),
     )
 
     def extra(seq, kind, payload):
         return d.conversations.select(turn, F.lit(seq).cast("long").alias("seq"), kind.alias("event_type"), payload.alias("payload"))
 
-    tool = extra(0, F.lit("response.tool_use"), F.to_json(F.struct(F.col("role").alias("name"))))
+    called = F.struct(F.concat(F.lit("u"), F.col("conv_id")).alias("tool_use_id"), F.lit("generic").alias("tool_type"), F.col("role").alias("name"), F.struct(F.col("turn")).alias("input"))
+    tool = extra(0, F.lit("response.tool_use"), F.to_json(called))
+    answered = F.struct(F.concat(F.lit("u"), F.col("conv_id")).alias("tool_use_id"), F.col("role").alias("name"), F.lit("success").alias("status"), F.col("turn").alias("content"))
+    result = extra(20_000, F.lit("response.tool_result"), F.to_json(answered))
     meta = extra(1, F.lit(None).cast("string"), F.to_json(F.struct(F.lit("metadata").alias("type"), F.col("conv_id").alias("thread_id"), F.col("turn").alias("message_id"))))
     broken = extra(2, F.lit("response.text.delta"), F.lit("{not json"))
     failed = extra(3, F.lit("error"), F.to_json(F.struct(F.concat(F.lit("failed "), F.col("conv_id")).alias("message")))).filter("turn_id LIKE '%-3-%'")
     out = deltas
-    for more in (tool, meta, broken, failed):
+    for more in (tool, result, meta, broken, failed):
         out = out.unionByName(more)
     return out
 
@@ -295,12 +298,15 @@ def stream_events(d):
 @query(
     "transcript_assemble",
     """SELECT concat_ws('-', conv_id, turn, role) AS turn_id, turn <> 3 AS success, CASE WHEN turn <> 3 THEN text END AS text,
-         CASE WHEN turn <> 3 THEN role END AS tools, CASE WHEN turn <> 3 THEN CAST(conv_id AS VARCHAR) END AS thread_id,
+         CASE WHEN turn <> 3 THEN 'u' || conv_id || ',generic,' || role || ',{"turn":' || turn || '}' END AS tools,
+         CASE WHEN turn <> 3 THEN 'u' || conv_id || ',' || role || ',success,' || turn END AS results, CASE WHEN turn <> 3 THEN CAST(conv_id AS VARCHAR) END AS thread_id,
          CASE WHEN turn <> 3 THEN CAST(turn AS VARCHAR) END AS message_id, CASE WHEN turn = 3 THEN 'failed ' || conv_id END AS error FROM conversations""",
 )
 def _(d):
     r = H.assemble_turns(stream_events(d))
-    return r.select("turn_id", "success", "text", F.array_join("tools", ",").alias("tools"), "thread_id", "message_id", "error")
+    told = lambda name, *fields: F.array_join(F.transform(name, lambda t: F.concat_ws(",", *[t[f] for f in fields])), ";").alias(name)
+    tools, results = told("tools", "tool_use_id", "type", "name", "input"), told("tool_results", "tool_use_id", "name", "status", "content")
+    return r.select("turn_id", "success", "text", tools, results.alias("results"), "thread_id", "message_id", "error")
 
 
 @query(

@@ -78,10 +78,23 @@ def test_assembling_events(rows):
         ("b", 1, "response.text.delta", '{"text":"x"}'), ("b", 2, "error", '{"message":"first"}'), ("b", 3, "error", "{}"),
     )
     got = {r.turn_id: r for r in H.assemble_turns(events).collect()}
-    assert (got["a"].text, got["a"].tools, got["a"].thread_id, got["a"].message_id, got["a"].success, got["a"].thinking) == ("Hello", ["T"], "1", "9", True, None)
+    assert (got["a"].text, [tuple(t) for t in got["a"].tools], got["a"].thread_id, got["a"].message_id, got["a"].success, got["a"].thinking) == ("Hello", [(None, None, "T", None)], "1", "9", True, None)
     assert (got["b"].success, got["b"].text, got["b"].error, got["b"].tools) == (False, None, "first", None)
-    parts = H.assemble_turns(events, part_events=2).filter("turn_id = 'a'").orderBy("part").collect()
-    assert "".join(p.text for p in parts) == "Hello" and len(parts) == 3
+
+
+def test_turns_stay_whole_and_keep_tool_records(rows):
+    events = rows(
+        "turn_id string, seq long, event_type string, payload string",
+        ("a", 9998, "response.text.delta", '{"text":"a"}'), ("a", 9999, "response.text.delta", '{"text":"b"}'),
+        ("a", 10000, "response.text.delta", '{"text":"c"}'),
+        ("a", 10001, "response.tool_use", '{"tool_use_id":"u1","tool_type":"fn","name":"n","input":{"q":1}}'),
+        ("a", 10002, "response.tool_result", '{"tool_use_id":"u1","name":"n","status":"ok","content":[{"x":1}]}'),
+        ("a", 10003, "response.table", '{"content":{"rows":2}}'),
+    )
+    (turn,) = H.assemble_turns(events).collect()
+    assert turn.text == "abc"
+    assert [tuple(t) for t in turn.tools] == [("u1", "fn", "n", '{"q":1}')]
+    assert [tuple(t) for t in turn.tool_results] == [("u1", "n", "ok", '[{"x":1}]')] and turn.tables == ['{"rows":2}']
 
 
 def test_history(rows):

@@ -109,5 +109,3 @@ def test_vectors(spark):
     assert values(spark, "array<double>", [[3.0, 4.0], [0.0, 0.0]], vectors.unit) == [[0.6, 0.8], None]
     assert values(spark, "array<double>", [[3.0, 4.0]], lambda c: vectors.cosine(c, c)) == [1.0]
     assert values(spark, "string", ["[1,2]", "[1]", "[1,null]", "x"], lambda c: vectors.vector_from_json(c, 2)) == [[1.0, 2.0], None, None, None]
-    made = values(spark, "string", ["abc"], vectors.placeholder_embedding)[0]
-    assert len(made) == 128 and math.isclose(made[0], int("9", 16) / 15 - 0.5)

@@ -4,13 +4,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from merchlens.operators import color_match, nearest, similarity
+from merchlens.operators import color_match, nearest, similarity, vector_search
 from tests.conftest import answers
 
 
 @pytest.fixture(autouse=True)
 def tiny_pieces(monkeypatch):
     monkeypatch.setattr(nearest, "ROWS_PER_SPLIT", 16)
+    monkeypatch.setattr(vector_search, "PIECE", 40)
+    monkeypatch.setattr(vector_search, "BLOCK", 8)
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +54,7 @@ def allowed(i):
 @pytest.mark.parametrize("threshold,k", [(0.7, 5), (0.95, 3), (0.2, 40)])
 def test_topk_cosine(rows, world, threshold, k):
     people, customers, asked = frames(rows, world)
-    got = answers(similarity.topk_cosine(asked, people, customers, threshold, k), "query_id", "rank", "customer_id", F.round("similarity_score", 5))
+    got = answers(similarity.topk_cosine(asked, people, customers, threshold, k, dim=8), "query_id", "rank", "customer_id", F.round("similarity_score", 5))
     sims, want = cosines(world), []
     for q in range(sims.shape[0]):
         order = sorted((-round(s, 6), i // 2, i, s) for i, s in enumerate(sims[q]) if allowed(i) and s >= threshold)[:k]
@@ -63,7 +65,7 @@ def test_topk_cosine(rows, world, threshold, k):
 def test_best_match_and_missing_vectors(rows, world):
     people, customers, asked = frames(rows, world)
     extra = rows("query_id long, embedding array<double>", (900, None), (901, [0.0] * 8), (902, [1.0, 2.0]))
-    got = {r.query_id: r for r in similarity.best_match(asked.unionByName(extra), people, customers).collect()}
+    got = {r.query_id: r for r in similarity.best_match(asked.unionByName(extra), people, customers, dim=8).collect()}
     sims = cosines(world)
     for q in range(sims.shape[0]):
         best = min((-round(s, 6), i // 2, i, s) for i, s in enumerate(sims[q]) if allowed(i))
@@ -77,7 +79,7 @@ def test_topk_l2(rows, world):
     points, queries = world
     dist = np.linalg.norm(queries[:, None] - points[None], axis=2)
     for compat in (False, True):
-        got = answers(similarity.topk_l2(asked, people, customers, 1.5, 4, compat), "query_id", "rank", "customer_id", "distance")
+        got = answers(similarity.topk_l2(asked, people, customers, 1.5, 4, compat, dim=8), "query_id", "rank", "customer_id", "distance")
         want = []
         for q in range(len(queries)):
             usable = [(round(float(x), 4), i // 2, i) for i, x in enumerate(dist[q]) if i % 2 == 0 and (compat or (i % 7 != 3 and x < 1.5))]
@@ -88,7 +90,7 @@ def test_topk_l2(rows, world):
 def test_similar_entities_never_returns_the_source(rows, world):
     people, customers, _ = frames(rows, world)
     sources = people.select(F.col("customer_id").alias("source_id"))
-    got = similarity.similar_entities(sources, people, customers, 0.8, 3).collect()
+    got = similarity.similar_entities(sources, people, customers, 0.8, 3, dim=8).collect()
     assert got and all(r.source_id != r.customer_id for r in got)
     points, _ = world
     unit = points / np.linalg.norm(points, axis=1, keepdims=True)
@@ -100,15 +102,13 @@ def test_similar_entities_never_returns_the_source(rows, world):
     ]
 
 
-def test_all_pairs(rows, world):
-    people, _, _ = frames(rows, world)
-    got = answers(similarity.similar_all_pairs(people, 0.9), "left_id", "right_id")
-    points, _ = world
-    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
-    sims = unit @ unit.T
-    live = [i for i in range(len(points)) if i % 7 != 3]
-    want = [(i, j) for i in live for j in live if i < j and i // 2 != j // 2 and sims[i, j] >= 0.9]
-    assert got == sorted(want, key=repr)
+def test_misfits_are_named(rows, world):
+    people, customers, asked = frames(rows, world)
+    odd = rows("embedding_id long, v array<double>", (1, [1.0] * 8), (2, [1.0]), (3, None), (4, [None] + [1.0] * 7))
+    assert answers(vector_search.misfits(odd, "v", 8), "embedding_id", "error") == [
+        (2, "Embedding must have 8 numbers"), (3, "Embedding must have 8 numbers"), (4, "Embedding has gaps"),
+    ]
+    assert similarity.topk_cosine(asked, people, customers, dim=7).count() == 0
 
 
 @pytest.mark.parametrize("spread", [256, 40])

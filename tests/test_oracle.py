@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from registry.core import ORACLES, QUERIES
 from tests.check import compare, connect
 from tests.conftest import SMALL
 
@@ -12,9 +13,9 @@ def duck():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    ok, message, _, _ = compare(spark, duck, entry.queries()[name], entry.oracle_sql().get(name), SMALL)
+    ok, message, _, _ = compare(spark, duck, QUERIES[name], ORACLES[name], SMALL)
     assert ok, message
 
 

@@ -5,12 +5,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from merchlens.operators import content
 from merchlens.operators.cart import fold_items, priced_commands
 from merchlens.operators.search import build_index
 from merchlens.session import scratch_path
 from merchlens.streaming import folds
+from registry.core import QUERIES
 from registry.roles import Data
 from tests.conftest import SMALL, answers
 
@@ -19,12 +19,12 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-LAZY = [n for n in entry.queries() if not n.startswith(("stream_", "bm25", "fallback", "search_index_inc", "load_csv", "cart_"))]
+LAZY = [n for n in QUERIES if not n.startswith(("stream_", "bm25", "fallback", "search_index_inc", "load_csv", "cart_"))]
 
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan(entry.queries()[name](spark, SMALL)) for name in LAZY}
+    return {name: plan(QUERIES[name](spark, SMALL)) for name in LAZY}
 
 
 def test_no_query_pairs_everything(plans):
@@ -48,9 +48,9 @@ def test_windows_have_partitions(plans):
 
 
 def test_columns_and_filters_reach_the_files(spark):
-    text = plan(entry.queries()["dash_revenue"](spark, SMALL))
+    text = plan(QUERIES["dash_revenue"](spark, SMALL))
     assert "o_totalprice" in text.split("ReadSchema")[1] and "o_orderpriority" not in text
-    text = plan(entry.queries()["vq_review_summary"](spark, SMALL))
+    text = plan(QUERIES["vq_review_summary"](spark, SMALL))
     assert "PushedFilters: [IsNotNull(l_shipdate), LessThanOrEqual(l_shipdate" in text
 
 
@@ -62,11 +62,21 @@ def test_filter_on_content_type_drops_the_other_branches(spark):
 
 
 def test_facts_shrink_before_they_meet_products(spark):
-    text = plan(entry.queries()["dash_top_rated"](spark, SMALL))
+    text = plan(QUERIES["dash_top_rated"](spark, SMALL))
     join = text.index("Join")
     assert "HashAggregate(keys=[l_partkey" in text[join:] or "HashAggregate(keys=[product_id" in text[join:]
 
 
+def test_facts_of_distinct_metrics_shrink_first(plans):
+    for name in ("mv_social", "mv_variant", "mv_trending", "mv_inventory", "mv_social_by_brand", "orders_by_customer"):
+        lines = plans[name].splitlines()
+        for i, line in enumerate(lines):
+            if "Join" in line and "LeftOuter" in line:
+                depth = len(line) - len(line.lstrip(" :+-"))
+                below = [x for x in lines[i + 1 :] if len(x) - len(x.lstrip(" :+-")) > depth]
+                assert any("HashAggregate" in x or "SortAggregate" in x for x in below), (name, line)
+
+
 def write_parts(spark, df, n, order):
     path = scratch_path(spark, "parts")
     for i in range(n):

@@ -1,12 +1,15 @@
 import datetime as dt
 from decimal import Decimal
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
 from merchlens.operators import quality as Q
 from merchlens.operators.infer import batch_infer, infer_totals
-from merchlens.session import spread_if_narrow
 from merchlens.sources import catalog, files
 from merchlens.sources.csv import load_csv, with_defaults
 from tests.conftest import answers
@@ -22,7 +25,7 @@ a2,NULL,null,False,not a number,,y
 
 def test_multi_line_json_and_null_tokens(spark, tmp_path):
     (tmp_path / "p.csv").write_text(PLACES)
-    df = catalog.load_table(spark, "locations", str(tmp_path))
+    df = catalog.load_table(spark, "locations", str(tmp_path), multi_line=True)
     assert df.schema["operating_hours"].dataType == T.MapType(T.StringType(), T.StringType())
     a1, a2 = df.orderBy("location_id").collect()
     assert (a1.name, a1.operating_hours["sun"], a1.is_active, a1.latitude) == ('Store "One", NY', "closed", True, 40.5)
@@ -116,6 +119,23 @@ def test_unknown_table(spark):
         catalog.load_table(spark, "nothing", "/nowhere")
 
 
-def test_wide_sources_are_not_shuffled(spark):
-    assert "Exchange" not in spread_if_narrow(spark.range(0, 100, 1, 8))._jdf.queryExecution().executedPlan().toString()
-    assert spread_if_narrow(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_files_are_bound_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ID,NAME\n1,x\n")
+    (tmp_path / "b.csv").write_text("NAME,ID\ny,2\n")
+    (tmp_path / "c.csv").write_text("extra,Id\nz,3\n")
+    assert answers(load_csv(spark, str(tmp_path), "id long, name string")) == [(1, "x"), (2, "y"), (3, None)]
+
+
+def test_python_reaches_workers_from_another_folder(tmp_path):
+    """A session started outside the repository, without PYTHONPATH, runs a query with Python in it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("rows", entry.queries()["vector_topk_l2"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and "rows" in done.stdout, done.stderr[-2000:]
