@@ -17,6 +17,11 @@ BULLET = r"[-•]\s*\*\*([^*]+)\*\*"
 BULLET_WORDS = ("foundation", "lipstick", "beauty", "concealer", "blush", "glow", "matte", "pro", "ultra")
 TEXT_LIMIT, FALLBACK = 8, 4
 ID_LENGTH = 36
+# What a product that only the text names is given.
+TEXT_SWATCH, TEXT_DISTANCE, TEXT_IMAGE = "#f0f0f0", 5.0, ""
+TEXT_CATEGORY_WORD, TEXT_CATEGORY = "foundation", "beauty"
+
+DETAILS = ("name", "brand", "category", "swatch_hex", "color_distance", "price", "image_url")
 
 
 def _groups(text: Column, pattern: str, *groups: int) -> Column:
@@ -57,36 +62,44 @@ def _text_products(text: Column) -> Column:
     return F.slice(chosen, 1, TEXT_LIMIT)
 
 
+def _details(name: Column, brand: Column, price: Column, category: Column) -> list[Column]:
+    """DETAILS of a product known from the text alone."""
+    told = (name, brand, category, F.lit(TEXT_SWATCH), F.lit(TEXT_DISTANCE), price, F.lit(TEXT_IMAGE))
+    return [value.alias(column) for value, column in zip(told, DETAILS, strict=True)]
+
+
 def ground_mentions(turns: DataFrame, tool_products: DataFrame, fallback_k: int = FALLBACK) -> DataFrame:
     """Products of each turn: those named with an id, else the first few the tools returned.
 
-    ``turns(turn_id, text, product_tool_used)``; ``tool_products(turn_id, pos, product_id, name, brand, price)``.
-    A named id the tools did not return keeps what the text says. When the tools returned nothing but were
-    used, bold names in the text stand in.
+    ``turns(turn_id, text, product_tool_used)``; ``tool_products(turn_id, pos, product_id, *DETAILS)``, of which
+    category, swatch_hex, color_distance and image_url may be missing. A named id the tools did not return keeps
+    what the text says. When the tools returned nothing but were used, bold names in the text stand in.
     """
+    for column in set(DETAILS) - set(tool_products.columns):
+        tool_products = tool_products.withColumn(column, F.lit(None).cast("double" if column == "color_distance" else "string"))
     named = parse_mentions(turns)
     lookup = (
         tool_products.filter(F.length("product_id") == ID_LENGTH)
         .groupBy("turn_id", F.lower("product_id").alias("product_id"))
-        .agg(F.max_by(F.struct("name", "brand", "price"), "pos").alias("t"))
+        .agg(F.max_by(F.struct(*DETAILS), "pos").alias("t"))
     )
-    by_id = named.join(lookup, ["turn_id", "product_id"], "left").select(
-        "turn_id",
-        "pos",
-        "product_id",
-        F.coalesce("t.name", "name").alias("name"),
-        F.when(F.col("t").isNotNull(), F.col("t.brand")).otherwise(first_word(F.col("name"))).alias("brand"),
-        F.when(F.col("t").isNotNull(), F.col("t.price")).otherwise(F.col("price")).alias("price"),
-        F.col("t").isNotNull().alias("grounded"),
+    plain = F.struct(*_details(F.col("name"), first_word(F.col("name")), F.col("price"), F.lit("")))
+    by_id = (
+        named.join(lookup, ["turn_id", "product_id"], "left")
+        .select("turn_id", "pos", "product_id", F.when(F.col("t").isNotNull(), F.col("t")).otherwise(plain).alias("d"), F.col("t").isNotNull().alias("grounded"), "name")
+        .select("turn_id", "pos", "product_id", F.coalesce("d.name", "name").alias("name"), *[f"d.{c}" for c in DETAILS[1:]], "grounded")
     )
     unnamed = turns.filter(~F.col("text").rlike(MENTION))
     first = top_k(tool_products, ["turn_id"], [F.col("pos")], fallback_k, "__r")
-    from_tools = first.join(unnamed.select("turn_id"), "turn_id", "left_semi").select("turn_id", F.col("pos").cast("int").alias("pos"), "product_id", "name", "brand", "price", F.lit(True).alias("grounded"))
+    from_tools = first.join(unnamed.select("turn_id"), "turn_id", "left_semi").select(
+        "turn_id", F.col("pos").cast("int").alias("pos"), "product_id", *DETAILS, F.lit(True).alias("grounded")
+    )
     no_tools = unnamed.filter("product_tool_used").join(tool_products.select("turn_id").distinct(), "turn_id", "left_anti")
+    category = F.when(F.lower("p.name").contains(TEXT_CATEGORY_WORD), TEXT_CATEGORY_WORD).otherwise(TEXT_CATEGORY)
     from_text = no_tools.select(
         "turn_id", F.posexplode_outer(F.slice(_text_products(F.col("text")), 1, fallback_k)).alias("pos", "p")
     ).filter("pos IS NOT NULL").select(
-        "turn_id", "pos", F.lit("").alias("product_id"), F.col("p.name").alias("name"),
-        brand_guess(F.col("p.name")).alias("brand"), F.col("p.price").alias("price"), F.lit(False).alias("grounded"),
+        "turn_id", "pos", F.lit("").alias("product_id"),
+        *_details(F.col("p.name"), brand_guess(F.col("p.name")), F.col("p.price"), category), F.lit(False).alias("grounded"),
     )
     return by_id.unionByName(from_tools).unionByName(from_text)

@@ -357,7 +357,9 @@ def spoken(d):
     ).select(
         "turn_id", "pos", F.when(F.col("pos") == 2, F.col("id1")).otherwise("short").alias("product_id"),
         F.concat(F.lit("Tool "), F.col("k") + F.col("pos")).alias("name"), F.lit("House").alias("brand"),
-        (F.col("k") + F.col("pos")).cast("double").alias("price"),
+        (F.col("k") + F.col("pos")).cast("double").alias("price"), F.lit("lips").alias("category"),
+        F.concat(F.lit("#"), F.lpad((F.col("k") + F.col("pos")).cast("string"), 6, "0")).alias("swatch_hex"),
+        (F.col("pos") / 2).alias("color_distance"), F.concat(F.lit("img/"), "k").alias("image_url"),
     )
     return turns, returned
 
@@ -365,16 +367,20 @@ def spoken(d):
 @query(
     "mention_grounding",
     f"""WITH {MENTION_TEXT}
-      SELECT turn_id, 0 AS pos, {DASHED.format('m1')} AS product_id, 'Tool ' || (k + 2) AS name, 'House' AS brand, CAST(k + 2 AS DOUBLE) AS price, TRUE AS grounded FROM said WHERE event_type = 'view'
+      SELECT turn_id, 0 AS pos, {DASHED.format('m1')} AS product_id, 'Tool ' || (k + 2) AS name, 'House' AS brand, CAST(k + 2 AS DOUBLE) AS price, TRUE AS grounded, 'lips' AS category,
+        '#' || lpad(CAST(k + 2 AS VARCHAR), 6, '0') AS swatch_hex, CAST(1 AS DOUBLE) AS color_distance, 'img/' || k AS image_url FROM said WHERE event_type = 'view'
       UNION ALL SELECT turn_id, 1, {DASHED.format('m2')}, CASE WHEN user_id = k THEN 'Tool ' || (k + 2) ELSE 'Item ' || user_id END, CASE WHEN user_id = k THEN 'House' ELSE 'Item' END,
-        CASE WHEN user_id = k THEN CAST(k + 2 AS DOUBLE) ELSE 0 END, user_id = k FROM said WHERE event_type = 'view'
-      UNION ALL SELECT turn_id, CAST(i AS INT), CASE WHEN i = 2 THEN {DASHED.format('m1')} ELSE 'short' END, 'Tool ' || (k + i), 'House', CAST(k + i AS DOUBLE), TRUE
-        FROM (SELECT *, unnest(range(0, 4)) AS i FROM said WHERE event_type = 'purchase')
-      UNION ALL SELECT turn_id, 0, '', 'Velvet Pro Lipstick ' || k, 'Velvet Pro', k + 0.25, FALSE FROM said WHERE event_type = 'click' AND k % 2 = 0
-      UNION ALL SELECT turn_id, 1, '', 'Mac Blush', 'Mac', 9.0, FALSE FROM said WHERE event_type = 'click' AND k % 2 = 0
-      UNION ALL SELECT turn_id, 0, '', 'Clean Beauty ' || k, 'Clean Beauty', 0.0, FALSE FROM said WHERE event_type = 'error' AND k % 2 = 0
-      UNION ALL SELECT turn_id, 0, '', 'Glow ' || k, 'Glow ' || k, 0.0, FALSE FROM said WHERE event_type = 'signup' AND k % 2 = 0
-      UNION ALL SELECT turn_id, 1, '', 'Ultra Kit', 'Ultra Kit', 0.0, FALSE FROM said WHERE event_type = 'signup' AND k % 2 = 0""",
+        CASE WHEN user_id = k THEN CAST(k + 2 AS DOUBLE) ELSE 0 END, user_id = k, CASE WHEN user_id = k THEN 'lips' ELSE '' END,
+        CASE WHEN user_id = k THEN '#' || lpad(CAST(k + 2 AS VARCHAR), 6, '0') ELSE '#f0f0f0' END, CASE WHEN user_id = k THEN 1 ELSE 5 END, CASE WHEN user_id = k THEN 'img/' || k ELSE '' END
+        FROM said WHERE event_type = 'view'
+      UNION ALL SELECT turn_id, CAST(i AS INT), CASE WHEN i = 2 THEN {DASHED.format('m1')} ELSE 'short' END, 'Tool ' || (k + i), 'House', CAST(k + i AS DOUBLE), TRUE, 'lips',
+        '#' || lpad(CAST(k + i AS VARCHAR), 6, '0'), i / 2.0, 'img/' || k FROM (SELECT *, unnest(range(0, 4)) AS i FROM said WHERE event_type = 'purchase')
+      UNION ALL SELECT turn_id, pos, '', name, brand, price, FALSE, 'beauty', '#f0f0f0', 5, '' FROM (
+        SELECT turn_id, 0 AS pos, 'Velvet Pro Lipstick ' || k AS name, 'Velvet Pro' AS brand, k + 0.25 AS price FROM said WHERE event_type = 'click' AND k % 2 = 0
+        UNION ALL SELECT turn_id, 1, 'Mac Blush', 'Mac', 9.0 FROM said WHERE event_type = 'click' AND k % 2 = 0
+        UNION ALL SELECT turn_id, 0, 'Clean Beauty ' || k, 'Clean Beauty', 0.0 FROM said WHERE event_type = 'error' AND k % 2 = 0
+        UNION ALL SELECT turn_id, 0, 'Glow ' || k, 'Glow ' || k, 0.0 FROM said WHERE event_type = 'signup' AND k % 2 = 0
+        UNION ALL SELECT turn_id, 1, 'Ultra Kit', 'Ultra Kit', 0.0 FROM said WHERE event_type = 'signup' AND k % 2 = 0)""",
 )
 def _(d):
     return G.ground_mentions(*spoken(d))
