@@ -8,9 +8,11 @@ more than one hash per element. Every dart falls on one of k coordinates, and th
 signature. Where a coordinate stays empty, the horizon is doubled.
 
 Documents of one set of runs form one class from the start. Representatives that share a band of the signature
-are compared with the smallest id of the band, exactly, and linked at the wanted similarity; bands whose members
-are then still in several classes are compared across those classes, pair by pair. Classes are the connected
-components of the links.
+are compared with the smallest id of the band, exactly, and linked at the wanted similarity. Bands whose members
+are then still in several classes are cut into blocks of a bounded size; every two blocks meet in one task, which
+compares members of different classes, the likeliest pairs first, and sends on one link for each two classes that it
+joins. A pair is compared exactly where its signatures agree nearly as often as the wanted similarity asks. Classes
+are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -116,11 +118,23 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(shared / (a[1].sum() + b[1].sum() - shared))
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("same0", pa.int64()), ("same1", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("version", pa.int64()), ("same0", pa.int64()), ("same1", pa.int64()),
+        ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()),
+    ]
+)
+#: Members of a band that meet in one task, from either side.
+BLOCK = 1024
+#: Standard deviations under the wanted similarity at which agreeing signatures still call for an exact comparison.
+_SLACK = 5.0
 
 
 def signed(docs: DataFrame, bands: int, rows: int, size: int, count: bool) -> DataFrame:
-    """(doc_id, version, same0, same1, bands) of every text with a word: two hashes of its weighted set, and band hashes."""
+    """(doc_id, version, same0, same1, bands, sketch) of every text with a word.
+
+    Two hashes of its weighted set, a hash for each band, and a byte for each coordinate of the signature.
+    """
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,17 +148,19 @@ def signed(docs: DataFrame, bands: int, rows: int, size: int, count: bool) -> Da
                 with np.errstate(over="ignore"):
                     whole = mixed(elements + weights.astype(np.uint64) * _MIX[0])
                     same0, same1 = np.bitwise_xor.reduce(whole), mixed(whole ^ _MIX[1]).sum()
-                    sig = signature(elements, weights, k).reshape(bands, rows)
+                    sig = signature(elements, weights, k)
+                    sketch = (sig >> np.uint64(56)).astype(np.uint8).tobytes()
+                    sig = sig.reshape(bands, rows)
                     key = np.arange(bands, dtype=np.uint64)
                     for r in range(rows):
                         key = mixed(key * _MIX[2] + sig[:, r])
-                out.append((doc, version, int(same0.view(np.int64)), int(same1.view(np.int64)), key.view(np.int64)))
+                out.append((doc, version, int(same0.view(np.int64)), int(same1.view(np.int64)), key.view(np.int64), sketch))
             if out:
                 yield batch_of(_SIGNED, list(zip(*out)))
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     return docs.select("doc_id", "version", text).mapInArrow(
-        run, "doc_id long, version long, same0 long, same1 long, bands array<long>"
+        run, "doc_id long, version long, same0 long, same1 long, bands array<long>, sketch binary"
     )
 
 
@@ -217,7 +233,7 @@ def near_duplicates(
     same = ["same0", "same1"]
     node = F.struct("doc_id", "version")
     groups = settled(
-        prints.groupBy(*same).agg(F.min(node).alias("rep"), F.first("bands").alias("bands"), F.count_distinct("doc_id").alias("size")),
+        prints.groupBy(*same).agg(F.min(node).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count_distinct("doc_id").alias("size")),
         "near-groups",
     )
     member = prints.select("doc_id", *same).join(groups.select(*same, "rep", "size"), same).select("doc_id", "rep", "size").distinct()
@@ -229,7 +245,7 @@ def near_duplicates(
     involved = stars.select(F.explode(F.array("a", "b")).alias("n")).distinct().select("n.*")
     known = settled(texts.join(involved, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"]), "near-texts")
     links = settled(checked(stars, known, least, size, count), "near-links")
-    more = settled(checked(_across(buckets, components(links), stars), known, least, size, count), "near-more")
+    more = settled(_across(buckets, links, groups.select("rep", "bands", "sketch"), known, least, size, count), "near-more")
     links = settled(links.unionByName(more), "near-links")
     found = components(links.unionByName(copies))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
@@ -252,25 +268,102 @@ def first_rows(docs: DataFrame, **how) -> DataFrame:
     return docs.join(small(settled(others, "near-others")), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
 
 
-def _across(buckets: DataFrame, classes: DataFrame, compared: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a band that are still in different classes and were not compared.
+def _joined(left: list, right: list | None, least: float, size: int, count: bool) -> list[tuple[int, int]]:
+    """Links (a, b) that join classes among the rows of two blocks of a band, or within one block.
 
-    Rows of a band outside the class of its smallest member meet all rows of other classes there. A band that is
-    one class, however large, gives none; most of a large band has joined its smallest member by then.
+    A row is (doc_id, class_id, place of the band, band hashes, sketch, text).
     """
-    placed = buckets.join(classes, F.col("rep.doc_id") == F.col("id"), "left").select(
-        "band", "rep", "least", F.coalesce("class_id", "rep.doc_id").alias("class_id")
-    )
-    centre = placed.groupBy("band").agg(
-        F.max(F.when(F.col("rep") == F.col("least"), F.col("class_id"))).alias("centre"),
-        F.min("class_id").alias("c0"), F.max("class_id").alias("c1"),
+    other = left if right is None else right
+    sketch_l, sketch_r = (np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1) for rows in (left, other))
+    class_l, class_r = (np.array([r[1] for r in rows]) for rows in (left, other))
+    bands_l, bands_r = (np.array([r[3] for r in rows]) for rows in (left, other))
+    k, band = sketch_l.shape[1], left[0][2]
+    floor = least - _SLACK * (least * (1 - least) / k) ** 0.5
+    at_l, at_r, agree = [], [], []
+    for i in range(len(left)):
+        start = i + 1 if right is None else 0
+        same = (sketch_r[start:] == sketch_l[i]).mean(1)
+        j = np.flatnonzero((same >= floor) & (class_r[start:] != class_l[i])) + start
+        # Two rows that share an earlier band meet there.
+        j = j[~(bands_r[j, :band] == bands_l[i, :band]).any(1)] if band else j
+        at_l.append(np.full(len(j), i))
+        at_r.append(j)
+        agree.append(same[j - start])
+    at_l, at_r, agree = np.concatenate(at_l), np.concatenate(at_r), np.concatenate(agree)
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            parent[c] = parent.get(up, up)
+            c = up
+        return c
+
+    sets: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+
+    def runs(row: tuple) -> tuple[np.ndarray, np.ndarray]:
+        if row[5] not in sets:
+            sets[row[5]] = weighted(shingles(row[5], size), count)
+        return sets[row[5]]
+
+    links = []
+    for n in np.argsort(-agree, kind="stable"):
+        one, two = left[at_l[n]], other[at_r[n]]
+        a, b = root(one[1]), root(two[1])
+        if a != b and similarity(runs(one), runs(two)) >= least:
+            parent[max(a, b)] = min(a, b)
+            links.append((one[0], two[0]))
+    return links
+
+
+def _across(
+    buckets: DataFrame, links: DataFrame, signatures: DataFrame, known: DataFrame, least: float, size: int, count: bool
+) -> DataFrame:
+    """Links (a, b) between members of one band that the links to its smallest member leave apart.
+
+    A band whose members all have one label, however large, takes no part. Labels are the smallest ids two steps
+    away; two labels of one class only cost comparisons.
+    """
+    first = links.groupBy("a").agg(F.min("b").alias("b"))
+    further = first.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    label = settled(first.join(further, "b", "left").select(F.col("a").alias("id"), F.coalesce("c", "b").alias("class_id")), "near-labels")
+    placed = buckets.select("band", "rep").join(label, F.col("rep.doc_id") == F.col("id"), "left").select(
+        "band", "rep", F.coalesce("class_id", "rep.doc_id").alias("class_id")
     )
-    open_ = settled(placed.join(centre.filter("c0 < c1").select("band", "centre"), "band"), "near-open")
-    outside = open_.filter("class_id <> centre").select("band", F.col("rep").alias("a"), F.col("class_id").alias("ca"))
-    every = open_.select("band", F.col("rep").alias("b"), F.col("class_id").alias("cb"), "centre")
-    # A pair of two rows outside is met from both sides; it is kept from one.
-    met = outside.join(every, "band").filter(
-        (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("centre")) | (F.col("a") > F.col("b")))
+    open_ = placed.groupBy("band").agg(F.min("class_id").alias("c0"), F.max("class_id").alias("c1"), F.count("*").alias("n"))
+    open_ = settled(open_.filter("c0 < c1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "near-open")
+    node = F.struct("doc_id", "version")
+    rows = placed.join(open_, "band").join(signatures, "rep").join(known.select(node.alias("rep"), F.col("text").cast("binary").alias("text")), "rep")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # A row stands in one pair of blocks for each block; the smaller number is the left one.
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = ["band", "low", "high"]
+    met = met.select(
+        "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).alias("right"),
+        F.col("rep.doc_id").alias("doc_id"), "class_id", (F.array_position("bands", F.col("band")) - 1).cast("int").alias("place"),
+        "bands", "sketch", "text",
     )
-    first, second = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    return settled(met.select(first, second).distinct().join(compared, ["a", "b"], "left_anti"), "near-across")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        key, left, right, out = None, [], [], []
+
+        def close() -> None:
+            if left and (right or key[1] == key[2]):
+                out.extend(_joined(left, right or None, least, size, count))
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns):
+                if row[:3] != key:
+                    close()
+                    key, left, right = row[:3], [], []
+                (right if row[3] else left).append(row[4:])
+            if out:
+                yield batch_of(schema, list(zip(*out)))
+                out = []
+        close()
+        if out:
+            yield batch_of(schema, list(zip(*out)))
+
+    dealt = met.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "a long, b long")

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
 #: Words that the rules below cut as the tokenizer does: no apostrophes, no letters outside Latin-1.
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
-_SPECIAL = re.compile(r"<\|")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -26,42 +26,72 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(others)}
 
 
+class Memory:
+    """A table that keeps at most twice ``size`` entries: when the young half is full it becomes the old half.
+
+    What is still in use moves back to the young half, so words that come often are never forgotten.
+    """
+
+    def __init__(self, size: int) -> None:
+        self.size, self.young, self.old = size, {}, {}
+
+    def recall(self, key):
+        """The value if it is in the old half, now young again; else None."""
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class WordTokenizer:
-    """Ids of texts as little-endian 32-bit arrays; at most ``keep`` words and pieces are remembered."""
+    """Ids of texts as little-endian 32-bit arrays; at most twice ``keep`` words and pieces are remembered."""
 
-    def __init__(self, path: str, keep: int = 300_000) -> None:
+    def __init__(self, path: str, keep: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
-        self._model, self._keep = self._whole.model, keep
+        self._model = self._whole.model
         self._letters = _byte_letters()
-        self._words: dict[bytes, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._words, self._pieces = Memory(keep), Memory(keep)
 
     def _piece(self, piece: str) -> bytes:
-        if piece not in self._pieces:
-            if len(self._pieces) >= self._keep:
-                self._pieces.clear()
-            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._letters)
-            self._pieces[piece] = np.array([t.id for t in self._model.tokenize(spelled)], "<u4").tobytes()
-        return self._pieces[piece]
+        found = self._pieces.young.get(piece)
+        if found is None:
+            found = self._pieces.recall(piece)
+            if found is None:
+                spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._letters)
+                found = _packed([t.id for t in self._model.tokenize(spelled)])
+                self._pieces.put(piece, found)
+        return found
 
     def _word(self, raw: bytes) -> bytes:
+        found = self._words.recall(raw)
+        if found is not None:
+            return found
         word = raw.decode("utf-8", "replace")
-        if len(word) < 100 and _PLAIN.fullmatch(word) and not _SPECIAL.search(word):
-            return b"".join(map(self._piece, _PIECES.findall(word.lower())))
-        return np.array(self._whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) >= 100 or not _PLAIN.fullmatch(word) or "<|" in word:
+            found = _packed(self._whole.encode(word, add_special_tokens=False).ids)
+        else:
+            pieces = _PIECES.findall(word.lower())
+            found = self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
+        if len(raw) <= 64:
+            self._words.put(raw, found)
+        return found
 
     def ids(self, text: bytes) -> np.ndarray:
-        known, out = self._words, []
-        for raw in text.split():
-            found = known.get(raw)
-            if found is None:
-                found = self._word(raw)
-                if len(raw) <= 64:
-                    if len(known) >= self._keep:
-                        known.clear()
-                    known[raw] = found
-            out.append(found)
+        words = text.split()
+        out = list(map(self._words.young.get, words))
+        if None in out:
+            word = self._word
+            out = [word(w) if found is None else found for w, found in zip(words, out)]
         return np.frombuffer(b"".join(out), "<u4")
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)

@@ -62,7 +62,7 @@ def test_detect_whole_table(spark, odd_docs, no_docs):
 def test_contexts_find_unseen_identifiers(spark):
     texts = [f"filler{i} my card number 4111 1111 1111 1111 end" if i % 2 else f"other{i} my card number 5500-0000-0000-000{4} x" for i in range(20)]
     texts += [f"word{i} my card number {4000000000000000 + 1000003 * i} end" for i in range(12)]  # some fail the check digit
-    texts += ["the order number 4000000000000001 is no card", "call my agent 12345678901"]
+    texts += ["the order code 4000000000000001 is no card", "call my agent 12345678901"]
     # Distinct seeds: a pattern must be taught by several.
     texts += [f"text{i} my card number {n} end" for i, n in enumerate(x for x in range(4000000000000000, 4000000000000200) if luhn(str(x)))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
