@@ -12,30 +12,26 @@ from merchlens.session import settled
 
 K1, B = 1.2, 0.75
 SCORE_PLACES = 6
-# A word's postings are cut into this many pieces by document, so a common word is no single task.
-TERM_PIECES = 16
+# A word's postings are cut into pieces of about this many rows, so a common word is no single task.
+PIECE_ROWS = 65_536
 # Rarest words scored first to learn how good the k-th answer is at least.
 LEAD_WORDS = 3
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """``postings(id, term, tf, dl, piece)`` and ``docs(id, dl)``; both may simply be appended to."""
+    """``postings(id, term, tf, dl)`` and ``docs(id, dl)``; both may simply be appended to."""
 
     postings: DataFrame
     docs: DataFrame
 
 
-def _piece() -> Column:
-    return F.pmod(F.xxhash64("id"), F.lit(TERM_PIECES)).cast("int")
-
-
 def postings_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document and word, with the document's length beside it."""
     split = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
     # The outer form: plain explode would run the tokeniser a second time to skip empty texts early.
     terms = split.select("id", F.size("w").cast("long").alias("dl"), F.explode_outer("w").alias("term")).filter("term IS NOT NULL")
-    return terms.groupBy("id", "term", "dl").agg(F.count("*").alias("tf")).select("id", "term", "tf", "dl", _piece().alias("piece"))
+    return terms.groupBy("id", "term", "dl").agg(F.count("*").alias("tf")).select("id", "term", "tf", "dl")
 
 
 def lengths_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -91,18 +87,22 @@ def search(
     n = corpus.select("n").scalar()
     avgdl = corpus.select("avgdl").scalar()
     wanted = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    asked = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    dfs = asked.groupBy("term").agg(F.count("*").alias("df"))
+    # The only scan of the index: postings of the words that are asked for.
+    found = settled(index.postings.join(wanted.select("term").distinct(), "term", "left_semi"), "asked-postings")
+    dfs = found.groupBy("term").agg(F.count("*").alias("df"))
     weighted = wanted.join(dfs, "term").withColumn("idf", _idf(F.col("df"), n)).withColumn("most", F.col("idf") * (K1 + 1))
     weighted = settled(weighted, "query-words")
 
-    postings = index.postings if allowed is None else index.postings.join(allowed.select("id"), "id", "left_semi")
+    pieces = F.ceil(F.col("df") / PIECE_ROWS).cast("int")
+    postings = found if allowed is None else found.join(allowed.select("id"), "id", "left_semi")
+    cut = weighted.select("term", pieces.alias("pieces")).distinct()
+    postings = postings.join(cut, "term").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
     length_norm = K1 * (1 - B + B * F.col("dl") / avgdl)
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + length_norm)
     hits = postings.select("id", "term", "piece", gain.alias("gain"))
 
     def scored(terms: DataFrame) -> DataFrame:
-        spread = terms.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(TERM_PIECES - 1))))
+        spread = terms.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
         return (
             spread.join(hits, ["term", "piece"])
             .groupBy("query_id", "id")
@@ -116,7 +116,7 @@ def search(
     # One row per query: its words by rising weight, and how many of the lightest stay under the bar.
     plans = settled(
         weighted.groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(F.struct("most", "idf", "term"))).alias("terms"))
+        .agg(F.array_sort(F.collect_list(F.struct("most", "idf", "term", "df"))).alias("terms"))
         .join(bar, "query_id", "left")
         .withColumn(
             "light",
@@ -134,7 +134,7 @@ def search(
     light_terms = F.slice("terms", F.lit(1), F.col("light"))
     light = plans.filter("light > 0").select("query_id", light_terms.alias("lights"), F.aggregate(light_terms, F.lit(0.0), lambda s, t: s + t["most"]).alias("rest"), "bar")
     heavy = plans.select("query_id", F.explode(F.slice("terms", F.col("light") + 1, F.size("terms"))).alias("t")).select(
-        "query_id", F.col("t.term").alias("term"), F.col("t.idf").alias("idf")
+        "query_id", F.col("t.term").alias("term"), F.col("t.idf").alias("idf"), F.col("t.df").alias("df")
     )
     base = settled(scored(heavy), "first-scores")
     open_docs = base.join(light, "query_id").filter(F.col("score") + F.col("rest") >= F.col("bar"))
