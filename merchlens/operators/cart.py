@@ -151,15 +151,24 @@ def cart_snapshot(sessions: DataFrame, items: DataFrame) -> DataFrame:
     return heads.join(lines, "session_id", "left")
 
 
-def cart_documents(sessions: DataFrame, items: DataFrame, page_rows: int = 1000, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Cart header with its items as an array, in add order, ``page_rows`` items per row at most.
+ITEM_FIELDS = ("add_seq", "item_id", "product_id", "product_name", "variant_id", "quantity", "unit_price_cents", "subtotal_cents")
 
-    Nearly every cart is one page; a huge one becomes several bounded arrays instead of one.
-    """
-    placed = running(items, ["session_id"], [F.col("add_seq")], seq_chunk("add_seq", chunk_rows), {"__pos": ("sum", F.lit(1))})
-    record = F.struct(
-        F.col("add_seq"), "item_id", "product_id", "product_name", "variant_id", "quantity", "unit_price_cents", "subtotal_cents"
+
+def cart_documents(sessions: DataFrame, items: DataFrame) -> DataFrame:
+    """One row per cart: its header, and all its items as an array in add order, however many there are."""
+    listed = items.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(*ITEM_FIELDS))).alias("items"))
+    blank = F.array().cast(listed.schema["items"].dataType)
+    whole = F.coalesce("items", blank)
+    return sessions.join(listed, "session_id", "left").select(
+        "session_id", "customer_id", "status", "currency", whole.alias("items"), F.size(whole).cast("long").alias("item_count"),
+        "subtotal_cents", "total_cents", "created_at",
     )
+
+
+def cart_pages(sessions: DataFrame, items: DataFrame, page_rows: int = 1000, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``cart_documents`` in pages of at most ``page_rows`` items, for readers that ask for bounded rows."""
+    placed = running(items, ["session_id"], [F.col("add_seq")], seq_chunk("add_seq", chunk_rows), {"__pos": ("sum", F.lit(1))})
+    record = F.struct(*ITEM_FIELDS)
     pages = (
         placed.withColumn("page", F.floor((F.col("__pos") - 1) / page_rows))
         .groupBy("session_id", "page")

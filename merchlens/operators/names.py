@@ -20,7 +20,8 @@ def _grams(text: Column, size: int) -> Column:
 
 
 def _all_grams(text: Column) -> Column:
-    return F.concat(*[_grams(text, n) for n in range(1, GRAM + 1)])
+    """Every piece of a name up to GRAM characters, and the empty piece, which every name holds."""
+    return F.concat(F.array(F.lit("")), *[_grams(text, n) for n in range(1, GRAM + 1)])
 
 
 def resolve_names(

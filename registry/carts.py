@@ -102,6 +102,20 @@ def _(d):
 
 @query(
     "cart_documents",
+    f"""WITH {LINES}, listed AS (SELECT session_id, string_agg(product_id || 'x' || quantity, ',' ORDER BY add_seq) AS items FROM items GROUP BY ALL)
+        SELECT s.session_id, coalesce(items, '') AS items, coalesce(t.item_count, 0) AS item_count
+        FROM sessions s LEFT JOIN totals t USING (session_id) LEFT JOIN listed USING (session_id)""",
+    "commands products",
+)
+def _(d):
+    i = stored_items(d)
+    docs = C.cart_documents(C.fold_sessions(d.commands, i), i)
+    text = F.transform("items", lambda x: F.concat_ws("x", x["product_id"], x["quantity"]))
+    return docs.select("session_id", F.array_join(text, ",").alias("items"), "item_count")
+
+
+@query(
+    "cart_pages",
     f"""WITH {LINES}, placed AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY session_id ORDER BY add_seq) - 1) / 5) AS BIGINT) AS page FROM items),
         pages AS (SELECT session_id, page, string_agg(product_id || 'x' || quantity, ',' ORDER BY add_seq) AS items FROM placed GROUP BY ALL)
         SELECT s.session_id, coalesce(page, 0) AS page, coalesce(items, '') AS items, coalesce(t.item_count, 0) AS item_count
@@ -110,7 +124,7 @@ def _(d):
 )
 def _(d):
     i = stored_items(d)
-    docs = C.cart_documents(C.fold_sessions(d.commands, i), i, page_rows=5, chunk_rows=CHUNK)
+    docs = C.cart_pages(C.fold_sessions(d.commands, i), i, page_rows=5, chunk_rows=CHUNK)
     text = F.transform("items", lambda x: F.concat_ws("x", x["product_id"], x["quantity"]))
     return docs.select("session_id", "page", F.array_join(text, ",").alias("items"), "item_count")
 
@@ -175,6 +189,25 @@ def _(d):
     return resolve_names(refs, own, scope=["session_id"], order=[-F.col("id")], what="Cart item")
 
 
+@query(
+    "cart_item_resolve_all",
+    f"""WITH {LINES}, refs AS (SELECT DISTINCT ref FROM (SELECT upper(product_name) AS ref FROM items
+          UNION ALL SELECT split_part(lower(product_name), ' ', 1) FROM items UNION ALL SELECT '' UNION ALL SELECT 'ghost')),
+        cand AS (SELECT lower(product_name) AS name, max(add_seq) AS newest FROM items GROUP BY ALL),
+        hits AS (SELECT r.ref, max(newest) FILTER (name = lower(ref)) AS exact, max(newest) FILTER (contains(name, lower(ref))) AS part
+          FROM refs r CROSS JOIN cand c GROUP BY ALL)
+        SELECT ref, CAST(coalesce(exact, part) AS VARCHAR) AS id, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN part IS NOT NULL THEN 'contains' END AS how,
+          CASE WHEN part IS NULL THEN 'Cart item not found: ' || ref END AS error FROM hits""",
+    "commands products",
+)
+def _(d):
+    """Names looked up among the items of all carts, the newest one first; an empty name is in every name."""
+    own = stored_items(d).select(F.col("add_seq").alias("id"), F.col("product_name").alias("name"))
+    first_words = own.select(F.split_part(F.lower("name"), F.lit(" "), F.lit(1)).alias("ref"))
+    refs = own.select(F.upper("name").alias("ref")).unionByName(first_words).unionByName(d.spark.sql("SELECT '' AS ref UNION ALL SELECT 'ghost'"))
+    return resolve_names(refs, own, order=[-F.col("id")], what="Cart item")
+
+
 @query(
     "latest_per_key",
     """SELECT user_id, event_type, event_id, value FROM events

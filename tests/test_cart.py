@@ -50,7 +50,8 @@ def test_empty_cart_stays_visible(rows, products):
     sessions = C.fold_sessions(log, items)
     assert answers(sessions, "session_id", "status", "subtotal_cents", "currency") == [(1, "active", 0, "USD"), (2, "active", 0, "USD")]
     assert answers(C.cart_snapshot(sessions, items), "session_id", "item_count", "item_id") == [(1, 0, None), (2, 0, None)]
-    assert answers(C.cart_documents(sessions, items), "session_id", "page", F.size("items")) == [(1, 0, 0), (2, 0, 0)]
+    assert answers(C.cart_pages(sessions, items), "session_id", "page", F.size("items")) == [(1, 0, 0), (2, 0, 0)]
+    assert answers(C.cart_documents(sessions, items), "session_id", F.size("items"), "item_count") == [(1, 0, 0), (2, 0, 0)]
 
 
 def test_checkout_copies_the_cart_of_that_moment(rows, products):
@@ -114,7 +115,9 @@ def test_fold_equals_replay_with_a_hot_session(rows, products, chunk):
 def test_documents_split_a_large_cart(rows, products):
     log = log_of(rows, *[("add", 1, i, 1, 1) for i in range(25)], ("add", 2, 1, 2, 1))
     items = C.fold_items(log, products)
-    docs = C.cart_documents(C.fold_sessions(log, items), items, page_rows=10, chunk_rows=7)
+    whole = C.cart_documents(C.fold_sessions(log, items), items).filter("session_id = 1").first()
+    assert [x.add_seq for x in whole["items"]] == list(range(25)) and whole.item_count == 25
+    docs = C.cart_pages(C.fold_sessions(log, items), items, page_rows=10, chunk_rows=7)
     assert answers(docs, "session_id", "page", F.size("items"), "item_count") == [(1, 0, 10, 25), (1, 1, 10, 25), (1, 2, 5, 25), (2, 0, 1, 1)]
     firsts = [x.add_seq for r in docs.filter("session_id = 1").orderBy("page").collect() for x in r["items"]]
     assert firsts == list(range(25))
