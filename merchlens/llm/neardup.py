@@ -52,15 +52,15 @@ def shingles(text: bytes, size: int = 5) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    known: dict[bytes, int] = {}
-    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-    hashed = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))[ids]
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     size = min(size, len(words))
+    n, place = len(words) - size + 1, np.uint64(size)
+    out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        out = np.full(len(words) - size + 1, size, np.uint64)
         for k in range(size):
-            out = mixed(out * _MIX[2] + hashed[k : len(words) - size + 1 + k])
-    return out
+            place = place * _MIX[2] + _MIX[0]
+            out += hashed[k : n + k] * (place | np.uint64(1))
+    return mixed(out)
 
 
 def throw(elements: np.ndarray, weights: np.ndarray, horizon: float) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +70,7 @@ def throw(elements: np.ndarray, weights: np.ndarray, horizon: float) -> tuple[np
     while len(elements):
         seeds = mixed(elements ^ mixed(np.full(1, band + 1, np.uint64)))
         # Arrivals of one element follow from its hash and their number alone; how many are made at once is free.
-        step = max(1, int(1.2 * horizon * (high - low)))
+        step = max(1, int(1.2 * horizon * (high - low)) + (2 if len(elements) < 2_000 else 0))
         alive, at, nth = np.arange(len(elements)), np.zeros(len(elements)), 1
         while len(alive):
             with np.errstate(over="ignore"):
@@ -97,7 +97,7 @@ def signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     while True:
         times, darts = throw(elements, weights, horizon)
         place = (mixed(darts) % np.uint64(k)).astype(np.int64)
-        order = np.lexsort((darts, times))[::-1]
+        order = np.argsort(-times)
         out, hit = np.zeros(k, np.uint64), np.zeros(k, bool)
         out[place[order]] = darts[order]  # the earliest is written last
         hit[place] = True
