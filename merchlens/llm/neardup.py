@@ -120,7 +120,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 _SIGNED = pa.schema(
     [
-        ("doc_id", pa.int64()), ("version", pa.int64()), ("same0", pa.int64()), ("same1", pa.int64()),
+        ("doc_id", pa.int64()), ("same0", pa.int64()), ("same1", pa.int64()),
         ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()),
     ]
 )
@@ -131,7 +131,7 @@ _SLACK = 5.0
 
 
 def signed(docs: DataFrame, bands: int, rows: int, size: int, count: bool) -> DataFrame:
-    """(doc_id, version, same0, same1, bands, sketch) of every text with a word.
+    """(doc_id, same0, same1, bands, sketch) of every text with a word.
 
     Two hashes of its weighted set, a hash for each band, and a byte for each coordinate of the signature.
     """
@@ -140,7 +140,7 @@ def signed(docs: DataFrame, bands: int, rows: int, size: int, count: bool) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 runs = shingles(text.as_py(), size)
                 if not len(runs):
                     continue
@@ -154,18 +154,18 @@ def signed(docs: DataFrame, bands: int, rows: int, size: int, count: bool) -> Da
                     key = np.arange(bands, dtype=np.uint64)
                     for r in range(rows):
                         key = mixed(key * _MIX[2] + sig[:, r])
-                out.append((doc, version, int(same0.view(np.int64)), int(same1.view(np.int64)), key.view(np.int64), sketch))
+                out.append((doc, int(same0.view(np.int64)), int(same1.view(np.int64)), key.view(np.int64), sketch))
             if out:
                 yield batch_of(_SIGNED, list(zip(*out)))
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
-    return docs.select("doc_id", "version", text).mapInArrow(
-        run, "doc_id long, version long, same0 long, same1 long, bands array<long>, sketch binary"
+    return docs.select("doc_id", text).mapInArrow(
+        run, "doc_id long, same0 long, same1 long, bands array<long>, sketch binary"
     )
 
 
 def checked(pairs: DataFrame, texts: DataFrame, least: float, size: int, count: bool) -> DataFrame:
-    """(a, b) ids of the ``pairs`` of (doc_id, version) whose texts are at least so similar."""
+    """The ``pairs(a, b)`` of ids of which any two texts are at least so similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, theirs = None, None
@@ -180,11 +180,10 @@ def checked(pairs: DataFrame, texts: DataFrame, least: float, size: int, count:
                 yield batch.filter(pa.array(keep)).select(["a", "b"])
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    side = F.struct("doc_id", "version")
-    left = texts.select(side.alias("a"), text.alias("left"))
-    right = texts.select(side.alias("b"), text.alias("right"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), "left", "right").mapInArrow(run, "a long, b long")
+    left = texts.select(F.col("doc_id").alias("a"), text.alias("left"))
+    right = texts.select(F.col("doc_id").alias("b"), text.alias("right"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -220,7 +219,7 @@ def near_duplicates(
     """(doc_id, class_id, copies, links) for every distinct id of ``docs(doc_id, text)``.
 
     Documents whose sets of ``size``-word runs are at least ``least`` similar, directly or over others, share a
-    class, named by its smallest id. ``copies``: other documents with the same set of runs; ``links``: checked links
+    class, named by its smallest id. ``copies``: other rows with the same set of runs; ``links``: checked links
     of the document's representative to others. ``count`` weighs a run by its occurrences, else each counts once.
     Words are lower-cased; a text of fewer words is one run. NULL, empty and blank texts are like nothing, not even
     each other; rows with a NULL id are left out; rows that repeat an id with the same text count once, with other
@@ -228,28 +227,30 @@ def near_duplicates(
     At similarity 0.8 the chance to miss a pair is (1 - 0.8**rows)**bands, 5 in 10**8 as set.
     """
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.withColumn("version", F.xxhash64("text"))  # tells the texts of one id apart
     prints = settled(signed(texts, bands, rows, size, count), "near-signed")
     same = ["same0", "same1"]
-    node = F.struct("doc_id", "version")
     groups = settled(
-        prints.groupBy(*same).agg(F.min(node).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count_distinct("doc_id").alias("size")),
+        prints.groupBy(*same).agg(
+            F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("size")
+        ),
         "near-groups",
     )
     member = prints.select("doc_id", *same).join(groups.select(*same, "rep", "size"), same).select("doc_id", "rep", "size").distinct()
-    copies = member.select(F.col("doc_id").alias("a"), F.col("rep.doc_id").alias("b")).filter("a <> b")
+    copies = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     banded = groups.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
-    buckets = settled(banded.join(shared.drop("most"), "band"), "near-buckets")
+    shared = small(settled(shared.drop("most"), "near-bands"))
+    buckets = settled(banded.join(shared, "band"), "near-buckets")
     stars = settled(buckets.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct(), "near-stars")
-    involved = stars.select(F.explode(F.array("a", "b")).alias("n")).distinct().select("n.*")
-    known = settled(texts.join(involved, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"]), "near-texts")
+    involved = small(settled(stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-involved"))
+    known = texts.join(involved, "doc_id", "left_semi").withColumn("version", F.xxhash64("text")).dropDuplicates(["doc_id", "version"])
+    known = settled(known.drop("version"), "near-texts")
     links = settled(checked(stars, known, least, size, count), "near-links")
     more = settled(_across(buckets, links, groups.select("rep", "bands", "sketch"), known, least, size, count), "near-more")
     links = settled(links.unionByName(more), "near-links")
     found = components(links.unionByName(copies))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    told = member.join(degree, F.col("rep.doc_id") == F.col("node"), "left").groupBy("doc_id").agg(
+    told = member.join(degree, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(
         F.max(F.col("size") - 1).alias("copies"), F.coalesce(F.max("links"), F.lit(0)).alias("links")
     )
     ids = texts.select("doc_id").distinct()
@@ -326,20 +327,22 @@ def _across(
     first = links.groupBy("a").agg(F.min("b").alias("b"))
     further = first.select(F.col("a").alias("b"), F.col("b").alias("c"))
     label = settled(first.join(further, "b", "left").select(F.col("a").alias("id"), F.coalesce("c", "b").alias("class_id")), "near-labels")
-    placed = buckets.select("band", "rep").join(label, F.col("rep.doc_id") == F.col("id"), "left").select(
-        "band", "rep", F.coalesce("class_id", "rep.doc_id").alias("class_id")
+    placed = buckets.select("band", "rep").join(label, F.col("rep") == F.col("id"), "left").select(
+        "band", "rep", F.coalesce("class_id", "rep").alias("class_id")
     )
     open_ = placed.groupBy("band").agg(F.min("class_id").alias("c0"), F.max("class_id").alias("c1"), F.count("*").alias("n"))
     open_ = settled(open_.filter("c0 < c1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "near-open")
-    node = F.struct("doc_id", "version")
-    rows = placed.join(open_, "band").join(signatures, "rep").join(known.select(node.alias("rep"), F.col("text").cast("binary").alias("text")), "rep")
+    texts = known.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    # An id with several texts has several sets in a band, and meets the others with each of its texts.
+    held = placed.join(open_, "band")
+    rows = held.join(signatures, "rep").filter(F.array_contains("bands", F.col("band"))).join(texts, "rep")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # A row stands in one pair of blocks for each block; the smaller number is the left one.
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys = ["band", "low", "high"]
     met = met.select(
         "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).alias("right"),
-        F.col("rep.doc_id").alias("doc_id"), "class_id", (F.array_position("bands", F.col("band")) - 1).cast("int").alias("place"),
+        F.col("rep").alias("doc_id"), "class_id", (F.array_position("bands", F.col("band")) - 1).cast("int").alias("place"),
         "bands", "sketch", "text",
     )
 
