@@ -10,6 +10,7 @@ from merchlens.operators.cart import fold_items, priced_commands
 from merchlens.operators.search import build_index
 from merchlens.session import scratch_path
 from merchlens.streaming import folds
+import registry.all  # noqa: F401
 from registry.core import QUERIES
 from registry.roles import Data
 from tests.conftest import SMALL, answers
