@@ -95,8 +95,11 @@ def _printable(column) -> F.Column:
     return F.regexp_replace(F.coalesce(column, F.lit("")), r"[\x00-\x20\x7F]", "%20")
 
 
-def write_archives(chunks: DataFrame, path: str, records_per_file: int = 50_000) -> None:
-    """Write chunk rows as gzipped WARC/1.1 archives under ``path``, a folder all executors reach."""
+def write_archives(chunks: DataFrame, path: str) -> None:
+    """Write chunk rows as gzipped WARC/1.1 archives under ``path``, a folder all executors reach.
+
+    An archive for each partition: a payload's running digest can't be checked across files, so none is ever rolled.
+    """
     first, many = F.col("chunk_no") == 0, ~(F.col("last") & (F.col("chunk_no") == 0))
     kind = F.when(first, F.col("record_type")).otherwise(F.lit("continuation"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
@@ -117,7 +120,7 @@ def write_archives(chunks: DataFrame, path: str, records_per_file: int = 50_000)
     )
     record = F.concat(header.cast("binary"), F.col("chunk")).cast("string")
     chunks.select(record.alias("value")).write.option("lineSep", SEPARATOR.decode()).option("compression", "gzip").option(
-        "maxRecordsPerFile", records_per_file
+        "maxRecordsPerFile", 0
     ).text(path)
 
 
@@ -128,7 +131,9 @@ class Stream:
     """Takes an archive's bytes as stretches between separators; gives (headers, block) of every record.
 
     A block may hold separators, or end in a part of one, so its end is told by its length alone. What is held
-    is one record and the rest of a stretch.
+    is one record and the rest of a stretch. Spark takes off one separator at an archive's end, but where the last
+    block ends in a line break its first match is earlier and a rest follows that no separator ends; the one added
+    here is then left over, and skipped.
     """
 
     def __init__(self) -> None:
@@ -143,6 +148,9 @@ class Stream:
                 end = self.held.find(SEPARATOR)
                 if end < 0:
                     return
+                if end == 0:
+                    del self.held[: len(SEPARATOR)]
+                    continue
                 self.head = dict(_HEADER.findall(bytes(self.held[:end])))
                 self.need = int(self.head[b"Content-Length"])
                 del self.held[: end + len(SEPARATOR)]

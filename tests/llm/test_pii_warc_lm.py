@@ -105,6 +105,20 @@ def test_archives_round_trip(spark):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_archives_that_end_in_line_breaks(spark):
+    """An archive's last payload may end in any part of the separator."""
+    for end in ("\r\n", "\r\n\r\n\r\n", "\r", "\r\n\r", "x\r\n"):
+        for size in (3, 1 << 20):
+            pages = spark.createDataFrame([(1, "u", "a\r\n\r\nb" + end)], "page_id long, url string, html string").coalesce(1)
+            assert [tuple(r) for r in warc.archived(pages, size).collect()] == brute_archive([(1, "u", "a\r\n\r\nb" + end)])
+
+
+def test_payload_of_many_segments_stays_in_one_archive(spark):
+    html = "0123456789" * 6_000
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    assert [tuple(r) for r in warc.archived(pages, 1).collect()] == brute_archive([(1, "u", html)])
+
+
 def test_chunks_carry_running_digests(spark):
     html = "0123456789" * 100
     chunks = warc.chunked(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), 256).collect()
