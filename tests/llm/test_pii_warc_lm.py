@@ -160,6 +160,18 @@ def test_model_probabilities_sum_to_one():
     assert np.allclose(np.exp(scores).sum(1), 1)
 
 
+def test_every_training_triple_teaches(spark):
+    """Each triple stands once, so any draw of the most frequent ones would leave words out."""
+    rows = [(d, " ".join(f"w{d}x{i}" for i in range(9))) for d in range(400)]
+    numbering = lm.Numbering(words := [w.encode() for _, text in rows for w in text.split()])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    unigram = numbering.unigram([1] * len(words), 400, 4_000)
+    before = lm.LogBilinear.start(unigram)
+    after = lm.one_pass(docs, before, numbering, unigram, 0)
+    moved = (after.context != before.context).any(1)
+    assert [bool(moved[numbering.ids[w]]) for w in words] == [not lm.held_out(d) for d, _ in rows for _ in range(9)]
+
+
 def test_language_model_without_texts(spark, no_docs):
     assert lm.score_texts(no_docs).count() == 0
     alone = spark.createDataFrame([(d, "a b") for d in range(100) if lm.held_out(d)][:2], "doc_id long, text string")
