@@ -172,6 +172,33 @@ def test_every_training_triple_teaches(spark):
     assert [bool(moved[numbering.ids[w]]) for w in words] == [not lm.held_out(d) for d, _ in rows for _ in range(9)]
 
 
+def test_vocabulary_follows_the_corpus(spark):
+    """Every word of a corpus is known, and scores are the same whether their counts are in the table or joined."""
+    rng = random.Random(4)
+    names = [f"word{i}" for i in range(3_000)]
+    rows = [(d, " ".join(names[(start + i) % 3_000] for i in range(200))) for d, start in enumerate(rng.choices(range(3_000), k=600))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2, "doc_id")
+    known, n = lm.vocabulary(lm.word_counts(docs), 20)
+    want = Counter(w.encode() for d, text in rows if not lm.held_out(d) for w in text.split())
+    assert dict(zip(known, n)) == {w: c for w, c in want.items() if c >= 20} and len(known) > 2_000
+    few, all_ = ({r.doc_id: r for r in lm.score_texts(docs, table_words=k).collect()} for k in (50, 10_000))
+    assert all(abs(few[d].score - all_[d].score) < 1e-2 and abs(few[d].base_score - all_[d].base_score) < 1e-6 for d, _ in rows)
+
+
+def test_scores_are_probabilities():
+    rng = np.random.default_rng(6)
+    words = [f"w{i}".encode() for i in range(1_500)]
+    numbering = lm.Numbering(words)
+    unigram = numbering.unigram(list(range(2_000, 500, -1)), 300, 2_000_000)
+    model = lm.LogBilinear.start(unigram)
+    lm.learn(model, rng.integers(0, numbering.size, (20_000, 3)), unigram, rng)
+    assert len(model.bounds) > 10
+    scorer = lm.Scorer(model, numbering, {}, 1, 1, 1.0)
+    for a, b in ((0, 0), (0, 700), (1_400, 3)):
+        parts = scorer.model_parts([np.array([a, b, t]) for t in range(numbering.size)])
+        assert abs((10.0**parts).sum() - 1) < 1e-3
+
+
 def test_language_model_without_texts(spark, no_docs):
     assert lm.score_texts(no_docs).count() == 0
     alone = spark.createDataFrame([(d, "a b") for d in range(100) if lm.held_out(d)][:2], "doc_id long, text string")
