@@ -2,9 +2,10 @@
 
 One pass over the texts finds the base spans and every other token that looks like an identifier, each with the
 lexical patterns of the words before it. The base finds are seeds. Spark then scores the graph of patterns and
-instances in turns: a pattern is as trustworthy for a kind as the share of its distinct instances that are of
-that kind, an instance as the chance that not all its patterns are wrong. Tokens that follow trusted patterns
-become spans of that kind. Only sums per pattern and per instance are shuffled.
+instances in turns, until nothing is added: a pattern is as trustworthy for a kind as the share of its distinct
+instances that are of that kind, once enough of them are seeds or trusted themselves, an instance as the chance that
+not all its patterns are wrong. Tokens that follow trusted patterns become spans of that kind. Only sums per pattern
+and per instance are shuffled.
 """
 
 from __future__ import annotations
@@ -148,35 +149,49 @@ def found(docs: DataFrame) -> DataFrame:
     ).mapInArrow(run, _FOUND_SQL)
 
 
-def trusted(spans: DataFrame, rounds: int = 2, least_seeds: int = 5, trust: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def trusted(spans: DataFrame, least: int = 5, trust: float = 0.8, change: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """Patterns and instances to trust, as (pattern, kind) and (surface, kind), from ``spans(kind, surface, patterns)``.
 
-    A pattern counts each distinct surface once and needs ``least_seeds`` seeds of its kind; a surface found as
-    several kinds counts for each of them.
+    A pattern counts each distinct surface once and needs ``least`` surfaces that are seeds of its kind or trusted
+    instances; a surface found as several kinds counts for each of them. Scores only grow from round to round; the
+    rounds go on until no pattern's strength, new ones included, has grown by ``change``.
     """
     edges = settled(
         spans.select("kind", "surface", F.explode("patterns").alias("pattern")).filter("pattern is not null").distinct(), "pii-edges"
     )
-    seeds = edges.filter("kind >= 0")
-    sizes = edges.groupBy("pattern").agg(F.count_distinct("surface").alias("size"))
-    strong = None
-    scores = seeds.sparkSession.createDataFrame([], "surface string, kind int, score double")
-    for _ in range(rounds):
-        learned = edges.filter("kind < 0").drop("kind").join(scores, "surface").select("pattern", "kind", "score", F.lit(0).alias("seed"))
-        known = seeds.select("pattern", "kind", F.lit(1.0).alias("score"), F.lit(1).alias("seed")).unionByName(learned)
-        sums = known.groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.sum("seed").alias("seeds"))
-        strength = F.col("score") / (F.col("size") + 1)
-        strong = settled(
-            sums.filter(F.col("seeds") >= least_seeds).join(sizes, "pattern").select("pattern", "kind", strength.alias("strength")).filter(
+    # A pattern with fewer surfaces can't get the support it needs.
+    sizes = edges.groupBy("pattern").agg(F.count_distinct("surface").alias("size")).filter(F.col("size") >= least)
+    live = settled(edges.join(sizes, "pattern"), "pii-live")
+    seeds = live.filter("kind >= 0").select("pattern", "size", "surface", "kind", F.lit(1.0).alias("score"))
+    unseen = live.filter("kind < 0").drop("kind")
+    scores, strong = live.sparkSession.createDataFrame([], "surface string, kind int, score double"), None
+    while True:
+        learned = unseen.join(scores, "surface").select("pattern", "size", "surface", "kind", "score")
+        # A surface that is a seed in one place and unseen in another counts once.
+        known = seeds.unionByName(learned).groupBy("pattern", "size", "surface", "kind").agg(F.max("score").alias("score"))
+        sums = known.groupBy("pattern", "size", "kind").agg(
+            F.sum("score").alias("score"), F.count_if(F.col("score") >= trust).alias("support")
+        )
+        before, strong = strong, settled(
+            sums.filter(F.col("support") >= least).select("pattern", "kind", (F.col("score") / (F.col("size") + 1)).alias("strength")).filter(
                 F.col("strength") >= trust / 2
             ),
             "pii-patterns",
         )
         misses = F.exp(F.sum(F.log(F.lit(1.0) - F.col("strength"))))
-        unseen = edges.filter("kind < 0").drop("kind").join(strong, "pattern")
         scores = settled(
-            unseen.groupBy("surface", "kind").agg((F.lit(1.0) - misses).alias("score")).filter(F.col("score") >= trust / 2), "pii-instances"
+            unseen.join(strong, "pattern").groupBy("surface", "kind").agg((F.lit(1.0) - misses).alias("score")).filter(
+                F.col("score") >= trust / 2
+            ),
+            "pii-instances",
         )
+        if before is None:
+            grown = strong
+        else:
+            was = before.withColumnRenamed("strength", "was")
+            grown = strong.join(was, ["pattern", "kind"], "left").filter(F.col("strength") - F.coalesce("was", F.lit(0.0)) >= change)
+        if grown.isEmpty():
+            break
     return strong.filter(F.col("strength") >= trust).select("pattern", "kind"), scores.filter(F.col("score") >= trust).select("surface", "kind")
 
 
@@ -189,7 +204,7 @@ def _written(spans: Column) -> Column:
     )
 
 
-def detect(docs: DataFrame, rounds: int = 2, least_seeds: int = 5, trust: float = 0.8) -> DataFrame:
+def detect(docs: DataFrame, least: int = 5, trust: float = 0.8) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of ``docs(doc_id, text)``.
 
     The counts and the digest are the base spans'; ``spans`` has those and the ones that contexts add. A new span
@@ -198,7 +213,7 @@ def detect(docs: DataFrame, rounds: int = 2, least_seeds: int = 5, trust: float
     """
     rows = settled(found(docs), "pii-found")
     every = rows.select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    good, instances = trusted(every.drop("row"), rounds, least_seeds, trust)
+    good, instances = trusted(every.drop("row"), least, trust)
     unseen = every.filter("kind < 0").select("row", "start", "end", "surface", F.explode("patterns").alias("pattern"))
     added = (
         unseen.join(good, "pattern").join(instances, ["surface", "kind"])

@@ -76,6 +76,29 @@ def test_contexts_find_unseen_identifiers(spark):
     assert rows[32].spans == "" and rows[33].spans == ""
 
 
+def test_discovered_identifiers_teach_further_patterns(spark):
+    """Numbers that only a second pattern precedes are reached over those that both do."""
+    good = [str(n) for n in range(4000000000000000, 4000000000000500) if luhn(str(n))]
+    bad = [str(n) for n in range(4000000000000000, 4000000000000500) if not luhn(str(n))]
+    texts = [f"a{i} card number {n} end" for i, n in enumerate(good[:20])]
+    texts += [f"b{i} card number {n} end" for i, n in enumerate(bad[:12])]
+    texts += [f"c{i} account ref {n} end" for i, n in enumerate(bad[:12])]
+    texts += [f"d{i} account ref {n} end" for i, n in enumerate(bad[50:53])]  # not among the seeds' contexts
+    texts += [f"e{i} order code {n} end" for i, n in enumerate(bad[60:80])]
+    rows = {r.doc_id: r.spans for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        at = text.index("4000")
+        assert rows[i] == ("" if text[0] == "e" else f"card:{at}:{at + 16}"), text
+
+
+def test_rounds_go_on_until_nothing_is_added(spark):
+    good = [str(n) for n in range(4000000000000000, 4000000000000500) if luhn(str(n))]
+    bad = [str(n) for n in range(4000000000000000, 4000000000000500) if not luhn(str(n))]
+    texts = [f"a{i} card number {n} end" for i, n in enumerate(good[:10] + bad[:12])]  # more unseen than seeds
+    rows = {r.doc_id: r.spans for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(rows[i].startswith("card:") for i in range(len(texts)))
+
+
 def brute_archive(rows):
     first = {}
     for page, _, html in rows:
