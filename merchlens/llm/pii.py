@@ -1,7 +1,7 @@
 """Personal data by fixed rules, and by contexts that the rules' finds teach.
 
-One pass over the texts finds the base spans and every other token that looks like an identifier, each with the
-lexical patterns of the words before it. The base finds are seeds. Spark then scores the graph of patterns and
+One pass over the texts finds the base spans and every other token or run of digit groups that looks like an identifier, each
+with the lexical patterns of the words before it. The base finds are seeds. Spark then scores the graph of patterns and
 instances in turns, until nothing is added: a pattern is as trustworthy for a kind as the share of its distinct
 instances that are of that kind, once enough of them are seeds or trusted themselves, an instance as the chance that
 not all its patterns are wrong. Tokens that follow trusted patterns become spans of that kind. Only sums per pattern
@@ -10,6 +10,7 @@ and per instance are shuffled.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -27,6 +28,10 @@ _CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Groups of digits joined by spaces, dots, dashes and brackets, from a place where a word can begin; a full stop ends it.
+_GROUPS = re.compile(
+    r"(?<![^\s\[{<\"'(:;,])\(?\+?[0-9]{1,8}+(?![0-9])(?:(?:(?!\.\s)[\x20().-])++[0-9]{1,8}+(?![0-9]))+(?!\w|@|[:/][0-9])"
+)
 _ANY = re.compile(r"[0-9@]")
 _LOOKS = re.compile(r"[0-9]{3}|@")
 _SPACE = re.compile(r"\s")
@@ -91,9 +96,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with three digits in a row or an @, without marks at their edges, that touch no base span."""
-    found, at = [], 0
+    """Places that look like identifiers and touch no base span.
+
+    Runs of digit groups, of 7 to 19 digits in all as cards and phones have, and outside of those the tokens with
+    three digits in a row or an @, as long as they are, without marks at their edges.
+    """
     busy = sorted((s, e) for _, s, e in taken)
+    runs = _free([m.span() for m in _GROUPS.finditer(text) if 7 <= sum(c.isdigit() for c in m[0]) <= 19], busy)
+    tokens, at = [], 0
     while m := _LOOKS.search(text, at):
         start = m.start()
         while start > at and not text[start - 1].isspace():
@@ -104,13 +114,28 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         token = text[start:end]
         start += len(token) - len(token.lstrip(_EDGE))
         end -= len(token) - len(token.rstrip(_EDGE))
-        while busy and busy[0][1] <= start:
-            busy.pop(0)
-        if 6 <= end - start <= 64 and not (busy and busy[0][0] < end):
+        if start < end:
+            tokens.append((start, end))
+    return sorted(runs + _free(tokens, sorted(busy + runs)))
+
+
+def _free(places: list[tuple[int, int]], busy: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of disjoint places that touch no busy one; both sorted."""
+    found, k = [], 0
+    for start, end in places:
+        while k < len(busy) and busy[k][1] <= start:
+            k += 1
+        if k == len(busy) or busy[k][0] >= end:
             found.append((start, end))
     return found
 
 
+def _surface(text: str) -> str:
+    """A place's text, lower-cased; the digest of a long one."""
+    low = text.lower()
+    return low if len(low) <= 200 else hashlib.sha256(low.encode()).hexdigest()
+
+
 def patterns(text: str, start: int) -> list[str]:
     """The last word and the last two words before a place, lower-cased, digits as 0; none at a text's start."""
     words = _DIGITS.sub("0", text[max(0, start - _CONTEXT) : start].lower()).split()[-2:]
@@ -136,7 +161,7 @@ def found(docs: DataFrame) -> DataFrame:
                 base = base_spans(text)
                 more = [(-1, s, e) for s, e in candidates(text, base)] if base or _ANY.search(text) else []
                 spans = [
-                    {"kind": k, "start": s, "end": e, "surface": text[s:e].lower()[:200], "patterns": patterns(text, s)}
+                    {"kind": k, "start": s, "end": e, "surface": _surface(text[s:e]), "patterns": patterns(text, s)}
                     for k, s, e in base + more
                 ]
                 out.append((row, doc, spans))

@@ -99,6 +99,26 @@ def test_rounds_go_on_until_nothing_is_added(spark):
     assert all(rows[i].startswith("card:") for i in range(len(texts)))
 
 
+def test_candidates_hold_grouped_and_long_identifiers():
+    for number in ("4111 1111 1111 1112", "020 7946 0958", "(171) 555-2028", "+1", "555.20.28", "0171 (0) 5552028", "12 34 56 78 90", "7" * 300, "12345"):
+        text = f"I said: number {number}, or so. 300 people"
+        want = [number] if number != "+1" else []
+        assert [text[s:e] for s, e in pii.candidates(text, [])] == [*want, "300"], number
+    assert [("2021. 4000 of them"[s:e]) for s, e in pii.candidates("2021. 4000 of them", [])] == ["2021", "4000"]
+    assert pii.candidates("number 4111 1111 1111 1111 x", pii.base_spans("number 4111 1111 1111 1111 x")) == []
+    for long_ in ("1 " * 150_000, "1234 " * 100_000, "(" * 300_000, "1(" * 150_000, "1 .-" * 100_000, "123456789 " * 50_000):
+        pii.candidates(long_, [])  # in linear time
+
+
+def test_grouped_identifiers_are_found_after_taught_contexts(spark):
+    texts = [f"a{i} call her under +44 20 7946 {1000 + i} end" for i in range(40)]
+    texts += [f"b{i} call her under {n} end" for i, n in enumerate(("020 7946 0958", "(171) 555-2028", "555.20.28", "0171 5552028"))]
+    rows = {r.doc_id: r.spans for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        start = text.index("under ") + 6
+        assert rows[i] == f"phone:{start}:{len(text) - 4}", text
+
+
 def brute_archive(rows):
     first = {}
     for page, _, html in rows:
