@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
-from merchlens.llm import lines, lm, mixing, neardup, packing, pii, quality, topk, urls, warc
+from merchlens.llm import lines, lm, middle, mixing, neardup, packing, pii, quality, topk, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,14 +58,39 @@ def op10_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return middle.digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_packing, op2_mixing, op3_topk, op4_quality, op5_urls, op6_pii, op7_warc, op8_lines, op9_lm, op10_neardup,
+        op11_middle,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op11_middle": r"""
+WITH told AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents
+), drawn AS (
+  SELECT *, list_transform([0, 1, 2, 3], lambda i: CAST('0x' || substr(digest, 1 + 8 * i, 8) AS BIGINT)) AS h FROM told
+), cut AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS p, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS q,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90
+              THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (
+  SELECT *, substr(text, 1, p) AS head, substr(text, p + 1, q - p) AS middle, substr(text, q + 1) AS tail FROM cut
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || middle
+                        ELSE '<S>' || tail || '<P>' || head || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+""",
     "op3_topk": r"""
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
@@ -90,7 +115,8 @@ FROM known k LEFT JOIN firsts f ON k.digest = f.digest AND k.n >= 100
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents
 ), cut AS (
-  SELECT doc_id, line_no, line, list_filter(regexp_split_to_array(line, '[ 	-]+'), lambda x: x <> '') AS words FROM lines
+  SELECT doc_id, line_no, line, list_filter(regexp_split_to_array(line, '[ 	-
+]+'), lambda x: x <> '') AS words FROM lines
 ), firsts AS (
   SELECT words, min((doc_id, line_no)) AS first FROM cut WHERE len(words) > 0 GROUP BY words
 ), numbered AS (SELECT row_number() OVER (ORDER BY first) AS no, words FROM firsts WHERE len(words) >= 8),
