@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
-from merchlens.llm import lines, lm, middle, mixing, neardup, packing, pii, quality, topk, urls, warc
+from merchlens.llm import lines, lm, middle, mixing, neardup, packing, phrases, pii, quality, topk, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,15 +62,46 @@ def op11_middle(spark: SparkSession, folder: str) -> DataFrame:
     return middle.digests(table(spark, folder, "documents"))
 
 
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_packing, op2_mixing, op3_topk, op4_quality, op5_urls, op6_pii, op7_warc, op8_lines, op9_lm, op10_neardup,
-        op11_middle,
+        op11_middle, op13_phrases,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op13_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), cut AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces
+), found AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS w FROM cut, range(1, 4) sizes(k)
+), counted AS (SELECT lang, k, w, count(*) AS f FROM found GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM counted WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, w, f AS a FROM counted WHERE k > 1 AND f >= 10),
+inside AS (
+  SELECT lang, unnest([w[1:2], w[2:3]]) AS w, a FROM candidates WHERE k = 3
+), longer AS (SELECT lang, w, max(a) AS longer FROM inside GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN longer USING (lang, w) WHERE c.k = 3 OR longer IS NULL OR 100 * longer < 50 * a
+), cuts AS (
+  SELECT lang, w, a, c, w[1:c] AS lw, w[c + 1:] AS rw FROM kept, range(1, 3) places(c) WHERE c < k
+), scored AS (
+  SELECT cuts.*, l.f AS l, r.f AS r, CAST(1000000 AS HUGEINT) * a * a // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM cuts JOIN counted l ON l.lang = cuts.lang AND l.w = cuts.lw JOIN counted r ON r.lang = cuts.lang AND r.w = cuts.rw
+), worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, c) = 1),
+named AS (SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, score FROM worst),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM named QUALIFY rank <= 2000)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang)
+""",
     "op11_middle": r"""
 WITH told AS (
   SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
