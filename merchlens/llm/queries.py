@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
-from merchlens.llm import lines, lm, middle, mixing, neardup, packing, phrases, pii, quality, topk, urls, warc
+from merchlens.llm import lines, lm, middle, mixing, neardup, packing, phrases, pii, quality, secrets, topk, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,10 @@ def op11_middle(spark: SparkSession, folder: str) -> DataFrame:
     return middle.digests(table(spark, folder, "documents"))
 
 
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digests(table(spark, folder, "documents"))
+
+
 def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
 
@@ -70,11 +74,64 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_packing, op2_mixing, op3_topk, op4_quality, op5_urls, op6_pii, op7_warc, op8_lines, op9_lm, op10_neardup,
-        op11_middle, op13_phrases,
+        op11_middle, op12_secrets, op13_phrases,
     )
 }
 
+def _finders() -> str:
+    """Rows (no, kind, role, pattern, first group is the place, its least length, needs) of the patterns, as SQL values."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    rows = [
+        f"({no}, {quoted(f.kind)}, {quoted(f.role)}, {quoted(f.pattern if '(' in f.pattern.replace('(?', '') else f'({f.pattern})')}, "
+        f"{f.group}, {f.least}, [{', '.join(map(quoted, f.needs))}]::VARCHAR[])"
+        for no, f in enumerate(secrets.FINDERS)
+    ]
+    return ",\n  ".join([*rows, r"(8, '', 'blank', '(\n[\x20\x09\x0D]*\n)', false, 0, []::VARCHAR[])"])
+
+
 ORACLES: dict[str, str] = {
+    "op12_secrets": r"""
+WITH finders(no, kind, role, pattern, grouped, least, needs) AS (VALUES
+  """
+    + _finders()
+    + r"""
+), docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+met AS (SELECT row, text, f.* FROM docs JOIN finders f ON regexp_matches(text, pattern)),
+both_roles AS (SELECT row FROM met GROUP BY row HAVING bool_or(role = 'identifier') AND bool_or(role = 'secret')),
+found AS (
+  SELECT row, no, grouped, least, needs, regexp_extract_all(text, pattern, 0) AS whole, regexp_extract_all(text, pattern, 1) AS named,
+         string_split_regex(text, pattern) AS gaps
+  FROM met WHERE no < 3 OR row IN (SELECT row FROM both_roles)
+), each AS (
+  SELECT row, no, grouped, least, needs, generate_subscripts(whole, 1) AS i, unnest(whole) AS m, unnest(named) AS v, unnest(gaps[1:len(whole)]) AS gap
+  FROM found
+), ends AS (
+  SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY row, no ORDER BY i) AS stop FROM each
+), spans AS (
+  SELECT row, no, stop - length(CASE WHEN grouped THEN v ELSE m END) AS start, stop FROM ends
+  WHERE length(v) >= least AND len(list_filter(needs, lambda need: NOT regexp_matches(m, need))) = 0
+), marked AS (
+  SELECT *, count(*) FILTER (no = 8) OVER (PARTITION BY row ORDER BY start, no) AS scope,
+         coalesce(max(stop) FILTER (no BETWEEN 3 AND 7) OVER (PARTITION BY row ORDER BY start, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS last
+  FROM spans
+), parts AS (SELECT m.*, kind, role FROM marked m JOIN finders USING (no) WHERE no < 3 OR (no < 8 AND last <= start)),
+near AS (
+  SELECT p.row, p.no, p.start, p.stop, p.kind, p.role, bool_or(q.role = 'identifier') AS id, bool_or(q.role = 'secret') AS secret,
+         bool_or(q.role = 'endpoint') AS endpoint, bool_or(q.role = 'identifier' AND q.no < 3) AS sure_id, bool_or(q.role = 'secret' AND q.no < 3) AS sure_secret
+  FROM parts p JOIN parts q ON p.row = q.row AND p.scope = q.scope AND abs(p.start - q.start) <= 400
+  WHERE p.no >= 3 AND NOT EXISTS (SELECT 1 FROM parts b WHERE b.row = p.row AND b.no < 3 AND b.start < p.stop AND p.start < b.stop)
+  GROUP BY ALL
+), told AS (
+  SELECT row, no, kind, start, stop FROM parts WHERE no < 3
+  UNION ALL
+  SELECT row, CASE kind WHEN 'identifier' THEN 3 WHEN 'secret' THEN 4 ELSE 5 END, kind, start, stop FROM near
+  WHERE CASE role WHEN 'identifier' THEN secret AND (sure_secret OR endpoint) WHEN 'secret' THEN id AND (sure_id OR endpoint) ELSE id AND secret END
+), said AS (SELECT *, kind || ':' || start || ':' || stop AS span FROM told)
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, no) FILTER (no < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY start, no), '') AS spans, count(*) FILTER (no >= 3) AS n_linked
+FROM docs LEFT JOIN said USING (row) GROUP BY row, doc_id
+""",
     "op13_phrases": r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
