@@ -1,26 +1,16 @@
-"""Continuously refreshed tables: label extraction, search index and carts."""
+"""Continuously refreshed tables: label extraction and search index."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from merchlens.operators.labels import extract_labels, parse_labels
 from merchlens.operators.search import lengths_of, postings_of
-
-
-def _trigger(writer, interval: str | None):
-    return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
-
-
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """One folder per batch, overwritten when the batch is run again after a failure."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+from merchlens.streaming.snapshots import stream_full_refresh
+from merchlens.streaming.states import triggered, write_batch
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -31,21 +21,31 @@ def file_stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
 
 
 def stream_labels(
-    files: DataFrame,
-    sink: str,
+    clock: DataFrame,
+    read_files: Callable[[], DataFrame],
+    path: str,
     checkpoint: str,
     model_fn: Callable[[object], str] | None = None,
     interval: str | None = "5 minutes",
 ) -> StreamingQuery:
-    """Parse label files as they appear: ``files(file_path, content)`` with a model, or
-    ``files(file_path, raw_result)`` without. Each batch adds its own folder under ``sink``."""
+    """The label table, rebuilt whole from all files whenever ``clock`` ticks, so changed and deleted files show.
+
+    ``read_files()`` gives ``(file_path, content)`` for a model, or ``(file_path, raw_result)`` without one, as they are
+    at that time. Read the table with ``snapshots.current``.
+    """
+
+    def build() -> DataFrame:
+        files = read_files()
+        parsed = parse_labels(files) if model_fn is None else extract_labels(files, model_fn)
+        return parsed.withColumn("raw_json", F.to_json("raw_json"))
 
-    def refresh(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_labels(batch) if model_fn is None else extract_labels(batch, model_fn)
-        _write_batch(parsed.withColumn("raw_json", F.to_json("raw_json")), sink, batch_id)
+    return stream_full_refresh(clock, build, path, checkpoint, interval)
 
-    writer = files.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
-    return _trigger(writer, interval).start()
+
+def file_table(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """The files under a folder now, as (file_path, content) rows."""
+    read = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    return read.load(folder).select(F.col("path").alias("file_path"), "content")
 
 
 def stream_index(
@@ -54,74 +54,8 @@ def stream_index(
     """Append new documents to the postings and docs tables under ``sink``."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(postings_of(batch, id_col, text_col), f"{sink}/postings", batch_id)
-        _write_batch(lengths_of(batch, id_col, text_col), f"{sink}/docs", batch_id)
+        write_batch(postings_of(batch, id_col, text_col), f"{sink}/postings", batch_id)
+        write_batch(lengths_of(batch, id_col, text_col), f"{sink}/docs", batch_id)
 
     writer = docs.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
-    return _trigger(writer, interval).start()
-
-
-LINE_SCHEMA = (
-    "session_id long, item_ref long, add_seq long, product_id long, product_name string, "
-    "unit_price_cents long, quantity long, removed boolean, seq long"
-)
-STATE_SCHEMA = "add_seq array<long>, product_id array<long>, product_name array<string>, price array<long>, quantity array<long>"
-
-
-def _fold_item(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The open lines of one item in one session, newest last, moved on by new commands."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    lines = [list(line) for line in zip(*state.get)] if state.exists else []
-    changed: dict[int, dict] = {}
-
-    def note(line: list, seq: int, removed: bool) -> None:
-        add_seq, product, name, price, quantity = line
-        changed[add_seq] = dict(
-            session_id=key[0], item_ref=key[1], add_seq=add_seq, product_id=product, product_name=name,
-            unit_price_cents=price, quantity=quantity, removed=removed, seq=seq,
-        )
-
-    rows = pd.concat(list(batches)).sort_values("seq")
-    for row in rows.itertuples():
-        if row.command == "add":
-            lines.append([row.seq, row.product_id, row.product_name, row.unit_price_cents, row.quantity])
-            note(lines[-1], row.seq, False)
-        elif lines and row.command == "update":
-            lines[-1][4] = row.quantity
-            note(lines[-1], row.seq, False)
-        elif lines and row.command == "remove":
-            note(lines.pop(), row.seq, True)
-    if lines:
-        state.update(tuple([int(v) if i != 2 else v for v in column] for i, column in enumerate(zip(*lines))))
-    elif state.exists:
-        state.remove()
-    if changed:
-        yield pd.DataFrame(list(changed.values()))
-
-
-def stream_cart_lines(commands: DataFrame, sink: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Fold a stream of priced item commands into cart lines, keyed by session and item.
-
-    Each batch writes the lines it changed; ``current_lines`` gives the state of all of them.
-    """
-    folded = commands.groupBy("session_id", "item_ref").applyInPandasWithState(
-        _fold_item, LINE_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
-    )
-    writer = (
-        folded.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, batch_id: _write_batch(batch, sink, batch_id))
-        .option("checkpointLocation", checkpoint)
-    )
-    return _trigger(writer, interval).start()
-
-
-def current_lines(changes: DataFrame) -> DataFrame:
-    """Open lines from the changes written so far: the last state of each, removed ones left out."""
-    keys = ["session_id", "item_ref", "add_seq"]
-    rest = [c for c in changes.columns if c not in keys and c != "batch"]
-    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("s"))
-    return last.select(*keys, "s.*").filter("NOT removed").withColumn(
-        "subtotal_cents", F.col("unit_price_cents") * F.col("quantity")
-    )
+    return triggered(writer, interval).start()

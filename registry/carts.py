@@ -46,12 +46,11 @@ def stored_items(d):
     return settled(items(d), "cart-items")
 
 
-@query(
-    "cart_sessions_from_log",
-    f"""WITH {LINES} SELECT session_id, customer_id, status, coalesce(subtotal_cents, 0) AS subtotal_cents, coalesce(subtotal_cents, 0) AS total_cents,
-        'USD' AS currency, created_at, updated_at FROM sessions LEFT JOIN totals USING (session_id)""",
-    "commands products",
-)
+SESSIONS_SQL = f"""WITH {LINES} SELECT session_id, customer_id, status, coalesce(subtotal_cents, 0) AS subtotal_cents, coalesce(subtotal_cents, 0) AS total_cents,
+        'USD' AS currency, created_at, updated_at FROM sessions LEFT JOIN totals USING (session_id)"""
+
+
+@query("cart_sessions_from_log", SESSIONS_SQL, "commands products")
 def _(d):
     return C.fold_sessions(d.commands, items(d))
 
@@ -139,30 +138,26 @@ ORDERS = f"""{LINES},
 """
 
 
-@query(
-    "cart_checkout",
-    f"""WITH {ORDERS}, sums AS (SELECT session_id, order_ordinal, CAST(sum(unit_price_cents * quantity) AS BIGINT) AS cents, count(*) AS n FROM sold GROUP BY ALL)
+CHECKOUT_SQL = f"""WITH {ORDERS}, sums AS (SELECT session_id, order_ordinal, CAST(sum(unit_price_cents * quantity) AS BIGINT) AS cents, count(*) AS n FROM sold GROUP BY ALL)
         SELECT o.session_id, o.order_ordinal, customer_id, 'confirmed' AS status, coalesce(n, 0) AS item_count, coalesce(cents, 0) AS total_cents,
           coalesce(cents, 0) / 100.0 AS total_dollars, {UUID.format("md5(concat_ws('|', o.session_id, o.order_ordinal))")} AS order_id,
           'ORD-' || strftime(ts, '%Y%m%d') || '-' || substr(md5(concat_ws('|', o.session_id, o.order_ordinal)), 1, 6) AS order_number, ts AS created_at
-        FROM checkouts o LEFT JOIN sums s ON s.session_id = o.session_id AND s.order_ordinal = o.order_ordinal""",
-    "commands products",
+        FROM checkouts o LEFT JOIN sums s ON s.session_id = o.session_id AND s.order_ordinal = o.order_ordinal"""
+ORDER_ITEMS_SQL = f"""WITH {ORDERS} SELECT {UUID.format("md5(concat_ws('|', session_id, order_ordinal))")} AS order_id, session_id, order_ordinal, product_id, product_name,
+        quantity, unit_price_cents, unit_price_cents * quantity AS subtotal_cents,
+        {UUID.format("md5(concat_ws('|', session_id, order_ordinal, item_ref, add_seq))")} AS order_item_id FROM sold"""
+ORDER_COLUMNS = (
+    "session_id", "order_ordinal", "customer_id", "status", "item_count", "total_cents", "total_dollars", "order_id", "order_number", "created_at",
 )
+
+
+@query("cart_checkout", CHECKOUT_SQL, "commands products")
 def _(d):
     orders, _items = C.checkout(d.commands, d.products, CHUNK)
-    return orders.select(
-        "session_id", "order_ordinal", "customer_id", "status", "item_count", "total_cents", "total_dollars", "order_id",
-        "order_number", "created_at",
-    )
+    return orders.select(*ORDER_COLUMNS)
 
 
-@query(
-    "cart_order_items",
-    f"""WITH {ORDERS} SELECT {UUID.format("md5(concat_ws('|', session_id, order_ordinal))")} AS order_id, session_id, order_ordinal, product_id, product_name,
-        quantity, unit_price_cents, unit_price_cents * quantity AS subtotal_cents,
-        {UUID.format("md5(concat_ws('|', session_id, order_ordinal, item_ref, add_seq))")} AS order_item_id FROM sold""",
-    "commands products",
-)
+@query("cart_order_items", ORDER_ITEMS_SQL, "commands products")
 def _(d):
     return C.checkout(d.commands, d.products, CHUNK)[1].drop("variant_id")
 

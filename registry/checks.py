@@ -3,15 +3,14 @@
 from pyspark.sql import functions as F
 
 from merchlens.operators import quality as Q
-from merchlens.operators.cart import priced_commands
 from merchlens.session import scratch_path
-from merchlens.sources import catalog
+from merchlens.sources import bookkeeping, catalog
 from merchlens.sources.csv import load_csv, with_defaults
 from merchlens.sources.files import register_files
-from merchlens.streaming import folds
-from registry.carts import LINES
+from merchlens.streaming import carts, folds, responses, snapshots
+from registry.carts import CHECKOUT_SQL, LINES, ORDER_COLUMNS, ORDER_ITEMS_SQL, SESSIONS_SQL
 from registry.core import query
-from registry.texts import INDEX, PARSED, SKU
+from registry.texts import INDEX, PARSED, SKU, TRANSCRIPT_SQL, stream_events, told_turns
 
 ANCHOR = "2002-01-01 00:00:00"
 
@@ -174,11 +173,32 @@ def finish(stream):
     "model_output",
 )
 def _(d):
-    told = d.model_output.withColumn("n", F.xxhash64("file_path"))
-    path = in_three_parts(d, told, "label-files", "n")
-    sink, checkpoint = scratch_path(d.spark, "labels"), scratch_path(d.spark, "labels-checkpoint")
-    finish(folds.stream_labels(read_parts(d, path, told.schema), sink, checkpoint, interval=None))
-    return d.spark.read.parquet(sink).select("file_path", "sku", "brand", "net_weight", F.col("raw_json").isNotNull().alias("readable"))
+    """Files of an earlier state, some of them stale or deleted later, then the state of the table; each refresh rebuilds all."""
+    path, spark = scratch_path(d.spark, "label-files"), d.spark
+    told = d.model_output.select("file_path", "raw_result").withColumn("part", F.pmod(F.xxhash64("file_path"), F.lit(3)))
+    stale = told.withColumn("raw_result", F.lit('{"brand":"stale"}'))
+    gone = told.withColumn("file_path", F.concat(F.lit("deleted/"), "file_path"))
+
+    def put(rows, part):
+        rows.drop("part").write.mode("overwrite").parquet(f"{path}/part={part}")
+
+    def read_files():
+        return spark.read.schema("file_path string, raw_result string").parquet(f"{path}/*")
+
+    def refresh():
+        clock = spark.readStream.schema("file_path string, raw_result string").option("pathGlobFilter", "*.parquet").parquet(f"{path}/*")
+        finish(folds.stream_labels(clock, read_files, table, checkpoint, interval=None))
+
+    table, checkpoint = scratch_path(spark, "labels"), scratch_path(spark, "labels-checkpoint")
+    put(told.filter("part = 0"), 0)
+    put(stale.filter("part = 1"), 1)
+    put(gone, 2)
+    refresh()
+    put(told.filter("part = 1"), 1)
+    put(told.filter("part = 2"), 2)
+    refresh()
+    labels = snapshots.current(spark, table)
+    return labels.select("file_path", "sku", "brand", "net_weight", F.col("raw_json").isNotNull().alias("readable"))
 
 
 @query("search_index_incremental", f"WITH {INDEX} SELECT term, df, CAST(sum(tf) AS BIGINT) AS cf FROM post JOIN dfs USING (term) GROUP BY ALL")
@@ -190,15 +210,70 @@ def _(d):
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def cart_changes(d):
+    """The command log folded as a stream of three parts."""
+    commands = carts.all_commands(d.commands, d.products)
+    path = in_three_parts(d, commands, "commands", "seq")
+    sink, checkpoint = scratch_path(d.spark, "carts"), scratch_path(d.spark, "carts-checkpoint")
+    finish(carts.stream_carts(read_parts(d, path, commands.schema), sink, checkpoint))
+    return carts.changes(d.spark, sink)
+
+
 @query(
     "stream_cart_fold",
     f"WITH {LINES} SELECT session_id, item_ref, add_seq, product_id, quantity, unit_price_cents, subtotal_cents FROM items",
     "commands products",
 )
 def _(d):
-    commands = priced_commands(d.commands, d.products)
-    path = in_three_parts(d, commands, "commands", "seq")
-    sink, checkpoint = scratch_path(d.spark, "carts"), scratch_path(d.spark, "carts-checkpoint")
-    finish(folds.stream_cart_lines(read_parts(d, path, commands.schema), sink, checkpoint))
-    lines = folds.current_lines(d.spark.read.parquet(sink))
+    lines = carts.open_lines(cart_changes(d))
     return lines.select("session_id", "item_ref", "add_seq", "product_id", "quantity", "unit_price_cents", "subtotal_cents")
+
+
+@query("stream_cart_sessions", SESSIONS_SQL, "commands products")
+def _(d):
+    return carts.sessions(cart_changes(d))
+
+
+@query("stream_cart_checkout", CHECKOUT_SQL, "commands products")
+def _(d):
+    return carts.orders(cart_changes(d)).select(*ORDER_COLUMNS)
+
+
+@query("stream_cart_order_items", ORDER_ITEMS_SQL, "commands products")
+def _(d):
+    return carts.order_items(cart_changes(d)).drop("variant_id")
+
+
+@query("stream_turns", TRANSCRIPT_SQL)
+def _(d):
+    """The responses of ``transcript_assemble`` from a stream of their events."""
+    place = lambda i: F.split_part("turn_id", F.lit("-"), F.lit(i)).cast("long")
+    events = stream_events(d).withColumn("ts", F.timestamp_seconds(86_400 + place(1) * 60 + place(2) * 5 + F.col("seq") / 1000))
+    path = in_three_parts(d, events.withColumn("n", F.unix_millis("ts")), "events", "n")
+    sink, checkpoint = scratch_path(d.spark, "turns"), scratch_path(d.spark, "turns-checkpoint")
+    # Files of one part come in no order of time.
+    finish(responses.stream_turns(read_parts(d, path, events.withColumn("n", F.lit(0).cast("long")).schema), sink, checkpoint, late="3650 days"))
+    return told_turns(responses.turns_so_far(d.spark, sink))
+
+
+@query(
+    "processing_status",
+    """SELECT 'f' || event_id AS file_path, event_id % 7 < 5 OR event_id % 7 = 6 AS processed,
+         CASE WHEN event_id % 7 = 5 THEN 'failed in run 3' END AS error,
+         TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * (CASE WHEN event_id % 7 < 3 THEN 1 WHEN event_id % 7 = 6 THEN 4 WHEN event_id % 7 = 3 THEN 2 ELSE 3 END) AS processed_at
+       FROM events""",
+)
+def _(d):
+    """Four runs over what was pending: files fail until their turn comes, one kind of file appears last, one always fails."""
+    path, spark = scratch_path(d.spark, "processing"), d.spark
+    files = d.events.select(F.concat(F.lit("f"), "event_id").alias("file_path"), (F.col("event_id") % 7).alias("k"))
+    for run in (1, 2, 3, 4):
+        listed = files.filter((F.col("k") < 6) if run < 4 else (F.col("k") == 6))
+        works = (F.col("k") < run + 2) & (F.col("k") != 5) | (F.col("k") == 6)
+        results = bookkeeping.pending(listed, bookkeeping.status(spark, path)).select(
+            "file_path", works.alias("success"), F.when(~works, F.lit(f"failed in run {run}")).alias("error")
+        )
+        bookkeeping.record(results, path, run, F.lit(f"2024-01-01 0{run}:00:00"))
+        if run == 2:
+            bookkeeping.compact(spark, path)
+    return bookkeeping.status(spark, path)

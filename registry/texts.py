@@ -308,20 +308,24 @@ def stream_events(d):
     return out
 
 
-@query(
-    "transcript_assemble",
-    """SELECT concat_ws('-', conv_id, turn, role) AS turn_id, turn <> 3 AS success, CASE WHEN turn <> 3 THEN text END AS text,
+TRANSCRIPT_SQL = """SELECT concat_ws('-', conv_id, turn, role) AS turn_id, turn <> 3 AS success, CASE WHEN turn <> 3 THEN text END AS text,
          CASE WHEN turn <> 3 THEN 'u' || conv_id || ',generic,' || role || ',{"turn":' || turn || '}' END AS tools,
          CASE WHEN turn <> 3 THEN 'u' || conv_id || ',' || role || ',success,' || turn END AS results, CASE WHEN turn <> 3 THEN CAST(conv_id AS VARCHAR) END AS thread_id,
-         CASE WHEN turn <> 3 THEN CAST(turn AS VARCHAR) END AS message_id, CASE WHEN turn = 3 THEN 'failed ' || conv_id END AS error FROM conversations""",
-)
-def _(d):
-    r = H.assemble_turns(stream_events(d))
+         CASE WHEN turn <> 3 THEN CAST(turn AS VARCHAR) END AS message_id, CASE WHEN turn = 3 THEN 'failed ' || conv_id END AS error FROM conversations"""
+
+
+def told_turns(r):
+    """Turns with their records as text."""
     told = lambda name, *fields: F.array_join(F.transform(name, lambda t: F.concat_ws(",", *[t[f] for f in fields])), ";").alias(name)
     tools, results = told("tools", "tool_use_id", "type", "name", "input"), told("tool_results", "tool_use_id", "name", "status", "content")
     return r.select("turn_id", "success", "text", tools, results.alias("results"), "thread_id", "message_id", "error")
 
 
+@query("transcript_assemble", TRANSCRIPT_SQL)
+def _(d):
+    return told_turns(H.assemble_turns(stream_events(d)))
+
+
 @query(
     "history_before_turn",
     """WITH cur AS (SELECT conv_id, max(turn) AS current_turn FROM conversations GROUP BY conv_id)

@@ -1,12 +1,9 @@
 """Plans that would hold on a large cluster, and streams that equal their batch form."""
 
-import datetime as dt
-
 import pytest
 from pyspark.sql import functions as F
 
 from merchlens.operators import content
-from merchlens.operators.cart import fold_items, priced_commands
 from merchlens.operators.search import build_index
 from merchlens.session import scratch_path
 from merchlens.streaming import folds
@@ -20,7 +17,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-LAZY = [n for n in QUERIES if not n.startswith(("stream_", "bm25", "fallback", "search_index_inc", "load_csv", "cart_"))]
+LAZY = [n for n in QUERIES if not n.startswith(("stream_", "bm25", "fallback", "search_index_inc", "load_csv", "cart_", "processing"))]
 
 
 @pytest.fixture(scope="module")
@@ -78,39 +75,6 @@ def test_facts_of_distinct_metrics_shrink_first(plans):
                 assert any("HashAggregate" in x or "SortAggregate" in x for x in below), (name, line)
 
 
-def write_parts(spark, df, n, order):
-    path = scratch_path(spark, "parts")
-    for i in range(n):
-        df.filter(F.col(order) % n == i if order != "seq" else F.floor(F.col(order) * n / 100) == i).coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
-def test_cart_stream_equals_batch_and_restarts(spark, rows):
-    base = dt.datetime(2024, 1, 1)
-    kinds = ["add", "update", "add", "remove", "update"]
-    log = rows(
-        "seq long, ts timestamp_ntz, session_id long, customer_id long, command string, item_ref long, product_id long, variant_id long, quantity long",
-        *[(i, base, i % 3, 1, kinds[i % 5], i % 2, 1 if kinds[i % 5] == "add" else None, None, i + 1) for i in range(100)],
-    )
-    products = rows("product_id long, name string, current_price double", (1, "Lip", 9.99))
-    commands = priced_commands(log, products)
-    path = write_parts(spark, commands, 4, "seq")
-    sink, checkpoint = scratch_path(spark, "sink"), scratch_path(spark, "check")
-
-    def run():
-        source = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 1).parquet(path)
-        stream = folds.stream_cart_lines(source, sink, checkpoint)
-        stream.awaitTermination()
-
-    run()
-    want = answers(fold_items(log, products), "session_id", "add_seq", "quantity", "subtotal_cents")
-    columns = ("session_id", "add_seq", "quantity", "subtotal_cents")
-    assert want and answers(folds.current_lines(spark.read.parquet(sink)), *columns) == want
-    before = spark.read.parquet(sink).count()
-    run()
-    assert spark.read.parquet(sink).count() == before
-
-
 def test_index_stream_sees_late_files_once(spark, rows):
     docs = rows("id long, text string", *[(i, f"w{i % 4} w{i % 3} x") for i in range(20)])
     path, sink, checkpoint = scratch_path(spark, "docs"), scratch_path(spark, "index"), scratch_path(spark, "check")
@@ -126,17 +90,3 @@ def test_index_stream_sees_late_files_once(spark, rows):
     want = build_index(docs, "id", "text")
     assert answers(spark.read.parquet(f"{sink}/postings").drop("batch")) == answers(want.postings)
     assert answers(spark.read.parquet(f"{sink}/docs").drop("batch")) == answers(want.docs)
-
-
-def test_label_files_stream(spark, tmp_path):
-    (tmp_path / "A_1.png").write_bytes(b"one")
-    sink, checkpoint = scratch_path(spark, "labels"), scratch_path(spark, "check")
-    model = lambda b: '{"brand":"' + bytes(b).decode() + '"}'
-
-    def run():
-        folds.stream_labels(folds.file_stream(spark, str(tmp_path), "*.png"), sink, checkpoint, model, interval=None).awaitTermination()
-
-    run()
-    (tmp_path / "B_1.png").write_bytes(b"two")
-    run()
-    assert answers(spark.read.parquet(sink), "sku", "brand") == [("A", "one"), ("B", "two")]
