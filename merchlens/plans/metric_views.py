@@ -17,10 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 @dataclass(frozen=True)
 class Metric:
-    """``kind`` (sum, avg, min, max, distinct or rows) of a SQL expression over one table, times ``scale``.
-
-    ``rows`` counts distinct values of the table's own key, which stand in one row each, so that counts add up.
-    """
+    """``kind`` (sum, avg, min, max or distinct) of a SQL expression over one table, times ``scale``."""
 
     table: str
     kind: str
@@ -41,17 +38,28 @@ _PARTIAL = {
     "min": lambda n, v: [F.min(v).alias(n)],
     "max": lambda n, v: [F.max(v).alias(n)],
     "avg": lambda n, v: [F.sum(v).alias(n), F.count(v).alias(f"{n}__n")],
-    "rows": lambda n, v: [F.count(v).alias(n)],
 }
 _FINAL = {
     "sum": lambda n: F.sum(n),
     "min": lambda n: F.min(n),
     "max": lambda n: F.max(n),
     "avg": lambda n: F.sum(n) / F.sum(f"{n}__n"),
-    "rows": lambda n: F.sum(n),
 }
 
 
+@dataclass(frozen=True)
+class _Picked:
+    """Rows of a table, its key columns, the dims shown, the way to other tables, and tests to make there."""
+
+    rows: DataFrame
+    table: str
+    keys: list[str]
+    shown: list[str]
+    steps: list[Ref]
+    wanted: dict[str, list[str]]
+    later: dict[str, tuple[str, Callable[[Column], Column]]]
+
+
 @dataclass(frozen=True)
 class MetricView:
     tables: Mapping[str, DataFrame]
@@ -82,54 +90,62 @@ class MetricView:
             trails += [(r.parent, [*trail, r]) for r in self.refs if r.child == at and r not in trail]
         raise ValueError(f"{goal} cannot be reached from {start}")
 
-    def _frame(self, table: str, names: Sequence[str], dims: Mapping[str, str], where) -> DataFrame:
-        """The metrics of one table grouped by the dims."""
+    def _picked(self, table: str, names: Sequence[str], dims: Mapping[str, str], where) -> _Picked:
+        """The rows of one table with what its metrics and dims need."""
         shown = {alias: d.split(".") for alias, d in dims.items()}
         tested = {f"__w{i}": d.split(".") for i, d in enumerate(where)}
         wanted = {**shown, **tested}
-        paths = {t: self._path(table, t) for t, _ in wanted.values()}
         steps: list[Ref] = []
-        for trail in paths.values():
-            steps += [r for r in trail if r not in steps]
-
-        own_keys = {f"__fk_{r.column}": F.col(r.column) for r in steps if r.child == table}
-        own_dims = {a: F.col(c) for a, (t, c) in wanted.items() if t == table}
-        specs = {n: self.metrics[n] for n in names}
+        for t, _ in wanted.values():
+            steps += [r for r in self._path(table, t) if r not in steps]
         base = self.tables[table]
-        for alias, (t, _) in tested.items():
+        for t, c in tested.values():
             if t == table:
-                base = base.filter(where[".".join(tested[alias])](F.col(tested[alias][1])))
-        keys = {**own_keys, **{a: c for a, c in own_dims.items() if a in shown}}
-        values = [F.expr(m.value).alias(f"__m_{n}") for n, m in specs.items()]
-        picked = base.select(*[c.alias(a) for a, c in keys.items()], *values)
-        # Shrink before any join, so a hot parent is one row too: one row per reference, or per reference and value.
-        splits = all(m.kind != "distinct" for m in specs.values())
-        if steps and splits:
-            partial = [c for n, m in specs.items() for c in _PARTIAL[m.kind](f"__m_{n}", F.col(f"__m_{n}"))]
-            picked = picked.groupBy(*keys).agg(*partial)
-        elif steps:
-            picked = picked.distinct()
-
-        for step in steps:
+                base = base.filter(where[f"{t}.{c}"](F.col(c)))
+        keys = {f"__fk_{r.column}": F.col(r.column) for r in steps if r.child == table}
+        keys |= {alias: F.col(c) for alias, (t, c) in shown.items() if t == table}
+        values = [F.expr(self.metrics[n].value).alias(f"__m_{n}") for n in names]
+        rows = base.select(*[c.alias(a) for a, c in keys.items()], *values)
+        later = {alias: (f"{t}.{c}", where[f"{t}.{c}"]) for alias, (t, c) in tested.items() if t != table}
+        return _Picked(rows, table, list(keys), list(shown), steps, wanted, later)
+
+    def _joined(self, rows: DataFrame, picked: _Picked) -> DataFrame:
+        """Rows with a table's keys, followed to the parents that dims and tests stand in."""
+        for step in picked.steps:
             parent = self.tables[step.parent]
-            link = f"__fk_{step.column}" if step.child == table else f"__fk_{step.child}_{step.column}"
+            link = f"__fk_{step.column}" if step.child == picked.table else f"__fk_{step.child}_{step.column}"
             cols = [F.col(step.parent_column).alias("__pk")]
-            cols += [F.col(c).alias(a) for a, (t, c) in wanted.items() if t == step.parent]
-            cols += [F.col(r.column).alias(f"__fk_{r.child}_{r.column}") for r in steps if r.child == step.parent]
-            picked = picked.join(parent.select(*cols), F.col(link) == F.col("__pk"), "left").drop("__pk", link)
-        for alias, (t, c) in tested.items():
-            if t != table:
-                picked = picked.filter(where[f"{t}.{c}"](F.col(alias)))
-
-        out = []
+            cols += [F.col(c).alias(a) for a, (t, c) in picked.wanted.items() if t == step.parent]
+            cols += [F.col(r.column).alias(f"__fk_{r.child}_{r.column}") for r in picked.steps if r.child == step.parent]
+            rows = rows.join(parent.select(*cols), F.col(link) == F.col("__pk"), "left").drop("__pk", link)
+        for alias, (_, test) in picked.later.items():
+            rows = rows.filter(test(F.col(alias)))
+        return rows
+
+    def _frame(self, table: str, names: Sequence[str], dims: Mapping[str, str], where) -> DataFrame:
+        """The metrics of one table grouped by the dims.
+
+        Before any join there is one row per reference, so a hot parent is one row too. A distinct metric that needs
+        other tables comes alone and keeps one row per reference and value: a value may stand with several references
+        of one group, so its counts don't add up.
+        """
+        picked = self._picked(table, names, dims, where)
+        specs = {n: self.metrics[n] for n in names}
+        rows, out = picked.rows, []
+        adds = bool(picked.steps) and all(m.kind != "distinct" for m in specs.values())
+        if adds:
+            partial = [c for n, m in specs.items() for c in _PARTIAL[m.kind](f"__m_{n}", F.col(f"__m_{n}"))]
+            rows = self._joined(rows.groupBy(*picked.keys).agg(*partial), picked)
+        elif picked.steps:
+            rows = self._joined(rows.distinct(), picked)
         for n, m in specs.items():
-            if steps and splits:
+            if adds:
                 value = _FINAL[m.kind](f"__m_{n}")
             else:
-                agg = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "distinct": F.count_distinct, "rows": F.count}[m.kind]
+                agg = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "distinct": F.count_distinct}[m.kind]
                 value = agg(F.col(f"__m_{n}"))
             out.append((value if m.scale is None else value * m.scale).alias(n))
-        return picked.groupBy(*shown).agg(*out)
+        return rows.groupBy(*picked.shown).agg(*out)
 
     def query(
         self,
@@ -153,7 +169,6 @@ class MetricView:
         for n in names:
             m = self.metrics[n]
             joined = any(d.split(".")[0] != m.table for d in (*dims.values(), *where))
-            # A distinct metric keeps its values to the end, so it must not hold back the others of its table.
             by_table.setdefault((m.table, n if joined and m.kind == "distinct" else ""), []).append(n)
         frames = [self._frame(t, ns, dims, where) for (t, _), ns in by_table.items()]
         out = frames[0]
@@ -196,7 +211,7 @@ def product_view(products: DataFrame, variants: DataFrame, price_history: DataFr
             "min_price": Metric("product", "min", "current_price"),
             "product_count": Metric("product", "distinct", "product_id"),
             "active_promos": Metric("promo", "distinct", "CASE WHEN is_active THEN promotion_id END"),
-            "variant_count": Metric("variant", "rows", "variant_id"),
+            "variant_count": Metric("variant", "distinct", "variant_id"),
         },
         PRODUCT_WORDS,
     )
@@ -209,11 +224,11 @@ def social_view(
         {"influencer": influencers, "mention": mentions, "product": products, "review": reviews, "trending": trending},
         [Ref(t, "product_id", "product", "product_id") for t in ("influencer", "mention", "review", "trending")],
         {
-            "influencer_mention_count": Metric("influencer", "rows", "mention_id"),
-            "mention_count": Metric("mention", "rows", "mention_id"),
+            "influencer_mention_count": Metric("influencer", "distinct", "mention_id"),
+            "mention_count": Metric("mention", "distinct", "mention_id"),
             "total_engagement": Metric("mention", "sum", "likes + comments + shares"),
             "avg_rating": Metric("review", "avg", "rating"),
-            "review_count": Metric("review", "rows", "review_id"),
+            "review_count": Metric("review", "distinct", "review_id"),
             "viral_product_count": Metric("trending", "distinct", "CASE WHEN is_viral THEN product_id END"),
         },
         SOCIAL_WORDS,
@@ -240,7 +255,7 @@ def cart_view(
             "completed_cart_count": Metric("session", "distinct", "CASE WHEN status = 'completed' THEN session_id END"),
             "avg_cart_value": Metric("session", "avg", "total_cents", 0.01),
             "total_items": Metric("item", "sum", "quantity"),
-            "order_count": Metric("order_tbl", "rows", "order_id"),
+            "order_count": Metric("order_tbl", "distinct", "order_id"),
             "total_revenue": Metric("order_tbl", "sum", "total_cents", 0.01),
         },
         CART_WORDS,
@@ -255,7 +270,7 @@ def customer_view(customers: DataFrame, analyses: DataFrame) -> MetricView:
             "customer_count": Metric("customer", "distinct", "customer_id"),
             "avg_points": Metric("customer", "avg", "points_balance"),
             "total_points": Metric("customer", "sum", "points_balance"),
-            "analysis_count": Metric("analysis", "rows", "analysis_id"),
+            "analysis_count": Metric("analysis", "distinct", "analysis_id"),
         },
         CUSTOMER_WORDS,
     )
@@ -270,7 +285,7 @@ def inventory_view(locations: DataFrame, stock: DataFrame, products: DataFrame)
             "total_on_hand": Metric("stock", "sum", "quantity_on_hand"),
             "total_reserved": Metric("stock", "sum", "quantity_reserved"),
             "total_available": Metric("stock", "sum", "quantity_on_hand - quantity_reserved"),
-            "low_stock_count": Metric("stock", "rows", "CASE WHEN quantity_on_hand <= reorder_point THEN stock_id END"),
+            "low_stock_count": Metric("stock", "distinct", "CASE WHEN quantity_on_hand <= reorder_point THEN stock_id END"),
         },
         INVENTORY_WORDS,
     )

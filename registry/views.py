@@ -1,5 +1,7 @@
 """Metric views over the driver's tables, and queries on them."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from merchlens.plans import metric_views as M
@@ -156,3 +158,57 @@ def _(d):
 def _(d):
     r = carts(d).query(["AOV", "sales"])
     return r.select(F.round("avg_cart_value", 8).alias("avg_cart_value"), F.round("total_revenue", 2).alias("total_revenue"))
+
+
+REPEATED = """
+  reviews_2 AS (SELECT review_id, product_id, rating FROM reviews
+    UNION ALL SELECT review_id, product_id + CASE WHEN rating = 5 THEN 1 ELSE 0 END, rating FROM reviews WHERE rating >= 4),
+  mentions_2 AS (SELECT mention_id, product_id FROM mentions UNION ALL SELECT mention_id, product_id + 1 FROM mentions WHERE mention_id % 3 = 0),
+  influencers_2 AS (SELECT mention_id, product_id FROM influencers UNION ALL SELECT mention_id, product_id FROM influencers),
+  variants_2 AS (SELECT variant_id, product_id FROM variants UNION ALL SELECT variant_id, product_id + 1 FROM variants WHERE variant_id % 2 = 0),
+  orders_2 AS (SELECT order_id, session_id FROM shop_orders UNION ALL SELECT order_id, session_id + 1 FROM shop_orders WHERE order_id % 4 = 0),
+  stock_2 AS (SELECT * FROM stock UNION ALL SELECT stock_id, product_id, location_id + 1, quantity_on_hand, quantity_reserved, reorder_point FROM stock
+    WHERE product_id % 2 = 0),
+  analyses_2 AS (SELECT doc_id AS analysis_id, doc_id AS customer_id FROM documents UNION ALL SELECT doc_id, doc_id + 1 FROM documents)"""
+
+
+@query(
+    "mv_repeated_ids",
+    f"""WITH {REPEATED},
+       cats AS (SELECT product_id, category FROM products)
+       SELECT 'review_count' AS metric, category AS dim, count(DISTINCT review_id) AS value FROM reviews_2 LEFT JOIN cats USING (product_id) GROUP BY ALL
+       UNION ALL SELECT 'mention_count', category, count(DISTINCT mention_id) FROM mentions_2 LEFT JOIN cats USING (product_id) GROUP BY ALL
+       UNION ALL SELECT 'influencer_mention_count', category, count(DISTINCT mention_id) FROM influencers_2 LEFT JOIN cats USING (product_id) GROUP BY ALL
+       UNION ALL SELECT 'variant_count', category, count(DISTINCT variant_id) FROM variants_2 LEFT JOIN cats USING (product_id) GROUP BY ALL
+       UNION ALL SELECT 'order_count', CAST(s.status AS VARCHAR), count(DISTINCT o.order_id) FROM orders_2 o LEFT JOIN shop_sessions s USING (session_id) GROUP BY ALL
+       UNION ALL SELECT 'low_stock_count', state, count(DISTINCT CASE WHEN quantity_on_hand <= reorder_point THEN stock_id END)
+         FROM stock_2 LEFT JOIN locations USING (location_id) GROUP BY ALL
+       UNION ALL SELECT 'analysis_count', loyalty_tier, count(DISTINCT analysis_id) FROM analyses_2 LEFT JOIN customers USING (customer_id) GROUP BY ALL""",
+    "reviews mentions influencers variants products shop_orders shop_sessions stock locations customers",
+)
+def _(d):
+    """Distinct counts over tables that hold an id twice, with the same reference or another one."""
+    c = F.col
+
+    def again(df, test, **changed):
+        return df.unionByName(df.filter(test).withColumns(changed))
+
+    reviews = again(d.reviews, c("rating") >= 4, product_id=c("product_id") + (c("rating") == 5).cast("long"))
+    mentions = again(d.mentions, c("mention_id") % 3 == 0, product_id=c("product_id") + 1)
+    influencers = again(d.influencers, F.lit(True), product_id=c("product_id"))
+    variants = again(d.variants, c("variant_id") % 2 == 0, product_id=c("product_id") + 1)
+    orders = again(d.shop_orders, c("order_id") % 4 == 0, session_id=c("session_id") + 1)
+    stock = again(d.stock, c("product_id") % 2 == 0, location_id=c("location_id") + 1)
+    analyses = d.documents.select(c("doc_id").alias("analysis_id"), c("doc_id").alias("customer_id"))
+    analyses = again(analyses, F.lit(True), customer_id=c("customer_id") + 1)
+    shop = M.cart_view(d.shop_sessions, d.shop_items, orders, d.shop_items.select("order_id", "product_id"), d.promotions.select("promotion_id"), d.products)
+    seen = M.social_view(reviews, mentions, influencers, d.trends, d.products)
+    shades = M.product_view(d.products, variants, d.price_history, d.promotions)
+    asked = [
+        (seen, "review_count", "product.category"), (seen, "mention_count", "product.category"), (seen, "influencer_mention_count", "product.category"),
+        (shades, "variant_count", "product.category"), (shop, "order_count", "session.status"),
+        (M.inventory_view(d.locations, stock, d.products), "low_stock_count", "location.state"),
+        (M.customer_view(d.customers, analyses), "analysis_count", "customer.loyalty_tier"),
+    ]
+    out = [view.query([name], {"dim": dim}).select(F.lit(name).alias("metric"), "dim", c(name).alias("value")) for view, name, dim in asked]
+    return reduce(lambda a, b: a.unionByName(b), out)

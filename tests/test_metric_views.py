@@ -36,6 +36,21 @@ def test_slices_add_up_and_distinct_is_recounted(social):
     assert sum(p.total_engagement or 0 for p in parts) == 9
 
 
+def test_repeated_ids_count_once(rows, products):
+    reviews = rows(
+        "review_id long, product_id long, rating long", (1, 1, 5), (1, 1, 5), (2, 1, 3), (3, 2, 1), (3, 3, 1), (4, 1, 2), (4, 2, 2), (None, 3, 4), (5, None, 1),
+    )
+    none = rows("mention_id long, product_id long, likes long, comments long, shares long, is_viral boolean")
+    view = M.social_view(reviews, none, none, none, products)
+    assert view.query(["review_count"]).first()[0] == 5
+    assert answers(view.query(["review_count"], ["product.category"])) == [("face", 2), ("lips", 3), (None, 1)]
+    assert answers(view.query(["review_count"], ["product.name"])) == [("a", 3), ("b", 2), ("c", 1), (None, 1)]
+    assert view.query(["review_count"], where={"product.category": lambda c: c == "face"}).first()[0] == 2
+    assert answers(view.query(["review_count"], ["product.name"], {"product.name": lambda c: c == "none"})) == []
+    blank = M.social_view(reviews.filter("review_id is null"), none, none, none, products)
+    assert answers(blank.query(["review_count"], ["product.category"])) == [("face", 0)]
+
+
 def test_filters_and_limits(social):
     got = social.query(["average stars"], ["product.brand"], {"product.category": lambda c: c == "lips"})
     assert answers(got) == [("X", 4.0)]
