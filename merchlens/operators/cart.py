@@ -187,12 +187,15 @@ def cart_pages(sessions: DataFrame, items: DataFrame, page_rows: int = 1000, chu
     )
 
 
-def checkout(log: DataFrame, products: DataFrame, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
+def checkout(
+    log: DataFrame, products: DataFrame, chunk_rows: int = CHUNK_ROWS, tile_orders: int = 1024
+) -> tuple[DataFrame, DataFrame]:
     """(orders, order_items). Every checkout copies the lines open at that moment; an empty cart gives a
     0-total order and a second checkout copies the cart again.
 
-    Per line only the last state before each checkout is kept, as a span of checkouts it is part of; the
-    spans are then opened into order items without joining lines to checkouts.
+    Per line only the last state before each checkout is kept, as a span of checkouts it is part of. Spans are cut
+    where tiles of ``tile_orders`` checkouts end, and each piece meets the checkouts of its tile: a line that stays open
+    over many checkouts is worked on in as many places, and no row lists them.
     """
     seq = [F.col("seq")]
     counted = running(
@@ -209,9 +212,14 @@ def checkout(log: DataFrame, products: DataFrame, chunk_rows: int = CHUNK_ROWS)
     ).filter("state.command <> 'remove'")
     ends = log.filter("command = 'checkout'").groupBy("session_id").agg(F.count("*").alias("__orders"))
     closed = spans.join(ends, "session_id").withColumn("__until", F.coalesce("__until", "__orders"))
-    sold = closed.filter("__until > orders_before").withColumn(
-        "order_ordinal", F.explode(F.sequence(F.col("orders_before") + 1, F.col("__until")))
-    )
+    tile = lambda ordinal: F.floor(ordinal / tile_orders)
+    pieces = closed.filter("__until > orders_before").withColumn(
+        "__tile", F.explode(F.sequence(tile(F.col("orders_before") + 1), tile(F.col("__until"))))
+    )
+    ordinal = F.col("orders_before") + 1
+    made = counted.filter("command = 'checkout'").select("session_id", ordinal.alias("order_ordinal"), tile(ordinal).alias("__tile"))
+    inside = F.col("order_ordinal").between(F.col("orders_before") + 1, F.col("__until"))
+    sold = pieces.join(made, ["session_id", "__tile"]).filter(inside).drop("__tile", "orders_before")
     lines = _lines(commands).select(*LINE, "add_seq", "product_id", "variant_id", "product_name", "unit_price_cents")
     order_id = uuid_from(F.col("session_id"), F.col("order_ordinal"))
     order_items = sold.join(lines, LINE).select(

@@ -7,15 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from merchlens.functions.text import words
-from merchlens.operators.spread import top_k
+from merchlens.operators.spread import join_salted, top_k
 from merchlens.session import settled
 
 K1, B = 1.2, 0.75
 SCORE_PLACES = 6
-# A word's postings are cut into pieces of about this many rows, so a common word is no single task.
-PIECE_ROWS = 65_536
-# Rarest words scored first to learn how good the k-th answer is at least.
-LEAD_WORDS = 3
 
 
 @dataclass(frozen=True)
@@ -74,79 +70,24 @@ def _idf(df: Column, n: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def search(
-    index: TextIndex, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None
-) -> DataFrame:
+def search(index: TextIndex, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
     """Exact BM25 top ``k`` per ``queries(query_id, text)`` as (query_id, rank, id, score).
 
-    ``allowed(id)`` restricts the answers, not the statistics. Rare words are scored first; a common word
-    whose whole remaining weight cannot lift a document into the top k never brings in documents by
-    itself and is only looked up for those already found.
+    ``allowed(id)`` restricts the answers, not the statistics. The postings of the words asked for meet the queries
+    that ask for them, a common word's in several places, and one sum per query and document ranks them.
     """
     corpus = _corpus(index)
-    n = corpus.select("n").scalar()
-    avgdl = corpus.select("avgdl").scalar()
+    n, avgdl = corpus.select("n").scalar(), corpus.select("avgdl").scalar()
     wanted = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    # The only scan of the index: postings of the words that are asked for.
+    # The only scan of the index; three steps start from it.
     found = settled(index.postings.join(wanted.select("term").distinct(), "term", "left_semi"), "asked-postings")
-    dfs = found.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = wanted.join(dfs, "term").withColumn("idf", _idf(F.col("df"), n)).withColumn("most", F.col("idf") * (K1 + 1))
-    weighted = settled(weighted, "query-words")
-
-    pieces = F.ceil(F.col("df") / PIECE_ROWS).cast("int")
+    weights = found.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", _idf(F.col("df"), n))
     postings = found if allowed is None else found.join(allowed.select("id"), "id", "left_semi")
-    cut = weighted.select("term", pieces.alias("pieces")).distinct()
-    postings = postings.join(cut, "term").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
-    length_norm = K1 * (1 - B + B * F.col("dl") / avgdl)
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + length_norm)
-    hits = postings.select("id", "term", "piece", gain.alias("gain"))
-
-    def scored(terms: DataFrame) -> DataFrame:
-        spread = terms.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-        return (
-            spread.join(hits, ["term", "piece"])
-            .groupBy("query_id", "id")
-            .agg(F.sum(F.col("idf") * F.col("gain")).alias("score"))
-        )
-
-    lead = top_k(weighted, ["query_id"], [F.col("idf").desc(), F.col("term")], LEAD_WORDS, "__r").drop("__r")
-    kth = top_k(scored(lead), ["query_id"], [F.col("score").desc()], k, "__r").filter(F.col("__r") == k)
-    bar = kth.select("query_id", (F.col("score") - 10.0**-SCORE_PLACES).alias("bar"))
-
-    # One row per query: its words by rising weight, and how many of the lightest stay under the bar.
-    plans = settled(
-        weighted.groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(F.struct("most", "idf", "term", "df"))).alias("terms"))
-        .join(bar, "query_id", "left")
-        .withColumn(
-            "light",
-            F.aggregate(
-                "terms",
-                F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("count")),
-                lambda acc, t: F.when(
-                    acc["sum"] + t["most"] < F.coalesce("bar", F.lit(0.0)),
-                    F.struct((acc["sum"] + t["most"]).alias("sum"), (acc["count"] + 1).alias("count")),
-                ).otherwise(F.struct(F.lit(float("inf")).alias("sum"), acc["count"].alias("count"))),
-            )["count"],
-        ),
-        "query-plans",
-    )
-    light_terms = F.slice("terms", F.lit(1), F.col("light"))
-    light = plans.filter("light > 0").select("query_id", light_terms.alias("lights"), F.aggregate(light_terms, F.lit(0.0), lambda s, t: s + t["most"]).alias("rest"), "bar")
-    heavy = plans.select("query_id", F.explode(F.slice("terms", F.col("light") + 1, F.size("terms"))).alias("t")).select(
-        "query_id", F.col("t.term").alias("term"), F.col("t.idf").alias("idf"), F.col("t.df").alias("df")
-    )
-    base = settled(scored(heavy), "first-scores")
-    open_docs = base.join(light, "query_id").filter(F.col("score") + F.col("rest") >= F.col("bar"))
-    extra = (
-        open_docs.select("query_id", "id", F.explode("lights").alias("t"))
-        .select("query_id", "id", F.col("t.term").alias("term"), F.col("t.idf").alias("idf"))
-        .join(hits.select("id", "term", "gain"), ["id", "term"])
-        .groupBy("query_id", "id")
-        .agg(F.sum(F.col("idf") * F.col("gain")).alias("score"))
-    )
-    total = base.unionByName(extra).groupBy("query_id", "id").agg(F.round(F.sum("score"), SCORE_PLACES).alias("score"))
-    return top_k(total, ["query_id"], [F.col("score").desc(), F.col("id")], k).select("query_id", "rank", "id", "score")
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    gains = postings.select("id", "term", gain.alias("gain"))
+    met = join_salted(gains, wanted.join(weights, "term"), "term", ["id"])
+    scores = met.groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * F.col("gain")), SCORE_PLACES).alias("score"))
+    return top_k(scores, ["query_id"], [F.col("score").desc(), F.col("id")], k).select("query_id", "rank", "id", "score")
 
 
 def exclude_term(products: DataFrame, postings: DataFrame, term: str, key: str = "product_id") -> DataFrame:

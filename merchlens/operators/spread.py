@@ -87,3 +87,26 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     """First ``k`` rows per key. Spark trims each key to ``k`` rows before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+
+
+def hot_keys(df: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """(key, salts) of the keys that hold more than 1/``share`` of the rows: fewer than ``share`` rows, so fit to broadcast.
+
+    ``salts`` is how many times that share a key holds.
+    """
+    total = df.select(F.count(key).alias("n")).scalar()
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    return counts.filter(F.col("__n") * share > total).select(key, F.ceil(F.col("__n") * share / total).cast("int").alias("salts"))
+
+
+def join_salted(many: DataFrame, few: DataFrame, key: str, by: Sequence[str], share: int = 1000) -> DataFrame:
+    """Inner join on ``key`` where a key may hold a large part of ``many``: its rows are dealt out by a hash of ``by``.
+
+    Rows of ``few`` with such a key are repeated for each place; all other keys stand in one.
+    """
+    hot = F.broadcast(hot_keys(many, key, share))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = many.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*by), salts.cast("long"))).drop("salts")
+    places = F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long")))
+    repeated = few.join(hot, key, "left").withColumn("__salt", places).drop("salts")
+    return dealt.join(repeated, [key, "__salt"]).drop("__salt")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from merchlens.functions.text import base_name, joined_blank, sku_from_path, without_quotes, words
 from merchlens.operators import content as T, labels as L, mentions as G, search as S, tool_results as R, transcripts as H
-from merchlens.operators.infer import batch_infer, infer_totals
+from merchlens.operators.infer import batch_infer, infer_in_batches, infer_totals
 from merchlens.operators.spread import top_k
 from merchlens.session import scratch_path
 from merchlens.sources.files import STAGE_PREFIX, resolve_label_paths, unprocessed_files
@@ -85,17 +85,9 @@ def index(d):
     return S.build_index(d.documents, "doc_id", "text")
 
 
-STORED: dict[tuple[str, str], str] = {}
-
-
 def stored_index(d):
-    """The index of a folder's documents, written once per Spark application and then read."""
-    key = (d.spark.sparkContext.applicationId, d.folder)
-    if key not in STORED:
-        path = scratch_path(d.spark, "text-index")
-        S.save_index(index(d), path)
-        STORED[key] = path
-    return S.load_index(d.spark, STORED[key])
+    """The index of a folder's documents as a table, as a search service would keep it."""
+    return S.save_index(index(d), scratch_path(d.spark, "text-index"))
 
 
 def asked(d):
@@ -272,6 +264,20 @@ def _(d):
     return batch_infer(d.documents, "doc_id", "text", longest_word)
 
 
+def longest_words(texts):
+    """All texts of a call, or none: one that is too long fails the call."""
+    return [longest_word(text) for text in texts]
+
+
+@query(
+    "batch_infer_bisected",
+    """SELECT doc_id, length(text) <= 4000 AS success, CASE WHEN length(text) <= 4000 THEN CAST(length(text) AS VARCHAR) END AS result,
+       CASE WHEN length(text) > 4000 THEN 'too long' END AS error FROM documents""",
+)
+def _(d):
+    return infer_in_batches(d.documents, "doc_id", "text", longest_words, 32)
+
+
 @query(
     "batch_infer_totals",
     """SELECT count(*) FILTER (length(text) <= 4000) AS processed, count(*) FILTER (length(text) > 4000) AS failed,

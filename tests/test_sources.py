@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from merchlens.operators import quality as Q
-from merchlens.operators.infer import batch_infer, infer_totals
+from merchlens.operators.infer import batch_infer, bisected, infer_in_batches, infer_totals
 from merchlens.sources import catalog, files
 from merchlens.sources.csv import load_csv, with_defaults
 from tests.conftest import answers
@@ -80,6 +80,29 @@ def test_file_registry_and_paths(spark, rows, tmp_path):
     assert answers(encoded) == [("a", "aGk=", None), ("b", None, "ERROR: no content in b")]
 
 
+def test_failing_batches_are_halved(rows):
+    calls = []
+
+    def model(values):
+        calls.append(len(values))
+        if any(v == "bad" for v in values):
+            raise ValueError("no " + str(values.index("bad") >= 0))
+        return [v.upper() for v in values]
+
+    values = [f"v{i}" for i in range(64)]
+    assert bisected(values, model) == ([v.upper() for v in values], [None] * 64) and calls == [64]
+    calls.clear()
+    values[37] = "bad"
+    results, errors = bisected(values, model)
+    assert len(calls) == 13 and [i for i, e in enumerate(errors) if e] == [37] and results[36:39] == ["V36", None, "V38"]
+    assert bisected([], model) == ([], []) and bisected(["a", "b"], lambda values: ["one"])[1] == [None, None]
+    assert bisected(["a"], lambda values: [])[1] == ["0 results for 1 values"]
+    got = infer_in_batches(rows("id long, body string", (1, "ok"), (2, "bad"), (3, None), (4, ""), (5, "x")), "id", "body", lambda vs: [v[::-1] if v != "bad" else 1 / 0 for v in vs], 3)
+    assert answers(got) == [
+        (1, True, "ko", None), (2, False, None, "division by zero"), (3, False, None, "No image provided"), (4, False, None, "No image provided"), (5, True, "x", None),
+    ]
+
+
 def test_inference_keeps_going_after_errors(rows):
     def model(text):
         if text == "bad":

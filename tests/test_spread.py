@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from merchlens.operators.spread import following, latest_by, running, seq_chunk, top_k
+from merchlens.operators.spread import following, hot_keys, join_salted, latest_by, running, seq_chunk, top_k
 from tests.conftest import answers
 
 
@@ -52,3 +52,14 @@ def test_top_k_is_trimmed_before_the_shuffle(rows):
     assert [r.v for r in best.orderBy("rank").collect()] == [49, 48, 47]
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_hot_keys_are_dealt_out(spark, rows):
+    """One key holds all but a few rows: its rows meet the other side in many places, and none is lost."""
+    many = spark.range(5000).select("id", F.when(F.col("id") < 4900, "hot").when(F.col("id") < 4990, F.col("id").cast("string")).alias("key"))
+    few = rows("key string, name string", ("hot", "a"), ("hot", "b"), ("4950", "c"), ("none", "d"), (None, "e"))
+    want = answers(many.join(few, "key"), "id", "name")
+    assert len(want) == 9801 and answers(join_salted(many, few, "key", ["id"], share=20), "id", "name") == want
+    hot = hot_keys(many, "key", share=20).collect()
+    assert [(r.key, r.salts) for r in hot] == [("hot", 20)]
+    assert answers(join_salted(many.limit(0), few, "key", ["id"])) == [] == answers(join_salted(many, few.limit(0), "key", ["id"]))
