@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from merchlens.llm.common import batch_of
-from merchlens.llm.tokens import WordTokenizer
+from merchlens.llm.tokens import shared_tokenizer
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -116,7 +116,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordTokenizer(tokenizer), LevelPacker(capacity, max_open)
+        words, packer = shared_tokenizer(tokenizer), LevelPacker(capacity, max_open)
         sequence, out = TaskContext.get().partitionId() << 40, []
 
         def told(windows: Iterator[list[Piece]]) -> None:

@@ -1,7 +1,7 @@
 """Token ids of whole texts, one white-space word at a time.
 
 The pre-tokenizer never joins characters across white space, so the ids of a text are those of its words in
-order. Words repeat, so every Python worker keeps a bounded table of words already cut. A word made of plain
+order. Words repeat, so every Python worker keeps a bounded table of words already cut, over all its tasks. A word made of plain
 Latin letters, digits and signs is cut here into the tokenizer's own pieces and each piece goes straight to the
 tokenizer's model; any other word goes through the whole tokenizer.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from functools import lru_cache
 
 import numpy as np
 
@@ -74,6 +75,10 @@ class WordTokenizer:
         found = self._words.recall(raw)
         if found is not None:
             return found
+        if raw.isalpha() and len(raw) <= 64:  # ASCII letters are one piece
+            found = self._piece(raw.decode().lower())
+            self._words.put(raw, found)
+            return found
         word = raw.decode("utf-8", "replace")
         if len(word) >= 100 or not _PLAIN.fullmatch(word) or "<|" in word:
             found = _packed(self._whole.encode(word, add_special_tokens=False).ids)
@@ -93,5 +98,11 @@ class WordTokenizer:
         return np.frombuffer(b"".join(out), "<u4")
 
 
+@lru_cache(maxsize=2)
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this Python worker, with the words it has met in earlier tasks."""
+    return WordTokenizer(path)
+
+
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
