@@ -194,38 +194,23 @@ def test_language_model(spark, odd_docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # better on texts it hasn't seen
 
 
-def test_model_probabilities_sum_to_one():
-    rng = np.random.default_rng(2)
-    triples = rng.integers(0, 1000, 400)
-    model = lm.train(np.unique(triples), np.ones(len(np.unique(triples))), 10, draws=4096)
-    pairs = np.array([(a, b) for a in range(10) for b in range(10)])
-    scores = model.predicted(pairs) @ model.word.T + model.bias - model.log_normaliser(pairs)[:, None]
-    assert np.allclose(np.exp(scores).sum(1), 1)
-
-
-def test_every_training_triple_teaches(spark):
-    """Each triple stands once, so any draw of the most frequent ones would leave words out."""
-    rows = [(d, " ".join(f"w{d}x{i}" for i in range(9))) for d in range(400)]
-    numbering = lm.Numbering(words := [w.encode() for _, text in rows for w in text.split()])
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    unigram = numbering.unigram([1] * len(words), 400, 4_000)
-    before = lm.LogBilinear.start(unigram)
-    after = lm.one_pass(docs, before, numbering, unigram, 0)
-    moved = (after.context != before.context).any(1)
-    assert [bool(moved[numbering.ids[w]]) for w in words] == [not lm.held_out(d) for d, _ in rows for _ in range(9)]
-
-
-def test_vocabulary_follows_the_corpus(spark):
-    """Every word of a corpus is known, and scores are the same whether their counts are in the table or joined."""
-    rng = random.Random(4)
-    names = [f"word{i}" for i in range(3_000)]
-    rows = [(d, " ".join(names[(start + i) % 3_000] for i in range(200))) for d, start in enumerate(rng.choices(range(3_000), k=600))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2, "doc_id")
-    known, n = lm.vocabulary(lm.word_counts(docs), 20)
-    want = Counter(w.encode() for d, text in rows if not lm.held_out(d) for w in text.split())
-    assert dict(zip(known, n)) == {w: c for w, c in want.items() if c >= 20} and len(known) > 2_000
-    few, all_ = ({r.doc_id: r for r in lm.score_texts(docs, table_words=k).collect()} for k in (50, 10_000))
-    assert all(abs(few[d].score - all_[d].score) < 1e-2 and abs(few[d].base_score - all_[d].base_score) < 1e-6 for d, _ in rows)
+def test_repeated_triples_are_one_row():
+    rng = np.random.default_rng(3)
+    triples = rng.integers(0, 6, (2_000, 3))
+    rows, times = lm.distinct_triples(triples)
+    assert Counter(map(tuple, triples.tolist())) == dict(zip(map(tuple, rows.tolist()), times.tolist()))
+    assert [len(part) for part in lm.distinct_triples(triples[:0])] == [0, 0]
+
+
+def test_ends_are_counted_beyond_the_table(spark):
+    """Few texts with more frequent words than the table holds: a text's end is counted all the same."""
+    rng = random.Random(1)
+    texts = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(200))) for i in range(12)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    small, large = ({r.doc_id: r for r in lm.score_texts(docs, table_words=n).collect()} for n in (20, 200_000))
+    for i in small:
+        assert small[i].n_known == large[i].n_known == 201
+        assert abs(small[i].base_score - large[i].base_score) < 1e-6 and abs(small[i].score - large[i].score) < 1e-4
 
 
 def test_scores_are_probabilities():
@@ -234,7 +219,7 @@ def test_scores_are_probabilities():
     numbering = lm.Numbering(words)
     unigram = numbering.unigram(list(range(2_000, 500, -1)), 300, 2_000_000)
     model = lm.LogBilinear.start(unigram)
-    lm.learn(model, rng.integers(0, numbering.size, (20_000, 3)), unigram, rng)
+    lm.learn(model, rng.integers(0, numbering.size, (20_000, 3)), np.ones(20_000), unigram, rng)
     assert len(model.bounds) > 10
     scorer = lm.Scorer(model, numbering, {}, 1, 1, 1.0)
     for a, b in ((0, 0), (0, 700), (1_400, 3)):
