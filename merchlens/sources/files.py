@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from merchlens.functions.text import base_name
 
+# The message for a label that is not there, and the prefix of paths in the stage.
 MISSING_LABEL = "[Label image not available - please use LabelSearch to find products with label images]"
 STAGE_PREFIX = "@PRODUCTS.PRODUCT_MEDIA/"
 
