@@ -30,6 +30,10 @@ EMPTY_JSON = ("null", '""', "[]", "{}", "0", "0.0", "false")
 MIN_CONFIDENCE = 0.45
 # A table with one of these in its column names holds products.
 PRODUCT_COLUMNS = ("product", "name", "brand", "price")
+# What a tool returns is told by the words in its name.
+PRODUCT_TOOLS = ("match", "product", "search", "analyst")
+CUSTOMER_TOOLS = ("identify", "customer")
+CART_TOOLS = ("cart", "acp")
 
 
 def _text(value: Column) -> Column:
@@ -165,3 +169,37 @@ def pick_match(
     people = F.transform("__items", lambda i: F.struct(*_fields(i, CUSTOMER_FIELDS), confidence(i).alias("confidence")))
     good = F.filter(people, lambda p: p["customer_id"].isNotNull() & p["first_name"].isNotNull() & (p["confidence"] > min_conf))
     return listed.select(key, F.inline_outer(F.slice(good, 1, 1))).filter("customer_id IS NOT NULL")
+
+
+def _calls(turns: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """``(key(turn_id, call), content)`` of the results whose tool's name holds one of the words, in any case."""
+    named = F.coalesce(F.lower(F.col("__result.name")), F.lit("")).rlike("|".join(words))
+    calls = turns.filter(F.size("tool_results") > 0).select("turn_id", F.posexplode("tool_results").alias("call", "__result"))
+    return calls.filter(named).select(F.struct("turn_id", "call").alias("key"), F.col("__result.content").alias("content"))
+
+
+def products_of_turns(turns: DataFrame) -> DataFrame:
+    """(turn_id, source, call, pos, product_id, name, ...): products of assembled turns.
+
+    Those of product tools come first, chosen by the tool's name, in the order of calls; then those of the turn's
+    tables. Failed turns have neither. ``source`` is 'tool' or 'table', ``call`` the place of the result or table.
+    """
+    tables = turns.filter(F.size("tables") > 0).select("turn_id", F.posexplode("tables").alias("call", "content"))
+    tables = tables.select(F.struct("turn_id", "call").alias("key"), "content")
+    told = normalize_products(_calls(turns, PRODUCT_TOOLS)).withColumn("source", F.lit("tool")).unionByName(
+        normalize_tables(tables).withColumn("source", F.lit("table"))
+    )
+    return told.select("key.turn_id", "source", "key.call", "pos", *[name for name, *_ in PRODUCT_FIELDS])
+
+
+def customer_of_turns(turns: DataFrame, min_conf: float = MIN_CONFIDENCE, compat: bool = False) -> DataFrame:
+    """The customer that each assembled turn has identified: of several identifying calls the last with a match counts."""
+    found = pick_match(_calls(turns, CUSTOMER_TOOLS), min_conf=min_conf, compat=compat)
+    row = F.struct(*[name for name, *_ in CUSTOMER_FIELDS], "confidence")
+    return found.groupBy(F.col("key.turn_id").alias("turn_id")).agg(F.max_by(row, "key.call").alias("__row")).select("turn_id", "__row.*")
+
+
+def cart_of_turns(turns: DataFrame) -> DataFrame:
+    """(turn_id, cart_update): the last readable result of a cart tool in each assembled turn, as JSON text."""
+    calls = _calls(turns, CART_TOOLS).withColumn("__v", J.strict_variant(F.col("content"))).filter("__v IS NOT NULL")
+    return calls.groupBy(F.col("key.turn_id").alias("turn_id")).agg(F.max_by(F.to_json("__v"), "key.call").alias("cart_update"))

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from merchlens.sources.csv import headers, load_csv, raw_csv
+from merchlens.sources.csv import load_csv
 
 
 @dataclass(frozen=True)
@@ -116,18 +116,18 @@ def column_type(table: str, column: str) -> T.DataType:
     return T.StringType()
 
 
-def schema_for(table: str, columns: Iterable[str]) -> T.StructType:
-    return T.StructType([T.StructField(c.lower(), column_type(table, c)) for c in columns])
-
-
-def load_table(spark: SparkSession, table: str, path: str, multi_line: bool = False) -> DataFrame:
-    """Load one table's CSV files; names come from the files' headers, types from the naming rule."""
+def load_table(
+    spark: SparkSession, table: str, path: str, multi_line: bool = False, types: dict[str, T.DataType] | None = None
+) -> DataFrame:
+    """Load one table's CSV files; names come from the files' headers, types from ``types`` or else the naming rule."""
     if table not in TABLES:
         raise KeyError(f"unknown table {table}")
-    columns: dict[str, None] = {}
-    for files in headers(spark, path).values():
-        columns |= dict.fromkeys(c.strip().lower() for c in raw_csv(spark, files[:1], multi_line).columns)
-    return load_csv(spark, path, schema_for(table, columns), multi_line=multi_line)
+    given = {name.lower(): kind for name, kind in (types or {}).items()}
+
+    def schema(columns: list[str]) -> T.StructType:
+        return T.StructType([T.StructField(c, given.get(c, column_type(table, c))) for c in columns])
+
+    return load_csv(spark, path, schema, multi_line=multi_line)
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:

@@ -246,7 +246,7 @@ def _(d):
 
 @query(
     "similar_entities",
-    """WITH src AS (SELECT customer_id AS source_id, embedding FROM people_vectors WHERE is_active AND is_primary
+    """WITH src AS (SELECT customer_id AS source_id, embedding FROM people_vectors WHERE is_active AND is_primary AND customer_id % 100 = 0
           QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY embedding_id) = 1),
         pairs AS (SELECT source_id, e.embedding_id, c.*, list_cosine_similarity(src.embedding, e.embedding) AS s
           FROM src CROSS JOIN people_vectors e JOIN customers c USING (customer_id) WHERE e.is_active AND c.is_active AND customer_id <> source_id)
@@ -255,7 +255,7 @@ def _(d):
     "people_vectors customers",
 )
 def _(d):
-    sources = d.people_vectors.select(F.col("customer_id").alias("source_id"))
+    sources = d.people_vectors.filter("customer_id % 100 = 0").select(F.col("customer_id").alias("source_id"))
     r = S.similar_entities(sources, d.people_vectors, d.customers, dim=64)
     return r.withColumn("similarity_score", F.round("similarity_score", 4))
 

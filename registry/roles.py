@@ -135,11 +135,11 @@ ROLES = {
           vec_id % 7 <> 0 AS is_active, vec_id % 2 = 0 AS is_primary
         FROM embeddings
         UNION ALL
-        SELECT 1000000000 + a.vec_id, a.vec_id + 1, <zip8>, a.vec_id % 5 <> 0, a.vec_id % 3 = 0
+        SELECT 1000000000 + a.vec_id, a.vec_id + 1, <zip8>, a.vec_id % 5 <> 1, a.vec_id % 3 = 0
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 2""",
     "query_vectors": """
         SELECT a.vec_id AS query_id, CASE a.vec_id % 3 WHEN 0 THEN <zip8> WHEN 1 THEN <zip7> ELSE <zip55> END AS embedding
-        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 100 = 0""",
     "pixels": """
         SELECT CAST(floor(doc_id / 4) AS BIGINT) AS image_id, CASE WHEN doc_id % 3 = 2 THEN 'lip' ELSE 'skin' END AS region,
           CAST(n_chars % 100 AS INT) AS x, CAST(n_chars % 70 AS INT) AS y, 90 AS w, 64 AS h,

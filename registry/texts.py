@@ -435,6 +435,58 @@ def _(d):
     return R.normalize_products(rows.select("key", F.expr(text).alias("content")))
 
 
+def tool_turns(d):
+    """Each user's events as one turn of tool calls, whose names tell what they return; errors bring a table."""
+    k, ident = F.get_json_object("props", "$.k"), F.col("event_id").cast("string")
+    item = F.concat(F.lit('{"name":"N'), ident, F.lit('","price":'), k, F.lit("}"))
+    content = (
+        F.when(F.col("event_type") == "click", F.concat(F.lit('{"matches":[{"customer_id":"c'), ident, F.lit('","first_name":"F","match_confidence":0.3},{"customer_id":"d'), ident, F.lit('","first_name":"G","distance":0.'), k, F.lit("}]}")))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit('{"total":'), k, F.lit("}")))
+        .when(F.col("event_type") == "error", F.concat(F.lit('{"columns":["NAME"],"rows":[["T'), ident, F.lit('"]]}')))
+        .otherwise(F.concat(F.lit("["), item, F.lit("]")))
+    )
+    name = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "MatchProducts", "click", "IdentifyPerson", "purchase", "ACP_Update", "signup", "Weather")]), F.col("event_type"))
+    return H.assemble_turns(d.events.select(
+        F.col("user_id").alias("turn_id"), F.col("event_id").alias("seq"),
+        F.when(F.col("event_type") == "error", H.TABLE).otherwise(H.RESULT).alias("event_type"),
+        F.to_json(F.struct(name.alias("name"), content.alias("content"))).alias("payload"),
+    ))
+
+
+CALLS = """calls AS (SELECT user_id AS turn_id, event_id, event_type, props->>'$.k' AS k,
+    CAST(row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY event_id) - 1 AS INT) AS call FROM events)"""
+
+
+@query(
+    "tool_products_by_name",
+    f"""WITH {CALLS} SELECT turn_id, CASE event_type WHEN 'view' THEN 'tool' ELSE 'table' END AS source, call, 0 AS pos,
+         CASE event_type WHEN 'view' THEN 'N' ELSE 'T' END || event_id AS name, CASE event_type WHEN 'view' THEN CAST(k AS DOUBLE) ELSE 0 END AS price
+       FROM calls WHERE event_type IN ('view', 'error')""",
+)
+def _(d):
+    return R.products_of_turns(tool_turns(d)).select("turn_id", "source", "call", "pos", "name", "price")
+
+
+@query(
+    "tool_customer_by_name",
+    f"""WITH {CALLS} SELECT turn_id, 'd' || event_id AS customer_id, 'G' AS first_name, round(1 - CAST('0.' || k AS DOUBLE), 6) AS confidence
+       FROM calls WHERE event_type = 'click' AND 1 - CAST('0.' || k AS DOUBLE) > 0.45
+       QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY call DESC) = 1""",
+)
+def _(d):
+    found = R.customer_of_turns(tool_turns(d))
+    return found.select("turn_id", "customer_id", "first_name", F.round("confidence", 6).alias("confidence"))
+
+
+@query(
+    "tool_cart_by_name",
+    f"""WITH {CALLS} SELECT turn_id, '{{"total":' || k || '}}' AS cart_update FROM calls WHERE event_type = 'purchase'
+       QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY call DESC) = 1""",
+)
+def _(d):
+    return R.cart_of_turns(tool_turns(d))
+
+
 @query(
     "normalize_table_json",
     """WITH e AS (SELECT event_id AS key, event_type, CAST(props->>'$.k' AS BIGINT) AS k FROM events)

@@ -178,3 +178,25 @@ def test_trending_counts_every_window_once(rows):
 def test_ledger(rows, chunk):
     ledger = rows("seq long, stock_id long, quantity long, quantity_before long, quantity_after long", (1, 1, 5, 0, 5), (2, 2, 1, 0, 2), (3, 1, -2, 5, 3), (4, 1, 1, 4, 5))
     assert answers(ledger_check(ledger, chunk)) == [(1, 3, 4, 0, 1, 5), (2, 1, 1, 1, 0, 2)]
+
+
+def test_tools_are_chosen_by_name(spark):
+    rows = [
+        (1, 1, "response.tool_result", '{"name":"ANALYST","content":[{"name":"A"}]}'),
+        (1, 2, "response.tool_result", '{"name":"weather","content":[{"name":"not a product"}]}'),
+        (1, 3, "response.tool_result", '{"content":[{"name":"no tool"}]}'),
+        (1, 4, "response.table", '{"content":{"columns":["brand","name"],"rows":[["b","B"]]}}'),
+        (1, 5, "response.tool_result", '{"name":"Identify","content":{"matches":[{"customer_id":"c","first_name":"F","distance":0.1}]}}'),
+        (1, 6, "response.tool_result", '{"name":"get_customer","content":{"matches":[{"customer_id":"d","first_name":"G","match_confidence":0.9}]}}'),
+        (1, 7, "response.tool_result", '{"name":"customer","content":{"matches":[{"customer_id":"e","first_name":"H","match_confidence":0.2}]}}'),
+        (1, 8, "response.tool_result", '{"name":"add_to_cart","content":{"n":1}}'),
+        (1, 9, "response.tool_result", '{"name":"acp_update","content":{"n":2}}'),
+        (1, 10, "response.tool_result", '{"name":"cart","content":"not json"}'),
+        (2, 1, "response.tool_result", '{"name":"search","content":[{"name":"lost"}]}'),
+        (2, 2, "error", '{"message":"broken"}'),
+        (3, 1, "response.text.delta", '{"text":"no tools"}'),
+    ]
+    turns = H.assemble_turns(spark.createDataFrame(rows, "turn_id int, seq int, event_type string, payload string"))
+    assert answers(R.products_of_turns(turns).select("turn_id", "source", "call", "pos", "name")) == [(1, "table", 0, 0, "B"), (1, "tool", 0, 0, "A")]
+    assert answers(R.customer_of_turns(turns).select("turn_id", "customer_id", "confidence")) == [(1, "d", 0.9)]
+    assert answers(R.cart_of_turns(turns)) == [(1, '{"n":2}')]

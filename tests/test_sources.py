@@ -11,7 +11,7 @@ from pyspark.sql import functions as F, types as T
 from merchlens.operators import quality as Q
 from merchlens.operators.infer import batch_infer, bisected, infer_in_batches, infer_totals
 from merchlens.sources import catalog, files
-from merchlens.sources.csv import load_csv, with_defaults
+from merchlens.sources.csv import header_lines, load_csv, with_defaults
 from tests.conftest import answers
 
 PLACES = '''LOCATION_ID,Name,OPERATING_HOURS,IS_ACTIVE,LATITUDE,CREATED_AT,EXTRA
@@ -162,3 +162,29 @@ print("rows", entry.queries()["vector_topk_l2"](spark, "/root/testdata/sf0.001")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0 and "rows" in done.stdout, done.stderr[-2000:]
+
+
+def test_headers_are_read_without_the_rest_of_the_file(spark, tmp_path):
+    with open(tmp_path / "long.csv", "w") as out:
+        out.write("\ufeffid,name\n")
+        out.writelines(f"{i},{'x' * 100}\n" for i in range(200_000))
+    for i in range(40):
+        (tmp_path / f"s{i}.csv").write_text(f"\nname,id\nn{i},{i}\n" if i % 2 else f"id,name\n{i},n{i}\n")
+    (tmp_path / "none.csv").write_text("")
+    assert answers(header_lines(spark, str(tmp_path)).groupBy("header").count()) == [("id,name", 21), ("name,id", 20)]
+    got = load_csv(spark, str(tmp_path), "id long, name string")
+    assert sorted(answers(got.filter("name like 'n%'"))) == [(i, f"n{i}") for i in range(40)]
+    assert got.count() == 200_040
+
+
+def test_quoted_and_repeated_header_names(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"a,b",c,C\n1,2,3\n4,5\n')
+    got = load_csv(spark, str(tmp_path), T.StructType([T.StructField("a,b", T.LongType()), T.StructField("c", T.LongType())]))
+    assert answers(got) == [(1, 2), (4, 5)]
+    assert answers(load_csv(spark, str(tmp_path), lambda names: T.StructType([T.StructField(n, T.StringType()) for n in names[:1]]))) == [("1",), ("4",)]
+
+
+def test_types_may_be_given(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("product_id,sort_order\np,first\n")
+    assert answers(catalog.load_table(spark, "products", str(tmp_path))) == [("p", None)]
+    assert answers(catalog.load_table(spark, "products", str(tmp_path), types={"Sort_Order": T.StringType()})) == [("p", "first")]
