@@ -1,5 +1,7 @@
 from collections import Counter
 
+import random
+import time
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +128,32 @@ def test_many_rules_join_without_python(spark):
     assert sorted(map(tuple, judged.collect())) == sorted((r.page_id, *brute_url(r.url, usable)) for r in pages.collect())
     plan = judged._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_rules_of_mixed_lengths(spark):
+    rng = random.Random(3)
+    hosts = ["net", "b.net", "a.b.net", ".net", "a..net", "com", "x.com", "é.com"]
+    pieces = ["", "a", "ab", "abc", "é", "aé", "b.c", "abcdefgh" * 4]
+
+    def path():
+        return "/".join(rng.choice(pieces) for _ in range(rng.randint(1, 5)))
+
+    many = sorted({("block" if rng.random() < 0.5 else "allow", f"{rng.choice(hosts)}/{path()}") for _ in range(400)})
+    many = [(v, r) for v, r in many if v == "block" or ("block", r) not in many]
+    many.sort(key=lambda m: (-m[1].index("/"), m[1]))  # of equal lengths the longer host comes first
+    addresses = [f"http://{rng.choice(['', 'w.', 'a.', 'a.b.', '.'])}{rng.choice(hosts)}/{path()}{rng.choice(['', 'a', '/', '?a/b'])}" for _ in range(1500)]
+    pages = spark.createDataFrame(list(enumerate(addresses)), "page_id long, url string")
+    got = urls.filter_urls(pages, spark.createDataFrame(many, "verdict string, rule string")).collect()
+    assert sorted(map(tuple, got)) == sorted((i, *brute_url(u, many)) for i, u in enumerate(addresses))
+    assert sum(r.rule is not None and not r.rule.endswith("/") for r in got) > 100
+
+
+def test_ten_thousand_rules_plan_quickly(spark):
+    many = [("block", f"{'s.' * (i % 5)}h{i}.net/{'d/' * (i % 7)}{'x' * (i % 90)}") for i in range(10_000)]
+    rules = spark.createDataFrame(many, "verdict string, rule string")
+    pages = spark.createDataFrame([(i, f"http://w.{r}yy?q") for i, (_, r) in enumerate(many[:200])], "page_id long, url string")
+    begun = time.monotonic()
+    judged = urls.filter_urls(pages, rules)
+    judged._jdf.queryExecution().executedPlan()
+    assert time.monotonic() - begun < 15  # the work of one pass over the rules is in it
+    assert [r.rule for r in judged.orderBy("page_id").collect()] == [r for _, r in many[:200]]
