@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from merchlens.llm.common import batch_of, small
+from merchlens.llm.common import batch_of, ranked, small
 from merchlens.session import settled
 
 #: Odd 64-bit constants of the mixing function below (fixed values).
@@ -260,13 +260,38 @@ def near_duplicates(
     )
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``__key`` of its own for every row that stays; of rows with one id and text one stays.
+
+    The key is the id where one row has it. Rows without an id, and rows that share theirs, are numbered beyond all
+    ids in the order of id and digest of the text; they alone are grouped and sorted.
+    """
+    number = F.col("doc_id").cast("long")
+    shared = docs.filter("doc_id is not null").groupBy(number.alias("__id")).agg(F.count("*").alias("__n")).filter("__n > 1")
+    shared = small(settled(shared.select("__id"), "near-shared"))
+    known = docs.filter("doc_id is not null")
+    plain = known.join(shared, number == F.col("__id"), "left_anti").withColumn("__key", number)
+    odd = known.join(shared, number == F.col("__id"), "left_semi").unionByName(docs.filter("doc_id is null"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("__digest")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    one = odd.groupBy(number.alias("__id"), digest).agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    placed = ranked(one, [F.col("__id").asc_nulls_first(), F.col("__digest").asc()], "__place")
+    ids = docs.agg(F.max(number).alias("high"), F.min(number).alias("low"))
+    high, low = (F.coalesce(ids.select(c).scalar(), F.lit(0)) for c in ("high", "low"))
+    beyond = F.when(high < 1 << 62, high + 1 + F.col("__place")).otherwise(low - 1 - F.col("__place"))
+    return plain.unionByName(placed.select("__row.*", beyond.alias("__key")))
+
+
 def first_rows(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose id names its class, with their own columns; rows without an id stay.
+    """One row of ``docs`` for each class of near duplicates, with its own columns: that with the smallest id.
 
-    Rows that repeat the id that stays all stay.
+    Every row is a document: of rows with one id and text one stays, rows that share an id with other texts are judged
+    apart, and rows without an id take part too. In a class those stay only where all members are such rows.
     """
-    others = near_duplicates(docs, **how).filter("doc_id <> class_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(small(settled(others, "near-others")), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    rows = keyed(docs)
+    texts = rows.select(F.col("__key").alias("doc_id"), "text")
+    others = near_duplicates(texts, **how).filter("doc_id <> class_id").select(F.col("doc_id").alias("__id"))
+    return rows.join(small(settled(others, "near-others")), F.col("__key") == F.col("__id"), "left_anti").select(*docs.columns)
 
 
 def _joined(left: list, right: list | None, least: float, size: int, count: bool) -> list[tuple[int, int]]:
