@@ -31,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; documents without an id stay."""
+    """Of each group of near duplicates one document, that with the smallest id; rows without an id come last."""
     return neardup.first_rows(docs)
 
 
