@@ -34,6 +34,25 @@ def test_no_ref_meets_every_name(rows):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_pieces_of_all_lengths_and_scopes_of_all_sizes(rows):
+    """References of every length, as a brute force finds them; nothing that grows is broadcast."""
+    names = [(f"{i}", f"{w} {i * 7919 % 1000} item", 1 if i % 9 else 2) for i in range(150) for w in ("Alpha Beta", "gamma")]
+    names.append(("x", None, 2))
+    asked = sorted({(n[a : a + m], s) for _, n, s in names[:60:7] for a in (0, 3) for m in (1, 2, 3, 5, 6, 9, 12, 14)} | {("almond nowhere", 1), ("mma 9x", 2)})
+    low = [(i, n.lower() if n else "", s) for i, n, s in names]
+    found = resolve_names(rows("ref string, s int", *asked), rows("id string, name string, s int", *names), scope=["s"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.ref, r.s): r.id for r in found.collect()}
+    for ref, s in asked:
+        exact = [i for i, n, t in low if t == s and n == ref.lower()]
+        assert got[ref, s] == min(exact or [i for i, n, t in low if t == s and ref.lower() in n], default=None), ref
+    assert "Broadcast" not in plan
+    alone = resolve_names(rows("ref string", *[(r,) for r, _ in asked]), rows("id string, name string", *[n[:2] for n in names]))
+    assert "Broadcast" not in alone._jdf.queryExecution().executedPlan().toString()
+    for r in alone.collect():
+        assert r.id == min([i for i, n, _ in low if r.ref.lower() in n], default=None), r.ref
+
+
 def test_sessions(rows):
     sessions = rows(
         "session_id string, customer_id string, status string, created_at int",
