@@ -160,6 +160,21 @@ def test_promotions(rows):
     assert answers(P.active_promotions(promos, products, "2024-01-02 00:00:00")) == [(1, "A", 1), (3, "C", None)]
 
 
+def test_promotions_pair_once_without_a_shuffle_of_pairs(rows):
+    """Promotions told in several rows and kinds, products in several categories: every pair comes once."""
+    t = dt.datetime
+    when = (True, t(2024, 1, 1), t(2024, 2, 1))
+    promos = rows("promotion_id long, promo_code string, is_active boolean, start_date timestamp_ntz, end_date timestamp_ntz, product_ids array<string>, category_ids array<string>, brand_names array<string>",
+        (1, "A", *when, ["1", "1"], ["lips"], ["X"]), (1, "A", *when, None, ["face"], None), (2, "B", *when, None, ["lips", "face", None], None), (None, None, *when, None, None, ["X", "Y"]), (4, "D", *when, ["lips"], None, None))
+    products = rows("product_id long, category string, brand string", (1, "lips", "X"), (1, "face", "X"), (2, "face", None), (2, "face", None), (None, "lips", "Y"))
+    got = P.active_promotions(promos, products, "2024-01-02 00:00:00")
+    pairs = got.collect()
+    assert sorted(pairs, key=str) == sorted([(1, "A", 1), (1, "A", 2), (1, "A", None), (2, "B", 1), (2, "B", 2), (2, "B", None), (None, None, 1), (None, None, None)], key=str)
+    # The pairs of promotions and products that can meet one way only are not made distinct.
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("Union")
+    assert "Aggregate [promotion_id" not in plan[1].split("Join")[0]
+
+
 def test_shipping(rows):
     options = rows("option_id string, fulfillment_type string, price_cents long, free_threshold_cents long, is_available boolean",
         ("std", "shipping", 500, 5000, True), ("exp", "shipping", 999, 0, True), ("eco", "shipping", 300, None, True), ("off", "shipping", 0, None, False), ("pick", "pickup", 0, 0, True))
