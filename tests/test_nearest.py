@@ -137,6 +137,25 @@ def test_color_match(rows, spread):
     assert got == sorted(want, key=repr)
 
 
+def test_dense_and_sparse_colours(rows):
+    """Targets inside a dense cloud meet few points each; targets outside of it and rounded ranks are exact as well."""
+    cloud = [(r, g, b) for r in range(96, 112) for g in range(96, 112) for b in range(96, 112) if (r + g + b) % 3]
+    points = cloud + [(0, 0, 0), (255, 255, 255), (255, 255, 254)] + [(100, 100, 100)] * 9
+    shades = rows("id long, r int, g int, b int", *[(i, *p) for i, p in enumerate(points)])
+    asked = [(100, 100, 100), (104, 103, 101), (96, 111, 96), (95, 95, 95), (255, 250, 255), (0, 0, 3)]
+    targets = rows("t long, tr int, tg int, tb int", *[(i, *c) for i, c in enumerate(asked)])
+    for rounded in (False, True):
+        got = answers(nearest.color_nearest(targets, shades, 5, ["id"], rounded), "t", "rank", "id")
+        want = []
+        for t, c in enumerate(asked):
+            square = [sum((x - y) ** 2 for x, y in zip(c, p)) for p in points]
+            near = sorted((round(q**0.5, 2) if rounded else q, i) for i, q in enumerate(square))
+            want += [(t, n + 1, i) for n, (_, i) in enumerate(near[:5])]
+        assert got == sorted(want, key=repr)
+    met, rest = nearest._within_reach(targets.select("tr", "tg", "tb"), shades, 5, 0.0)
+    assert met.count() < 200 and answers(rest) == [(0, 0, 3), (255, 250, 255), (95, 95, 95)]
+
+
 def test_category_words():
     assert color_match.categories_for(None) == ("lips", "face", "eyes", "skincare")
     assert color_match.categories_for("") == ("lips", "face", "eyes", "skincare")
