@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from merchlens.operators.spread import top_k
 
 #: Queries and points that meet in one task, and queries whose scores are held at once.
-BLOCK, PIECE = 8_192, 65_536
-TILE = 256
+BLOCK, PIECE = 8_192, 16_384
+TILE = 128
 
 _FOUND = "query_id long, embedding_id long, customer_id long, score double"
 
