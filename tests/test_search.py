@@ -88,3 +88,27 @@ def test_empty_text_has_length_zero(rows):
     assert answers(index.docs) == [(1, 0), (2, 0), (3, 3)]
     assert answers(index.postings, "id", "term", "tf") == [(3, "a", 2), (3, "b", 1)]
     assert S.term_stats(index).agg(F.sum("cf")).first()[0] == 3
+
+
+def test_postings_leave_the_scan_without_a_shuffle(rows):
+    index = S.build_index(rows("id long, text string", (1, "b a b"), (2, None), (3, "a")), "id", "text")
+    assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+    assert answers(index.postings) == [(1, "a", 1, 3), (1, "b", 2, 3), (3, "a", 1, 1)]
+
+
+def test_rows_that_share_an_id_are_one_document_by_length(rows, monkeypatch):
+    docs = rows("id long, text string", (1, "a b"), (1, "B a"), (1, "a"), (None, "x y"), (None, "y z"), (2, "a a"))
+    want = sorted([(1, "a", 2, 2), (1, "b", 2, 2), (1, "a", 1, 1), (None, "x", 1, 2), (None, "y", 2, 2), (None, "z", 1, 2), (2, "a", 2, 2)], key=repr)
+    assert answers(S.postings_of(docs, "id", "text")) == want
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    assert answers(S.postings_of(docs, "id", "text")) == want
+
+
+@pytest.mark.parametrize("name, value", [("TASK_MEETINGS", 100), ("BROADCAST_ROWS", 0)])
+def test_search_is_exact_over_many_tasks_and_without_broadcast(rows, corpus, monkeypatch, name, value):
+    monkeypatch.setattr(S, name, value)
+    docs, queries = corpus
+    index = S.build_index(rows("id long, text string", *docs), "id", "text")
+    some = set(range(0, 200, 3))
+    got = S.search(index, rows("query_id long, text string", *queries), 5, rows("id long", *[(i,) for i in some]))
+    assert answers(got, "query_id", "rank", "id") == brute(docs, queries, 5, some)
