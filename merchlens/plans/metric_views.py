@@ -14,6 +14,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from merchlens.session import settled
+
+#: Rows of a table that one task groups, where groups are as fine as references.
+TASK_ROWS = 1 << 18
+
 
 @dataclass(frozen=True)
 class Metric:
@@ -127,13 +132,19 @@ class MetricView:
 
         Before any join there is one row per reference, so a hot parent is one row too. A distinct metric that needs
         other tables comes alone and keeps one row per reference and value: a value may stand with several references
-        of one group, so its counts don't add up.
+        of one group, so its counts don't add up. Where the dims show every reference, groups are as fine as references:
+        the rows are written, joined as they are and grouped once, over as many tasks as their number asks for.
         """
         picked = self._picked(table, names, dims, where)
         specs = {n: self.metrics[n] for n in names}
         rows, out = picked.rows, []
         adds = bool(picked.steps) and all(m.kind != "distinct" for m in specs.values())
-        if adds:
+        fine = adds and {r.column for r in picked.steps if r.child == table} <= {c for t, c in map(picked.wanted.get, picked.shown) if t == table}
+        if fine:
+            rows = settled(rows, "view-rows")
+            tasks = -(-rows.count() // TASK_ROWS) or 1
+            rows, adds = self._joined(rows, picked).repartition(tasks, *picked.shown), False
+        elif adds:
             partial = [c for n, m in specs.items() for c in _PARTIAL[m.kind](f"__m_{n}", F.col(f"__m_{n}"))]
             rows = self._joined(rows.groupBy(*picked.keys).agg(*partial), picked)
         elif picked.steps:

@@ -114,6 +114,24 @@ def test_low_stock_means_two_things(rows, products):
     assert view.query(["low_stock_count"]).first()[0] == 2
 
 
+def test_groups_as_fine_as_references_are_spread_by_their_number(rows, products, monkeypatch):
+    kind = "stock_id long, product_id long, location_id long, quantity_on_hand long, quantity_reserved long, reorder_point long"
+    stock = rows(kind, *[(i, i % 4, i % 3, i + 2, 1, 0) for i in range(24)], (24, 1, None, 5, 1, 0), (25, None, 1, 5, None, 0), (26, 3, 1, 2, 9, 0), (27, 3, 1, 1, 9, 0))
+    places = rows("location_id long, name string, city string", (1, "n", "c"), (1, "m", "c"), (2, "n", "d"))
+    view = M.inventory_view(places, stock, products)
+    monkeypatch.setattr(M, "TASK_ROWS", 4)
+    got = executive.stock_by_location(view)
+    assert got.rdd.getNumPartitions() == 7
+    name = {1: "a", 2: "b", 3: "c"}
+    want = []
+    for p in range(4):
+        for loc in range(3):
+            held = sum(i + 1 for i in range(24) if (i % 4, i % 3) == (p, loc)) - (15 if (p, loc) == (3, 1) else 0)
+            want.append((p, loc, name.get(p), {1: "c", 2: "d"}.get(loc), held * (2 if loc == 1 else 1)))
+    want.append((1, None, "a", None, 4))
+    assert answers(got) == sorted([w for w in want if w[4] > 0], key=repr)
+
+
 def test_top_rated_needs_enough_reviews(rows, products):
     reviews = rows("review_id long, product_id long, rating long", *[(i, 1, 5) for i in range(4)], *[(10 + i, 2, 4) for i in range(5)])
     assert answers(dashboards.top_rated(reviews, products)) == [("b", "X", 4.0, 5)]
