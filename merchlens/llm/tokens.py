@@ -50,16 +50,16 @@ class Memory:
 
 
 class WordTokenizer:
-    """Ids of texts as little-endian 32-bit arrays; at most twice ``keep`` words and pieces are remembered."""
+    """Ids of texts as little-endian 32-bit arrays; at most twice ``keep`` words and twice ``pieces`` parts of words are remembered."""
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 300_000, pieces: int = 50_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
         self._model = self._whole.model
         self._letters = _byte_letters()
-        self._words, self._pieces = Memory(keep), Memory(keep)
+        self._words, self._pieces = Memory(keep), Memory(min(keep, pieces))
 
     def _piece(self, piece: str) -> bytes:
         found = self._pieces.young.get(piece)

@@ -51,6 +51,14 @@ def test_words_give_the_tokenizers_ids(whole):
         assert words.ids(text.encode()).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_tokenizer_remembers_a_bounded_number_of_pieces(whole):
+    words = WordTokenizer(PATH)
+    text = " ".join(f"{a}{b}{c}{d}x,y" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopqrst" for d in "abcdefghijklmnopqrst")
+    assert len(words.ids(text.encode())) > 160_000
+    assert len(words._pieces.young) + len(words._pieces.old) <= 100_000
+    assert words.ids(text[:7_000].encode()).tolist() == whole.encode(text[:7_000], add_special_tokens=False).ids
+
+
 def test_pieces_cover_every_document_once_without_padding(spark, whole):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     texts = [tuple(r) for r in docs.select("doc_id", "text").collect()]
