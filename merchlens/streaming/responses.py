@@ -1,12 +1,15 @@
 """Responses assembled from a stream of their events, while they come in.
 
-State per turn: the list of its events, and when the last one came. A turn is told anew in every batch that brings
-it events, and closed by an event-time timer once the watermark has passed its last event by ``gap``.
+State per turn: the list of its events, and when the last one came; the turns of a bucket are held and told together.
+A turn is told anew in every batch that brings it events, and closed by an event-time timer once the watermark has
+passed its last event by ``gap``.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,46 +17,85 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from merchlens.operators.spread import latest_by
 from merchlens.operators.transcripts import assemble_turns
-from merchlens.streaming.states import rocks_state, triggered, write_batch
+from merchlens.streaming.states import TOLD, Deadlines, bucket_of, rocks_state, triggered, write_batch
 
-_EVENT = "seq long, event_type string, payload string"
-_OUT = f"turn_id string, {_EVENT}, closed boolean"
+_OUT = "turn_id string, seq long, event_type string, payload string, closed boolean"
+#: The fields of all events as JSON: one value goes to the state and back much faster than arrays do.
+_HELD = "last_ms long, events string"
+#: Events of a bucket that are held before they go to the state.
+_MOST = 100_000
 
 
-class _Turn(StatefulProcessor):
-    """Tells all events of a turn that got new ones; a row without an event says that the turn is closed."""
+class _Turns(StatefulProcessor):
+    """Tells all events of the turns of a bucket that got new ones; a row without an event says that a turn is closed.
+
+    A turn's deadline comes with whether the turn is closed; then nothing else is held of it.
+    """
 
     def __init__(self, gap_ms: int, keep_ms: int) -> None:
         self.gap_ms, self.keep_ms = gap_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.events = handle.getListState("events", _EVENT)
-        self.status = handle.getValueState("status", "last_ms long, closed boolean")
+        self.events = handle.getMapState("events", "turn_id string", _HELD)
+        self.deadlines = Deadlines(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, closed = self.status.get() if self.status.exists() else (0, False)
-        if closed:
-            return
+        self.deadlines.read()
+        due, held, kept, n = self.deadlines.due, {}, set(), 0
         for part in rows:
-            self.events.appendList(list(zip(part["seq"].tolist(), part["event_type"], part["payload"])))
-            last = max(last, int(part["at_ms"].max()))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last + self.gap_ms)
-        self.status.update((last, False))
-        seq, kind, payload = zip(*self.events.get())
-        yield pd.DataFrame({"turn_id": key[0], "seq": seq, "event_type": kind, "payload": payload, "closed": False})
+            for turn, at_ms, *event in zip(*[part[c].tolist() for c in ("turn_id", "at_ms", "seq", "event_type", "payload")]):
+                known = turn in due
+                if known and due[turn][1]:
+                    continue
+                if turn not in held:
+                    held[turn] = self._stored(turn) if known else [0, [], [], []]
+                    n += len(held[turn][1])
+                row = held[turn]
+                if at_ms == at_ms:  # a NULL time says nothing
+                    row[0] = max(row[0], int(at_ms))
+                due[turn] = [row[0] + self.gap_ms, False]
+                for column, value in zip(row[1:], event):
+                    column.append(value)
+                n += 1
+            if n >= _MOST:
+                self._keep(held)
+                kept |= set(held)
+                held, n = {}, 0
+        self._keep(held)
+        self.deadlines.write()
+        yield from self._told(chain(held.items(), ((turn, self._stored(turn)) for turn in kept.difference(held))))
+
+    def _stored(self, turn: str) -> list:
+        """Time of the last event and the fields of all events."""
+        last, events = self.events.getValue((turn,))
+        return [last, *json.loads(events)]
+
+    def _keep(self, held: dict[str, list]) -> None:
+        for turn, (last, *fields) in held.items():
+            self.events.updateValue((turn,), (last, json.dumps(fields, ensure_ascii=False)))
+
+    @staticmethod
+    def _told(turns: Iterator) -> Iterator[pd.DataFrame]:
+        columns = ([], [], [], [])
+        for turn, (_, *fields) in turns:
+            for column, values in zip(columns, ([turn] * len(fields[0]), *fields)):
+                column.extend(values)
+            if len(columns[0]) >= TOLD:
+                yield pd.DataFrame({**dict(zip(("turn_id", "seq", "event_type", "payload"), columns)), "closed": False})
+                columns = ([], [], [], [])
+        if columns[0]:
+            yield pd.DataFrame({**dict(zip(("turn_id", "seq", "event_type", "payload"), columns)), "closed": False})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, closed = self.status.get()
-        if closed:
-            self.status.clear()  # forgotten altogether
-            return
-        self.events.clear()
-        self.status.update((last, True))
-        self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.keep_ms)
-        yield pd.DataFrame({"turn_id": [key[0]], "seq": [-1], "event_type": [None], "payload": [None], "closed": [True]})
+        gone, closing = self.deadlines.passed(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), []
+        for turn, (ms, closed) in gone.items():
+            if not closed:  # the others are forgotten altogether
+                self.events.removeKey((turn,))
+                self.deadlines.due[turn] = [ms + self.keep_ms, True]
+                closing.append(turn)
+        self.deadlines.write()
+        if closing:
+            yield pd.DataFrame({"turn_id": closing, "seq": -1, "event_type": None, "payload": None, "closed": True})
 
     def close(self) -> None:
         pass
@@ -68,13 +110,14 @@ def stream_turns(
     Events that are ``late`` behind the newest are dropped by the watermark; so are events of a turn that was closed,
     for ``keep_ms`` after it was. Each batch writes the turns it changed under ``sink``/turns and those it closed
     under ``sink``/closed; a batch that is run again writes the same folders. One turn's events are held by one task.
+    The first start fixes the checkpoint's state; one of an earlier version, by turn, can't be gone on with.
     """
     spark = events.sparkSession
     named = events.select(
         F.col("turn_id").cast("string").alias("turn_id"), "seq", "event_type", "payload", F.col("ts").cast("timestamp").alias("ts")
     ).filter("turn_id is not null").withWatermark("ts", late)
-    told = named.withColumn("at_ms", F.unix_millis("ts")).groupBy("turn_id").transformWithStateInPandas(
-        _Turn(gap_ms, keep_ms), _OUT, "Append", "EventTime"
+    told = named.withColumn("at_ms", F.unix_millis("ts")).withColumn("bucket", bucket_of("turn_id")).groupBy("bucket").transformWithStateInPandas(
+        _Turns(gap_ms, keep_ms), _OUT, "Append", "EventTime"
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,42 @@ from merchlens.sources import bookkeeping
 from merchlens.streaming import carts, folds, responses, snapshots
 from tests.conftest import answers
 
+class Handle:
+    """Keeps states in memory, and counts what would be round trips."""
+
+    calls = 0
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        held = {}
+
+        def call(fn):
+            def counted(*args):
+                self.calls += 1
+                return fn(*args)
+
+            return counted
+
+        made = type("State", (), {})()
+        made.containsKey, made.getValue, made.updateValue = call(held.__contains__), call(held.get), call(held.__setitem__)
+        return made
+
+    def getValueState(self, name, value):  # noqa: N802
+        made, state = self.getMapState(name, None, value), type("State", (), {})()
+        state.exists, state.get, state.update = lambda: made.containsKey(0), lambda: made.getValue(0), lambda v: made.updateValue(0, v)
+        return state
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.calls += 1
+
+    deleteTimer = registerTimer  # noqa: N815
+
+
+def processor(kind, *args):
+    made = kind(*args)
+    made.init(Handle())
+    return made, lambda part: list(made.handleInputRows((0,), iter([part]), None))
+
+
 LOG = "seq long, ts timestamp_ntz, session_id long, customer_id long, command string, item_ref long, product_id long, variant_id long, quantity long"
 
 
@@ -107,6 +144,25 @@ def test_responses_equal_the_batch_fold_and_close(spark, rows):
     assert {r.turn_id: r.closed for r in told.collect()} == {"a": True, "b": True, "c": True, "d": True, "f": False}
 
 
+def test_many_turns_share_a_call_of_the_state():
+    turns, told = processor(responses._Turns, 600_000, 3_600_000)
+    frames = told(pd.DataFrame([(f"t{i % 500}", i, "error", None, i) for i in range(3000)], columns=["turn_id", "seq", "event_type", "payload", "at_ms"]))
+    assert len(frames) == 1 and turns.deadlines.handle.calls < 2 * 500
+    turns.deadlines.handle.calls = 0
+    frames = told(pd.DataFrame([("t7", 9000, "error", None, 5000)], columns=["turn_id", "seq", "event_type", "payload", "at_ms"]))
+    assert frames[0]["seq"].tolist() == [*range(7, 3000, 500), 9000] and turns.deadlines.handle.calls < 10
+
+
+def test_turns_beyond_what_is_held_are_told_once(monkeypatch):
+    monkeypatch.setattr(responses, "_MOST", 10)
+    turns = responses._Turns(600_000, 3_600_000)
+    turns.init(Handle())
+    columns = ["turn_id", "seq", "event_type", "payload", "at_ms"]
+    parts = [pd.DataFrame([(f"t{i % 7}", 50 * k + i, None, "é", i) for i in range(50)], columns=columns) for k in range(3)]
+    told = pd.concat(turns.handleInputRows((0,), iter(parts), None))
+    assert sorted(told["seq"]) == list(range(150)) and set(told["payload"]) == {"é"}
+
+
 def test_label_table_shows_changed_and_deleted_files(spark, tmp_path):
     table, checkpoint = scratch_path(spark, "labels"), scratch_path(spark, "check")
     model = lambda b: '{"brand":"' + bytes(b).decode() + '"}'
