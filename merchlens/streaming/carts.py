@@ -1,12 +1,14 @@
 """Carts as a stream of commands: headers, open lines, totals and orders, the same as the batch fold of the log.
 
-State per session: a header, a map from item to the stack of its open lines, and the number of orders. An event-time
-timer may expire a cart that has been idle.
+State per session: a header, the stacks of its items' open lines, and the number of orders; the sessions of a bucket are
+moved on together. An event-time timer may expire a cart that has been idle.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,14 +16,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from merchlens.functions.text import cents, dollars, order_number, uuid_from
 from merchlens.operators.spread import latest_by
-from merchlens.streaming.states import rocks_state, triggered, write_batch
+from merchlens.streaming.states import TOLD, Deadlines, bucket_of, rocks_state, triggered, write_batch
 
-_HEADER = "customer_id string, created long, updated long, done boolean, last_seq long"
-#: One array per field of a line, newest line last.
-_STACK = (
-    "add_seq array<long>, product_id array<string>, variant_id array<string>, product_name array<string>, "
-    "price array<long>, added array<long>, quantity array<long>"
-)
+#: Open lines are JSON, an item's newest line last: one value goes to the state and back much faster than arrays do.
+_CART = "customer_id string, created long, updated long, done boolean, last_seq long, orders long, lines string"
 _OUT = (
     "kind string, session_id string, seq long, item_ref string, add_seq long, product_id string, variant_id string, product_name string, "
     "unit_price_cents long, added long, quantity long, removed boolean, ordinal long, customer_id string, status string, "
@@ -33,27 +31,36 @@ _NEVER = -(2**62)
 Line = list  # add_seq, product_id, variant_id, product_name, price, added, quantity
 
 
-class _Cart(StatefulProcessor):
-    """Moves a session on by its new commands and tells what changed."""
+class _Carts(StatefulProcessor):
+    """Moves the sessions of a bucket on by their new commands and tells what changed."""
 
     def __init__(self, keep_ms: int | None) -> None:
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.header = handle.getValueState("header", _HEADER)
-        self.orders = handle.getValueState("orders", "n long")
-        self.lines = handle.getMapState("lines", "item_ref string", _STACK)
+        self.carts = handle.getMapState("carts", "session_id string", _CART)
+        self.deadlines = Deadlines(handle) if self.keep_ms is not None else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        session = key[0]
-        customer, created, updated, done, _ = self.header.get() if self.header.exists() else (None, None, _NEVER, False, 0)
-        orders = self.orders.get()[0] if self.orders.exists() else 0
-        open_lines = self._open_lines()
-        touched, changed, told = set(), {}, []
+        new = pd.concat(list(rows)).sort_values(["session_id", "seq"], kind="stable")
         columns = ("seq", "at", "customer_id", "command", "item_ref", "product_id", "variant_id", "product_name", "unit_price_cents", "quantity")
-        for seq, at, who, command, item, product, variant, name, price, quantity in zip(*[new[c].tolist() for c in columns]):
+        commands, told = zip(*[new[c].tolist() for c in ("session_id", *columns)]), []
+        if self.deadlines:
+            self.deadlines.read()
+        for session, own in groupby(commands, key=lambda c: c[0]):
+            told += self._moved(session, [c[1:] for c in own])
+            if len(told) >= TOLD:
+                yield pd.DataFrame(told, columns=_FIELDS)
+                told = []
+        if self.deadlines:
+            self.deadlines.write()
+        if told:
+            yield pd.DataFrame(told, columns=_FIELDS)
+
+    def _moved(self, session: str, commands: list[tuple]) -> list[dict]:
+        customer, created, updated, done, _, orders, open_lines = self._cart(session)
+        changed, told = {}, []
+        for seq, at, who, command, item, product, variant, name, price, quantity in commands:
             if created is None:
                 customer, created = who, at
             created = min(created, at)
@@ -64,15 +71,12 @@ class _Cart(StatefulProcessor):
                 stack = open_lines.setdefault(item, stack)
                 stack.append([seq, product, variant, name, price, at, quantity])
                 changed[item, seq] = (stack[-1], seq, False)
-                touched.add(item)
             elif command == "update" and stack:
                 stack[-1][6] = quantity
                 changed[item, stack[-1][0]] = (stack[-1], seq, False)
-                touched.add(item)
             elif command == "remove" and stack:
                 line = stack.pop()
                 changed[item, line[0]] = (line, seq, True)
-                touched.add(item)
             elif command == "checkout":
                 orders, done = orders + 1, True
                 sold = [(ref, line) for ref, lines in open_lines.items() for line in lines]
@@ -80,14 +84,8 @@ class _Cart(StatefulProcessor):
                 told.append(self._row("order", session, seq, ordinal=orders, customer_id=who, item_count=len(sold), subtotal_cents=total, created=at))
                 told += [self._line("order_item", session, seq, ref, line, ordinal=orders) for ref, line in sold]
         told += [self._line("line", session, seq, item, line, removed=gone) for (item, _), (line, seq, gone) in changed.items()]
-        for item in touched:
-            if open_lines[item]:
-                self.lines.updateValue((item,), tuple(list(field) for field in zip(*open_lines[item])))
-            elif self.lines.containsKey((item,)):
-                self.lines.removeKey((item,))
-        last_seq = int(new["seq"].iloc[-1])
-        self.header.update((customer, created, updated, done, last_seq))
-        self.orders.update((orders,))
+        last_seq = commands[-1][0]
+        self._keep(session, (customer, created, updated, done, last_seq, orders), open_lines)
         sums = [line[4] * line[6] for lines in open_lines.values() for line in lines]
         told.append(
             self._row(
@@ -95,24 +93,40 @@ class _Cart(StatefulProcessor):
                 item_count=len(sums), subtotal_cents=sum(sums), created=created, updated=updated,
             )
         )
-        if self.keep_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(new["at"].max()) // 1000 + self.keep_ms)
-        yield pd.DataFrame(told, columns=_FIELDS)
+        if self.deadlines:
+            times = [c[1] for c in commands if c[1] == c[1]]  # a NULL time says nothing
+            if times:
+                self.deadlines.due[session] = [int(max(times)) // 1000 + self.keep_ms]
+        return told
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        customer, created, updated, _, last_seq = self.header.get()
-        told = [
-            self._line("line", key[0], last_seq, item, line, removed=True) for item, lines in self._open_lines().items() for line in lines
-        ]
-        told.append(self._row("session", key[0], last_seq, customer_id=customer, status="expired", created=created, updated=updated))
-        self.header.clear()
-        self.lines.clear()
-        yield pd.DataFrame(told, columns=_FIELDS)
-
-    def _open_lines(self) -> dict[str, list[Line]]:
-        return {item[0]: [list(line) for line in zip(*stack)] for item, stack in self.lines.iterator()}
+        told = []
+        for session in self.deadlines.passed(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()):
+            customer, created, updated, _, last_seq, orders, open_lines = self._cart(session)
+            told += [self._line("line", session, last_seq, item, line, removed=True) for item, lines in open_lines.items() for line in lines]
+            told.append(self._row("session", session, last_seq, customer_id=customer, status="expired", created=created, updated=updated))
+            self._keep(session, (None, None, _NEVER, False, 0, orders), {})
+            if len(told) >= TOLD:
+                yield pd.DataFrame(told, columns=_FIELDS)
+                told = []
+        self.deadlines.write()
+        if told:
+            yield pd.DataFrame(told, columns=_FIELDS)
+
+    def _cart(self, session: str) -> tuple:
+        """Header, number of orders, and the stacks of open lines by item."""
+        if not self.carts.containsKey((session,)):
+            return None, None, _NEVER, False, 0, 0, {}
+        row, open_lines = self.carts.getValue((session,)), {}
+        for item, *line in json.loads(row[6]):
+            open_lines.setdefault(item, []).append(line)
+        return *row[:6], open_lines
+
+    def _keep(self, session: str, header: tuple, open_lines: dict[str, list[Line]]) -> None:
+        customer, created, updated, *others = header
+        times = [None if t is None or t != t else int(t) for t in (created, updated)]
+        lines = [(item, *line) for item, stack in open_lines.items() for line in stack]
+        self.carts.updateValue((session,), (customer, *times, *others, json.dumps(lines, ensure_ascii=False)))
 
     @staticmethod
     def _row(kind: str, session: str, seq: int, **values) -> dict:
@@ -159,15 +173,16 @@ def stream_carts(
     Commands of a session come in the order of ``seq`` from batch to batch; inside a batch they are sorted. A NULL
     quantity is 0, rows without a session are left out. With ``keep_ms`` a cart expires once the watermark, ``late``
     behind the newest command, has passed its last command by so much: its lines go, a later command begins a new
-    cart, order numbers go on; commands behind the watermark are dropped then. A session's commands of a batch and its
-    open lines are held by one task.
+    cart, order numbers go on; commands behind the watermark are dropped then. The commands of a batch for
+    the sessions of a bucket (one of 1,024), and a session's open lines, are held by one task. The first start fixes the
+    checkpoint's state; one of an earlier version, by session, can't be gone on with.
     """
     spark = commands.sparkSession
     named = commands.filter("session_id is not null")
     if keep_ms is not None:
         named = named.withColumn("came", F.timestamp_micros("at")).withWatermark("came", late)
-    folded = named.groupBy("session_id").transformWithStateInPandas(
-        _Cart(keep_ms), _OUT, "Update", "None" if keep_ms is None else "EventTime"
+    folded = named.withColumn("bucket", bucket_of("session_id")).groupBy("bucket").transformWithStateInPandas(
+        _Carts(keep_ms), _OUT, "Update", "None" if keep_ms is None else "EventTime"
     )
     with rocks_state(spark):
         writer = folded.writeStream.outputMode("update").foreachBatch(lambda batch, batch_id: write_batch(batch, sink, batch_id))

@@ -153,6 +153,13 @@ def test_many_turns_share_a_call_of_the_state():
     assert frames[0]["seq"].tolist() == [*range(7, 3000, 500), 9000] and turns.deadlines.handle.calls < 10
 
 
+def test_many_sessions_share_a_call_of_the_state():
+    base = {"customer_id": "c", "command": "add", "item_ref": "1", "product_id": "2", "variant_id": None, "product_name": "x", "unit_price_cents": 5, "quantity": 2}
+    _, told = processor(carts._Carts, None)
+    (out,) = told(pd.DataFrame([{"session_id": f"s{i % 500}", "seq": i, "at": i, **base} for i in range(1500)]))
+    assert (out["kind"] == "line").sum() == 1500 and out[out["kind"] == "session"]["subtotal_cents"].tolist() == [30] * 500
+
+
 def test_turns_beyond_what_is_held_are_told_once(monkeypatch):
     monkeypatch.setattr(responses, "_MOST", 10)
     turns = responses._Turns(600_000, 3_600_000)
