@@ -10,7 +10,6 @@ blocks. The sample decides only how points are dealt, never the result.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -106,46 +105,88 @@ class Tree:
 
     def search(self, query: np.ndarray, bound: np.ndarray, ids: list[np.ndarray], k: int, kth: float) -> list[tuple[int, int]]:
         """(-score, id) of the best k rows at or above the kth score so far, best first, ties to smaller ids."""
-        best: list[tuple[int, int]] = []
-        heap = [(-bound[0], 0)]
-        while heap:
-            limit, node = heapq.heappop(heap)
-            if -limit < kth:
+        _, found, scores = self.search_all(query[None], bound[None], ids, k, np.array([kth]))
+        return [(-int(s), int(i)) for s, i in zip(scores, found)]
+
+    def search_all(
+        self, queries: np.ndarray, bounds: np.ndarray, ids: list[np.ndarray], k: int, kth: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's row, id, score) of what ``search`` finds for each query, in the order of rows.
+
+        Each query goes to its best leaf first. Then the leaves follow by their highest bound, and the queries whose kth
+        score a leaf can still reach meet it in one product.
+        """
+        leaves = [n for n, (left, _) in enumerate(self.child) if left < 0]
+        bounds, kth = bounds[:, leaves], kth.astype(float)
+        first, highest = bounds.argmax(1), bounds.max(0)
+        best = np.full((len(queries), k), -np.inf)
+        least = np.array([i[0] for i in ids])
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def visit(leaf: int, rows: np.ndarray) -> None:
+            start, end = self.span[leaves[leaf]]
+            scores = queries[rows] @ self.points[start:end].T
+            hit, place = np.nonzero(scores >= kth[rows][:, None])
+            if not len(hit):
+                return
+            found.append((rows[hit], self.order[start + place], scores[hit, place]))
+            some = np.unique(hit)
+            top = np.concatenate([best[rows[some]], scores[some]], axis=1)
+            top.partition(top.shape[1] - k, axis=1)
+            best[rows[some]] = top[:, -k:]
+            kth[rows[some]] = np.maximum(kth[rows[some]], top[:, -k])
+            if sum(len(f[0]) for f in found) > HELD:
+                found[:] = [kept()]
+
+        def kept() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The first k points of each query; every point has an id, so the first k ids are theirs."""
+            row, point, score = (np.concatenate(c) for c in zip(*found))
+            at = np.flatnonzero(score >= kth[row])
+            at = at[_firsts(row[at], score[at], least[point[at]], k)]
+            return row[at], point[at], score[at]
+
+        for leaf in np.unique(first):
+            visit(leaf, np.flatnonzero(first == leaf))
+        for leaf in np.argsort(-highest, kind="stable"):
+            if highest[leaf] < kth.min():
                 break
-            left, right = self.child[node]
-            if left >= 0:
-                for c in (left, right):
-                    if bound[c] >= kth:
-                        heapq.heappush(heap, (-bound[c], c))
-                continue
-            start, end = self.span[node]
-            scores = self.points[start:end] @ query
-            for at in np.flatnonzero(scores >= kth):
-                best += [(-int(scores[at]), int(i)) for i in ids[self.order[start + at]]]
-            if len(best) > k:
-                best.sort()
-                del best[k:]
-            if len(best) == k:
-                best.sort()
-                kth = max(kth, float(-best[-1][0]))
-        return sorted(best)
+            rows = np.flatnonzero((bounds[:, leaf] >= kth) & (first != leaf))
+            if len(rows):
+                visit(leaf, rows)
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        row, point, score = kept()
+        times = np.array([len(ids[p]) for p in point])
+        row, score, names = np.repeat(row, times), np.repeat(score, times), np.concatenate([ids[p] for p in point])
+        at = _firsts(row, score, names, k)
+        return row[at], names[at], score[at]
+
+
+#: Hits that a search holds at once; beyond that it keeps the first of each query only.
+HELD = 1 << 21
+
+
+def _firsts(row: np.ndarray, score: np.ndarray, name: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first k of each row by falling score, ties by name."""
+    order = np.lexsort((name, -score, row))
+    ordered = row[order]
+    begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    place = np.arange(len(ordered)) - np.repeat(begin, np.diff(np.r_[begin, len(ordered)]))
+    return order[place < k]
 
 
 def _searched(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame:
-    out: dict[str, list] = {"query": [], "vec_id": [], "score": []}
+    out = [(np.empty(0, np.int64),) * 3]
     if len(queries) and len(points):
         tree = Tree.grow(np.stack(points["x"].to_list()).astype(float))
         ids = points["ids"].to_list()
         asked = np.stack(queries["x"].to_list()).astype(float)
-        for start in range(0, len(asked), 512):
-            part = asked[start : start + 512]
-            bounds = tree.bounds(part)
-            for q, bound, name, kth in zip(part, bounds, queries["point"].iloc[start:], queries["kth"].iloc[start:]):
-                for score, i in tree.search(q, bound, ids, k, kth):
-                    out["query"].append(name)
-                    out["vec_id"].append(i)
-                    out["score"].append(-score)
-    return pd.DataFrame(out)
+        names, kths = queries["point"].to_numpy(), queries["kth"].to_numpy()
+        for start in range(0, len(asked), 1024):
+            part = asked[start : start + 1024]
+            row, found, scores = tree.search_all(part, tree.bounds(part), ids, k, kths[start : start + 1024])
+            out.append((names[start + row], found, scores.astype(np.int64)))
+    return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("query", "vec_id", "score"), zip(*out))})
 
 
 _HITS = "query long, vec_id long, score long"
@@ -158,7 +199,8 @@ def _search(queries: DataFrame, points: DataFrame, blocks: int, k: int) -> DataF
     a block.
     """
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int"))
-    shards = points.select("cell", "shard").distinct()
+    # A row per 16,384 points. The queries' files are many times smaller than their rows, so Spark would send those instead.
+    shards = F.broadcast(points.select("cell", "shard").distinct())
     # Fresh names for both sides: they come from the same table.
     left = dealt.join(shards, "cell").select(*[F.col(c).alias(c) for c in ("cell", "shard", "block", "point", "x", "kth")])
     right = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
@@ -199,7 +241,7 @@ def _boxes(points: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 def top_scores(
     vectors: DataFrame, query: Column, k: int = 20, factor: int = 64, shard: int = 16_384, block: int = 8_192,
-    cells: int = 256, sample: int = 32_768,
+    cells: int = 256, sample: int = 32_768, sent: int = 16_384,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query row with all other rows.
 
@@ -207,7 +249,8 @@ def top_scores(
     Ties go to the smaller vec_id. Vectors that are NULL or hold a NULL or non-finite component, and rows without
     an id, take no part. Rows that repeat an id count once, with the smallest vector. Vectors meet only vectors of
     their own length. Scores are exact up to 2**53. An empty table gives no rows; other columns are ignored.
-    ``sample`` bounds the vectors the coarse tree is fitted on, ``cells`` its leaves.
+    ``sample`` bounds the vectors the coarse tree is fitted on, ``cells`` its leaves, ``sent`` the rows that go on to other
+    cells at a time.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), scaled("embedding", factor).alias("x"))
     one = rows.filter("vec_id is not null and x is not null").groupBy("vec_id").agg(F.min("x").alias("x"))
@@ -232,7 +275,8 @@ def top_scores(
         .withColumn("shard", F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int")),
         "knn-cells",
     )
-    queries = settled(one.filter(query).join(celled.select("x", "point"), "x").select("vec_id", "point"), "knn-queries")
+    by_x = celled.select("x", "point").hint("merge")  # Never sent whole: its files are many times smaller than its rows.
+    queries = settled(one.filter(query).hint("merge").join(by_x, "x").select("vec_id", "point"), "knn-queries")
     asked = settled(celled.join(queries.select("point").distinct(), "point", "left_semi"), "knn-asked")
     blocks = max(1, -(-asked.count() // block))
     empty = F.lit(float("-inf"))
@@ -251,17 +295,18 @@ def top_scores(
         for batch in batches:
             sizes, kths, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "kth", "cell"))
             for dim in np.unique(sizes):
-                there = corner.get(int(dim), [])
+                known = corner.get(int(dim), [])
                 rows = np.flatnonzero(sizes == dim)
-                if not there or not dim:
+                if not known or not dim:
                     continue
                 x = batch.column("x").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dim)
-                names = np.array([c for c, _, _ in there], np.int32)
-                bound = np.maximum(x, 0) @ np.stack([h for _, _, h in there]).T + np.minimum(x, 0) @ np.stack([lo for _, lo, _ in there]).T
+                names = np.array([c for c, _, _ in known], np.int32)
+                bound = np.maximum(x, 0) @ np.stack([h for _, _, h in known]).T + np.minimum(x, 0) @ np.stack([lo for _, lo, _ in known]).T
                 q, c = np.nonzero((bound >= kths[rows][:, None]) & (names[None, :] != own[rows][:, None]))
-                if len(q):
-                    took = batch.take(pa.array(rows[q])).select(["point", "x", "kth"])
-                    yield pa.RecordBatch.from_arrays([pa.array(names[c]), *took.columns], names=["cell", "point", "x", "kth"])
+                for start in range(0, len(q), sent):
+                    took = batch.take(pa.array(rows[q[start : start + sent]])).select(["point", "x", "kth"])
+                    there = pa.array(names[c[start : start + sent]])
+                    yield pa.RecordBatch.from_arrays([there, *took.columns], names=["cell", "point", "x", "kth"])
 
     travelling = asked.select("cell", "point", "dim", "x").join(at, "point", "left").withColumn("kth", F.coalesce("kth", empty))
     onward = travelling.select("cell", "point", "dim", "x", "kth").mapInArrow(reach, "cell int, point long, x array<double>, kth double")

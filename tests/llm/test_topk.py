@@ -53,3 +53,22 @@ def test_tree_prunes_clustered_points():
     best = tree.search(query, tree.bounds(query[None])[0], ids, 5, float("-inf"))
     assert best == sorted((-int(p @ query), i) for i, p in enumerate(points))[:5]
     assert len(seen) < 20  # of at least 125 leaves
+
+
+def test_queries_are_not_sent_to_all_executors(spark):
+    asked = spark.createDataFrame([(0, i, [1.0, 2.0], 0.0) for i in range(3)], "cell int, point long, x array<double>, kth double")
+    points = spark.createDataFrame(
+        [(0, i % 2, [float(i), 1.0], [i]) for i in range(500)], "cell int, shard int, x array<double>, ids array<long>"
+    )
+    far = topk._search(asked, points, 2, 3)
+    text = far._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in text and "BuildLeft" not in text
+    assert sorted({r.vec_id for r in far.collect()}) == [494, 495, 496, 497, 498, 499]
+
+
+def test_rows_that_go_on_come_in_small_batches(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_scores(df, F.col("vec_id") % 20 == 0, shard=32, cells=16, block=16, sent=7)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
