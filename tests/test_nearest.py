@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from merchlens.operators import color_match, nearest, similarity, vector_search
+from registry import all as _all  # noqa: F401
+from registry.core import QUERIES
 from tests.conftest import answers
 
 
@@ -168,3 +170,45 @@ def test_as_array_gives_empty_lists(rows):
     matches = rows("t long, rank int, v string", (1, 2, "b"), (1, 1, "a"))
     got = color_match.as_array(matches, "t", rows("t long", (1,), (2,))).orderBy("t").collect()
     assert [[m.v for m in r.matches] for r in got] == [["a", "b"], []]
+
+
+def test_registered_searches_ask_with_every_vector(spark, rows, tmp_path):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(24, 64))
+    vectors[12:] = vectors[:12] + 0.01
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows("vec_id long, embedding array<float>, label int", *[(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)]).write.parquet(
+        f"{tmp_path}/embeddings.parquet"
+    )
+    rows(
+        "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", *[(i, f"Customer#{i}", 0, 1.0, "A") for i in range(30)]
+    ).write.parquet(f"{tmp_path}/customer.parquet")
+    asked = {name: {r[0] for r in QUERIES[name](spark, str(tmp_path)).select(key).collect()} for name, key in (
+        ("vector_best_match", "query_id"), ("vector_topk_cosine", "query_id"), ("vector_topk_l2", "query_id"),
+        ("vector_topk_l2_compat", "query_id"), ("similar_entities", "source_id"),
+    )}
+    assert asked["vector_best_match"] == asked["vector_topk_l2_compat"] == set(range(23))
+    assert len(asked["vector_topk_cosine"]) > 10 and len(asked["vector_topk_l2"]) > 5 and len(asked["similar_entities"]) > 5
+
+
+@pytest.mark.parametrize("cosine,limit", [(True, None), (True, 0.4), (False, None), (False, -0.9), (False, -1e6)])
+@pytest.mark.parametrize("size", [1.0, 1e-3, 1e4, 1e20])
+def test_pieces_hold_the_first_of_every_tile(monkeypatch, cosine, limit, size):
+    monkeypatch.setattr(vector_search, "RUN", 32)
+    rng = np.random.default_rng(9)
+    points = np.repeat(rng.normal(size=(60, 5)), 4, axis=0)  # every vector four times: ties
+    points = np.vstack([points, points[:40] + 1e-9, rng.normal(size=(50, 5))])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    points = points if cosine else points * size
+    ids, who = rng.permutation(len(points)), rng.integers(0, 50, len(points))
+    own = rng.integers(0, 50, 30)
+    tile = points[rng.integers(0, len(points), 30)]
+    places = 6 if cosine else 4
+    piece = vector_search._Piece(points, ids, who, float(np.linalg.norm(tile, axis=1).max()), cosine, places)
+    row, at, score = piece.best(tile, 7, limit, own)
+    want = []
+    for r, q in enumerate(tile):
+        s = (points * q).sum(1) if cosine else -np.sqrt(((q - points) ** 2).sum(1))
+        fine = [i for i in range(len(points)) if who[i] != own[r] and (limit is None or s[i] >= limit)]
+        want += [(r, i) for i in sorted(fine, key=lambda i: (-np.floor(s[i] / 10.0**-places + 0.5), who[i], ids[i]))[:7]]
+    assert list(zip(row.tolist(), at.tolist())) == want
